@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from parapet.llm import mixing
+from parapet.llm import mixing, quality_rules
 
 
 def queries() -> dict:
-    return {"op8_mixing": mixing.query}
+    return {
+        "op2_quality_rules": quality_rules.query,
+        "op8_mixing": mixing.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
