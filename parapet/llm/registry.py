@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from parapet.llm import mixing, quality_rules
+from parapet.llm import mixing, quality_cnn, quality_rules, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_quality_rules": quality_rules.query,
+        "op3_toxicity": toxicity.query,
+        "op6_quality_cnn": quality_cnn.query,
         "op8_mixing": mixing.query,
     }
 
