@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parapet.llm import mixing, quality_cnn, quality_rules, toxicity
+from parapet.llm import language_id, mixing, quality_cnn, quality_rules, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_toxicity": toxicity.query,
         "op6_quality_cnn": quality_cnn.query,
         "op8_mixing": mixing.query,
+        "op9_language_id": language_id.query,
     }
 
 
