@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from parapet.llm import language_id, mixing, quality_cnn, quality_rules, toxicity
+from parapet.llm import html_text, language_id, mixing, quality_cnn, quality_rules, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_html_text": html_text.query,
         "op2_quality_rules": quality_rules.query,
         "op3_toxicity": toxicity.query,
         "op6_quality_cnn": quality_cnn.query,
