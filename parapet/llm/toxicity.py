@@ -70,24 +70,25 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 300, strength: float
     y = np.asarray(toxic, float)
     if not len(y) or y.min() == y.max():
         return weights, float(np.clip(20 * (y.mean() - 0.5), -4, 4)) if len(y) else 0.0
-    docs, grams, n = [], [], 0
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])
-    for rows, data, offsets in blocks(batch, "text"):
+    yes, no, n = np.zeros(1 << BITS), np.zeros(1 << BITS), 0
+    for rows, data, offsets in blocks(batch, "text", 1 << 20):
         d, g = features(data, offsets)
-        docs.append((d + n).astype(np.int32))
-        grams.append(g.astype(np.int32))
+        hit = y[n + d]
+        yes += np.bincount(g, hit, minlength=1 << BITS)
+        no += np.bincount(g, 1 - hit, minlength=1 << BITS)
         n += rows.num_rows
-    doc, gram = np.concatenate(docs), np.concatenate(grams)
-    del docs, grams
-    yes = np.bincount(gram, y[doc], minlength=1 << BITS)
-    no = np.bincount(gram, minlength=1 << BITS) - yes
     ratio = np.log((yes + strength) / (yes + strength).sum()) - np.log((no + strength) / (no + strength).sum())
     # a ratio that chance explains is noise, and long texts hold a lot of it
     used = np.flatnonzero((np.abs(ratio) >= SURE * np.sqrt(1 / (yes + strength) + 1 / (no + strength))) & (yes + no >= 5))
     place = np.full(1 << BITS, -1, np.int32)
     place[used] = np.arange(len(used))
-    at = place[gram]
-    doc, at = doc[at >= 0], at[at >= 0]
+    found, n = [], 0
+    for rows, data, offsets in blocks(batch, "text", 1 << 20):
+        d, g = features(data, offsets, place >= 0)
+        found.append((d + n, place[g]))
+        n += rows.num_rows
+    doc, at = (np.concatenate(x) for x in zip(*found))
     r = ratio[used]
     v, b = np.zeros(len(used)), 0.0
     m1, m2 = np.zeros(len(used) + 1), np.zeros(len(used) + 1)

@@ -70,15 +70,19 @@ def string_block(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - lo
 
 
+#: Most documents in a block, so that a document's place fits in 12 bits of a sort key.
+BLOCK_ROWS = 4096
+
+
 def blocks(batch: pa.RecordBatch, column: str, most: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of batch with at most `most` bytes of text: (rows, bytes, offsets)."""
+    """Slices of batch with at most `most` bytes of text and BLOCK_ROWS rows: (rows, bytes, offsets)."""
     if not batch.num_rows:
         return
     data, offsets = string_block(batch.column(batch.schema.get_field_index(column)))
     first = 0
     while first < batch.num_rows:
         last = int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1
-        last = min(max(last, first + 1), batch.num_rows)
+        last = min(max(last, first + 1), first + BLOCK_ROWS, batch.num_rows)
         yield batch.slice(first, last - first), data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
 
