@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parapet.llm import html_text, language_id, mixing, quality_cnn, quality_rules, toxicity
+from parapet.llm import html_text, language_id, mixing, near_dup, quality_cnn, quality_rules, toxicity
 
 
 def queries() -> dict:
@@ -11,10 +11,14 @@ def queries() -> dict:
         "op2_quality_rules": quality_rules.query,
         "op3_toxicity": toxicity.query,
         "op6_quality_cnn": quality_cnn.query,
+        "op7_near_dup": near_dup.query,
         "op8_mixing": mixing.query,
         "op9_language_id": language_id.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.ORACLE}
+    return {
+        "op7_near_dup": near_dup.ORACLE,
+        "op8_mixing": mixing.ORACLE,
+    }

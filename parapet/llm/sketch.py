@@ -63,10 +63,10 @@ def sketch(sets: np.ndarray, first: np.ndarray, t: int = COORDINATES) -> np.ndar
 
 
 def band_keys(sketches: np.ndarray) -> np.ndarray:
-    """A hash of each band of each sketch."""
+    """A hash of each band of each sketch, with the band's number in it."""
     n = len(sketches)
     rows = sketches.reshape(n, BANDS, BAND_ROWS)
-    out = np.zeros((n, BANDS), U64)
+    out = np.tile(mix(np.arange(1, BANDS + 1, dtype=U64)), (n, 1))
     for k in range(BAND_ROWS):
         out = mix(out * U64(0x9FB21C651E98DF25) + rows[:, :, k])
     return out
