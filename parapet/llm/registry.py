@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parapet.llm import html_text, language_id, mixing, near_dup, quality_cnn, quality_rules, toxicity
+from parapet.llm import decontaminate, html_text, language_id, mixing, near_dup, quality_cnn, quality_rules, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op7_near_dup": near_dup.query,
         "op8_mixing": mixing.query,
         "op9_language_id": language_id.query,
+        "op10_decontaminate": decontaminate.query,
     }
 
 
@@ -21,4 +22,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op7_near_dup": near_dup.ORACLE,
         "op8_mixing": mixing.ORACLE,
+        "op10_decontaminate": decontaminate.ORACLE,
     }
