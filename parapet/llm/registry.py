@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parapet.llm import decontaminate, html_text, language_id, mixing, near_dup, quality_cnn, quality_rules, toxicity
+from parapet.llm import decontaminate, html_text, language_id, mixing, near_dup, quality_cnn, quality_rules, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_html_text": html_text.query,
         "op2_quality_rules": quality_rules.query,
         "op3_toxicity": toxicity.query,
+        "op4_warc": warc.query,
         "op6_quality_cnn": quality_cnn.query,
         "op7_near_dup": near_dup.query,
         "op8_mixing": mixing.query,
@@ -20,6 +21,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_warc": warc.ORACLE,
         "op7_near_dup": near_dup.ORACLE,
         "op8_mixing": mixing.ORACLE,
         "op10_decontaminate": decontaminate.ORACLE,
