@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parapet.llm import decontaminate, html_text, language_id, mixing, near_dup, quality_cnn, quality_rules, toxicity, warc
+from parapet.llm import decontaminate, html_text, language_id, language_model, mixing, near_dup, quality_cnn, quality_rules, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_quality_rules": quality_rules.query,
         "op3_toxicity": toxicity.query,
         "op4_warc": warc.query,
+        "op5_suffix_tree": language_model.query,
         "op6_quality_cnn": quality_cnn.query,
         "op7_near_dup": near_dup.query,
         "op8_mixing": mixing.query,
