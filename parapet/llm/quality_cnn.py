@@ -182,6 +182,19 @@ def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, score double")
 
 
+def keep(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
+    """The rows of docs, with all their columns, that score KEEP_FROM or more."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in blocks(batch, "text"):
+                fine = scores(held.value, data, offsets) >= KEEP_FROM
+                yield pa.RecordBatch.from_arrays(rows.columns, rows.schema.names).filter(pa.array(fine))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = score(docs, train(docs, table(spark, sf_dir, "labels")))

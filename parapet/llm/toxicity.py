@@ -131,6 +131,21 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, score double")
 
 
+def keep(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
+    """The rows of docs, with all their columns, that score below 0.5; texts without an n-gram stay."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, intercept = held.value
+        used = weights != 0
+        for batch in batches:
+            for rows, data, offsets in blocks(batch, "text"):
+                fine = (scores(data, offsets, weights, intercept, used) < 0.5) | (np.diff(offsets) == 0)
+                yield pa.RecordBatch.from_arrays(rows.columns, rows.schema.names).filter(pa.array(fine))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = score(docs, train(docs, table(spark, sf_dir, "labels")))
