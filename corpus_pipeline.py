@@ -1,27 +1,66 @@
-"""The training-corpus pipeline: documents through stages, each written as Parquet and read again."""
+"""The training-corpus pipeline: documents through five stages, each written as Parquet and read again.
+
+A stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept; all but
+the last return the columns of documents. Rows without id cannot be named by an operator's result:
+the classifiers keep them, as nothing speaks against them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parapet.llm import mixing
+from parapet.llm import decontaminate, mixing, near_dup, quality_cnn, toxicity
 from parapet.llm.shared import table, written
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the convolutional quality classifier rejects go."""
+    model = quality_cnn.train(docs, table(spark, sf_dir, "labels"))
+    return quality_cnn.keep(docs, model)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects go."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.keep(docs, model)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the least id stays; repeated rows become one."""
+    found = written(near_dup.classes(docs).select("doc_id", "kept"), "classes")
+    dropped = found.filter("NOT kept").select(F.col("doc_id").alias("dropped")).distinct()
+    kept = docs.join(dropped, F.col("doc_id") == F.col("dropped"), "left_anti")
+    if found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.dropDuplicates(docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of the benchmark are cut out of the texts."""
+    return decontaminate.cut(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
     return mixing.mix(docs)
 
 
 STAGES = [
+    ("quality classifier", good_quality),
+    ("toxicity", not_toxic),
+    ("near duplicates", one_of_each),
+    ("decontamination", decontaminated),
     ("mixing", mixed),
 ]
 
+#: The trained stages cannot be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over the whole of documents; what each keeps is the next one's input."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs = written(stage(spark, docs, sf_dir), f"stage{k}")
     return STAGES[-1][1](spark, docs, sf_dir)
