@@ -29,9 +29,8 @@ from parapet.llm.suffix_tree import DEPTH, SPLIT, STATES, Tree, divergent, grams
 from parapet.llm.words import LOWER, U64, Words, blocks, mix, per_document
 
 FOLDS, HELD = 7, 2
-#: Bytes of text in a block of documents.
-COUNT_BYTES = 8 << 20
-SCORE_BYTES = 12 << 20
+#: Bytes of text in a block of documents, of which a part at a time is worked on.
+BLOCK_BYTES = 16 << 20
 
 PACKED = "part int, block string, keys binary, counts binary"
 
@@ -63,27 +62,6 @@ def _counts(raw: bytes) -> np.ndarray:
     return _opened(raw[9:], {1: np.uint8, 4: np.uint32, 8: np.int64}[raw[0]], int.from_bytes(raw[1:9], "little")).astype(np.int64)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
-    """Runs of documents of about `most` bytes, over batches: (their rows, bytes, offsets)."""
-    held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]] = []
-    size = 0
-
-    def joined():
-        data = np.concatenate([d for _, d, _ in held])
-        starts = np.cumsum([0, *(len(d) for _, d, _ in held)])
-        return [r for r, _, _ in held], data, np.concatenate([*(o[:-1] + s for (_, _, o), s in zip(held, starts)), starts[-1:]])
-
-    for batch in batches:
-        for rows, data, offsets in blocks(batch, "text", most):
-            if held and size + len(data) > most:
-                yield joined()
-                held, size = [], 0
-            held.append((rows, data, offsets))
-            size += len(data)
-    if held:
-        yield joined()
-
-
 def _parts(docs: DataFrame) -> int:
     """Parts that counts are split into: a power of 2 that grows with the table's partitions."""
     return 1 << max(3, min(14, int(2 * docs.rdd.getNumPartitions()).bit_length()))
@@ -93,20 +71,31 @@ def count_contexts(docs: DataFrame, parts: int) -> DataFrame:
     """PACKED rows of (context, next symbol) counts, of training documents (text, train)."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in _pieces(batches, COUNT_BYTES):
-            out, first = symbols(Words(LOWER[data], offsets), len(offsets) - 1)
-            key, count = grams(out, first)
-            # the part is that of the last symbols of the context, so that longer contexts meet there
-            tail = (key >> U64(8)) & U64((1 << (8 * SPLIT)) - 1)
-            part = (mix(tail) % U64(parts)).astype(np.int64)
-            order = np.argsort(part.astype(np.uint16), kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            block = uuid.uuid4().hex
-            for p in np.flatnonzero(np.diff(cuts)):
-                at = order[cuts[p] : cuts[p + 1]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(p)], pa.int32()), pa.array([block]), pa.array([_pack_keys(key[at])], pa.binary()), pa.array([_pack_counts(count[at])], pa.binary())], ["part", "block", "keys", "counts"]
-                )
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            for _, data, offsets in blocks(batch, "text"):
+                held.append(grams(*symbols(Words(LOWER[data], offsets), len(offsets) - 1)))
+                size += len(data)
+                if size >= BLOCK_BYTES:
+                    yield from split(held)
+                    held, size = [], 0
+        if held:
+            yield from split(held)
+
+    def split(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        key, count = summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+        # the part is that of the last symbols of the context, so that longer contexts meet there
+        tail = (key >> U64(8)) & U64((1 << (8 * SPLIT)) - 1)
+        part = (mix(tail) % U64(parts)).astype(np.uint16)
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        block = uuid.uuid4().hex
+        for p in np.flatnonzero(np.diff(cuts)):
+            at = order[cuts[p] : cuts[p + 1]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(p)], pa.int32()), pa.array([block]), pa.array([_pack_keys(key[at])], pa.binary()), pa.array([_pack_counts(count[at])], pa.binary())], ["part", "block", "keys", "counts"]
+            )
 
     return docs.filter("train").select("text").mapInArrow(counted, PACKED)
 
@@ -181,12 +170,14 @@ def read_blocks(docs: DataFrame, tree, parts: int) -> DataFrame:
         empty = lambda t: pa.nulls(1, t)
         types = [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.binary()]
         names = ["block", "part", "keys", "counts", "ids", "held", "firsts", "scores", "places"]
-        for rows, data, offsets in _pieces(batches, SCORE_BYTES):
-            w = Words(LOWER[data], offsets)
-            score = tree.value.score(*symbols(w, len(offsets) - 1))
+
+        def flushed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            rows, words, hashes, score = (list(x) for x in zip(*held))
+            many = np.concatenate(words)
+            first = np.concatenate([[0], np.cumsum(many)])
             train = np.concatenate([r.column(2).to_numpy(zero_copy_only=False) for r in rows]).astype(bool)
-            key, place = np.unique(w.hashes(), return_inverse=True)
-            count = np.bincount(place, np.repeat(train, np.diff(w.first)), minlength=len(key)).astype(np.int64)
+            key, place = np.unique(np.concatenate(hashes), return_inverse=True)
+            count = np.bincount(place, np.repeat(train, many), minlength=len(key)).astype(np.int64)
             cuts = np.searchsorted(key >> U64(64 - bits), np.arange(parts + 1).astype(U64))
             block = uuid.uuid4().hex
             for p in np.flatnonzero(np.diff(cuts)):
@@ -202,13 +193,25 @@ def read_blocks(docs: DataFrame, tree, parts: int) -> DataFrame:
                     empty(pa.binary()),
                     one([x for r in rows for x in r.column(0).to_pylist()], types[4]),
                     one(np.concatenate([r.column(3).to_numpy(zero_copy_only=False) for r in rows]).astype(bool), types[5]),
-                    one(w.first.astype(np.int32), types[6]),
-                    one(score, types[7]),
+                    one(first.astype(np.int32), types[6]),
+                    one(np.concatenate(score), types[7]),
                     pa.array([_pack_counts(place.astype(np.int64))], pa.binary()),
                 ],
                 names,
             )
 
+        held, size = [], 0
+        for batch in batches:
+            for rows, data, offsets in blocks(batch, "text"):
+                w = Words(LOWER[data], offsets)
+                held.append((rows.select([0, 2, 2, 3]), np.diff(w.first), w.hashes(), tree.value.score(*symbols(w, len(offsets) - 1))))
+                size += len(data)
+                if size >= BLOCK_BYTES:
+                    yield from flushed(held)
+                    held, size = [], 0
+        if held:
+            yield from flushed(held)
+
     return docs.select("doc_id", "text", "train", "held_out").mapInArrow(read, BLOCKS)
 
 
