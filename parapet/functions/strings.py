@@ -7,12 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Look-alike characters and what they stand for.
 HOMOGLYPHS = ("0O1I53@$", "oollseas")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(names: pd.Series) -> pd.Series:
     """NFKC, which the engine's own functions lack."""
     return names.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
