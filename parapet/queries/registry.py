@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parapet.queries import code, metadata, names, policy  # noqa: F401
+from parapet.queries import calibration, code, metadata, names, policy, sources  # noqa: F401
 from parapet.queries.base import QUERIES, SQL
 
 
