@@ -6,13 +6,14 @@ windowing cost a few array operations per block, whatever the number of document
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Most bytes of text in a block (a longer document is a block by itself). Bounds memory.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 20
 
 U64 = np.uint64
 
@@ -61,7 +62,9 @@ def string_block(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.cast(pa.large_string())
+    if column.null_count:
+        column = column.fill_null("")
     n = len(column)
     _, off, data = column.buffers()
     offsets = np.frombuffer(off, np.int64, n + 1, column.offset * 8) if n else np.zeros(1, np.int64)
@@ -85,6 +88,21 @@ def blocks(batch: pa.RecordBatch, column: str, most: int = BLOCK_BYTES) -> Itera
         last = min(max(last, first + 1), first + BLOCK_ROWS, batch.num_rows)
         yield batch.slice(first, last - first), data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
+    del data, offsets
+    _give_back()
+
+
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system: workers are used again by other stages, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 class Words:
