@@ -26,6 +26,12 @@ class Snapshot:
     pairs: DataFrame | None = None
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once, as later stages read it more than once: a checkpoint in the cluster's shared folder, or a cache where none is set."""
+    held = df.sparkSession.sparkContext._jsc.sc().getCheckpointDir()
+    return df.checkpoint() if held.isDefined() else df.persist()
+
+
 def first_layer(s: Snapshot, as_of: Column, config) -> DataFrame:
     parts = [
         names.name_signals(s.packages, s.popular, config),
@@ -39,7 +45,7 @@ def first_layer(s: Snapshot, as_of: Column, config) -> DataFrame:
 
 def later_layers(files: DataFrame, config, pairs: DataFrame | None = None) -> DataFrame:
     """Manifest rules; then, for packages they do not veto, code scans and version differences."""
-    scripts = manifest.script_signals(registry.manifests(files), config)
+    scripts = settled(manifest.script_signals(registry.manifests(files), config))
     open_files = manifest.without_vetoed(files, scripts)
     parts = [scripts, code.code_signals(open_files, config)]
     if pairs is not None:
@@ -52,11 +58,11 @@ def later_layers(files: DataFrame, config, pairs: DataFrame | None = None) -> Da
 
 def score(s: Snapshot, as_of: Column, config) -> tuple[DataFrame, DataFrame]:
     """(signals, decisions). Packages that names and metadata block are decided by these alone."""
-    first = first_layer(s, as_of, config)
+    first = settled(first_layer(s, as_of, config))
     early = policy.decide(s.packages, first, config)
-    left = policy.not_blocked(s.packages.select("pkg_id"), early)
+    left = settled(policy.not_blocked(s.packages.select("pkg_id"), early))
     later = later_layers(s.files.join(left, "pkg_id", "left_semi"), config, None if s.pairs is None else s.pairs.join(left, "pkg_id", "left_semi"))
-    both = first.unionByName(later)
+    both = settled(first.unionByName(later))
     combos = policy.combo_signals(both.join(left, "pkg_id", "left_semi"), config)
     signals = both.unionByName(combos)
     return signals, policy.decide(s.packages, signals, config)
@@ -64,7 +70,7 @@ def score(s: Snapshot, as_of: Column, config) -> tuple[DataFrame, DataFrame]:
 
 def score_files(files: DataFrame, config, pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(signals, decisions) of archives alone, as in calibration of packages without metadata."""
-    found = later_layers(files, config, pairs)
+    found = settled(later_layers(files, config, pairs))
     signals = policy.with_combos(found, config)
     return signals, policy.decide(files.select("pkg_id").distinct(), signals, config)
 

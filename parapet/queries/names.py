@@ -125,7 +125,7 @@ def t10(spark, sf):
     return names.near_scopes(own, known).select("scope", F.col("d").cast("long").alias("d"), "matched").distinct()
 
 
-@query("t_name_rules", "SELECT * FROM " + values(EXPECTED, "pkg_id, rule, score, matched"))
+@query("t_name_rules", "SELECT pkg_id, rule, score::DOUBLE AS score, matched FROM " + values(EXPECTED, "pkg_id, rule, score, matched"))
 def t_rules(spark, sf):
     packages = spark.createDataFrame([(x, x) for x in PROBES], "pkg_id string, name string")
     lines = spark.createDataFrame([(x,) for x in POPULAR], "name string")
