@@ -212,6 +212,36 @@ def classes(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, of which one of each class stays; repeated rows become one.
+
+    A bitmap of the ids to be dropped tells the rows that stay for certain, so that their texts are
+    not shuffled; only the others are joined with the ids.
+    """
+    found = written(classes(docs).select("doc_id", "kept"), "classes")
+    dropped = found.filter("NOT kept").select(F.col("doc_id").alias("dropped")).distinct()
+    held = docs.sparkSession.sparkContext.broadcast(_needed(dropped, "dropped"))
+    names = docs.columns
+
+    def told(wanted: bool):
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = held.value
+            for batch in batches:
+                h = batch.column(len(names)).to_numpy(zero_copy_only=False)
+                marked = ((bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1) == 1
+                yield batch.select(list(range(len(names)))).filter(pa.array(marked == wanted))
+
+        return rows
+
+    # a null id hashes too: such rows are joined at worst
+    placed = docs.select(*[docs[c] for c in names], F.pmod(F.xxhash64(docs["doc_id"].cast("long")), F.lit(BITMAP)))
+    maybe = placed.mapInArrow(told(True), docs.schema)
+    kept = placed.mapInArrow(told(False), docs.schema).union(maybe.join(dropped, maybe["doc_id"] == dropped["dropped"], "left_anti"))
+    if found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.dropDuplicates(names)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
 
