@@ -8,7 +8,6 @@ the classifiers keep them, as nothing speaks against them.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from parapet.llm import decontaminate, mixing, near_dup, quality_cnn, toxicity
 from parapet.llm.shared import table, written
@@ -28,12 +27,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the least id stays; repeated rows become one."""
-    found = written(near_dup.classes(docs).select("doc_id", "kept"), "classes")
-    dropped = found.filter("NOT kept").select(F.col("doc_id").alias("dropped")).distinct()
-    kept = docs.join(dropped, F.col("doc_id") == F.col("dropped"), "left_anti")
-    if found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates(docs.columns)
+    return near_dup.keep(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
