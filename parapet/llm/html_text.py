@@ -120,22 +120,18 @@ def _tags(page: str) -> Iterator[re.Match]:
 
 
 def weigh(pages: list[str]) -> dict[str, float]:
-    """Scores of tags: the log-odds that a tag stands in article text, against those of a word, never over SLIGHT."""
+    """Scores of tags: the log-odds that a tag stands in article text, never over SLIGHT."""
     inside, outside = Counter(), Counter()
-    words = [1, 1]
     for page in pages:
         items, found = sequence(page)
         if not found:
             continue
-        for tag, text, within, left_out in items:
+        for tag, _, within, left_out in items:
             if tag and not left_out:
                 (inside if within else outside)[tag.lstrip("/")] += 1
-            elif not tag:
-                words[within and not left_out] += len(text.split())
-    base = math.log(words[1] / words[0])
     out = {}
     for tag in {*inside, *outside}:
-        odds = math.log((inside[tag] + 0.5) / (outside[tag] + 0.5)) - base
+        odds = math.log((inside[tag] + 1) / (outside[tag] + 1))
         out[tag] = min(SLIGHT, max(STRONGEST, odds))
     return out
 

@@ -16,7 +16,9 @@ from parapet.llm.words import U64, Words
 DEPTH = 5
 SPACE, END = 0x20, 0x0A
 #: A context that occurs less often is not a state.
-LEAST = 64
+LEAST = 4
+#: What a parameter costs, in logarithms of the number of times its context occurs.
+COST = 0.25
 #: States of three and more symbols, at most: the size of the model, which bounds its broadcast.
 STATES = 32768
 #: Symbols of the context that decide where its counts are added up.
@@ -89,7 +91,7 @@ def divergent(key: np.ndarray, count: np.ndarray, parent_key: np.ndarray, parent
     each = np.repeat(total, ends - cut)
     gain = count * (np.log(count / each) - np.log(parent_count[at] / of_parent))
     gain = np.add.reduceat(gain, cut) if len(cut) else gain
-    gain -= 0.5 * (ends - cut) * np.log(np.maximum(total, 1))
+    gain -= COST * (ends - cut) * np.log(np.maximum(total, 1))
     keep = (gain > 0) & (total >= LEAST)
     return ctx[cut][keep], np.stack([cut[keep], ends[keep]], 1), gain[keep]
 
