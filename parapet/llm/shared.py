@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parapet.ship import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that driver and executors share (spark.checkpoint.dir).
@@ -35,22 +37,23 @@ def new_path(spark: SparkSession, name: str) -> str:
 BATCH_BYTES = 8 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches by their size; the engine's own bound is by far larger."""
+def prepared(spark: SparkSession) -> None:
+    """Bounds Arrow batches by their size (the engine's own bound is by far larger), and sends the sources to executors."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, lineage cut, safe if executors go."""
     spark = df.sparkSession
-    small_batches(spark)
+    prepared(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
+    prepared(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
