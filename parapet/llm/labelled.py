@@ -25,13 +25,12 @@ def sample(docs: DataFrame, labelled: DataFrame, rows: int, size: int, seed: int
     if not ids:
         return [], np.zeros(0, object)
     chosen = spark.createDataFrame([(int(r["doc_id"]), r["label"], r["turn"]) for r in ids], "chosen long, label string, turn long")
-    held = written(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen")).select("doc_id", "label", "turn", "text", F.octet_length("text").alias("size")),
-        "sample",
-    )
+    # an id given more than once counts as its first text, so that the sample has at most `rows` texts
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen"))
+    held = written(found.groupBy("doc_id", "label", "turn").agg(F.min("text").alias("text")).withColumn("size", F.octet_length("text")), "sample")
     left, take = size, []
     by = {label: [] for label in counts}
-    for r in held.select("doc_id", "label", "turn", "size").collect():  # at most rows (times copies of an id)
+    for r in held.select("doc_id", "label", "turn", "size").collect():
         by[r["label"]].append((r["turn"], r["doc_id"], r["size"]))
     queues = [sorted(set(v)) for v in by.values()]
     for k in range(max(map(len, queues))):
@@ -40,5 +39,5 @@ def sample(docs: DataFrame, labelled: DataFrame, rows: int, size: int, seed: int
                 left -= q[k][2]
                 take.append(q[k][1])
     picked = spark.createDataFrame([(int(i),) for i in sorted(set(take))], "picked long")
-    got = held.join(F.broadcast(picked), F.col("doc_id") == F.col("picked")).orderBy("turn", "doc_id", "text").dropDuplicates(["doc_id"]).select("label", "text", "turn").toPandas().sort_values(["turn", "text"])
+    got = held.join(F.broadcast(picked), F.col("doc_id") == F.col("picked")).select("label", "text", "turn").toPandas().sort_values(["turn", "text"])
     return got["text"].tolist(), got["label"].to_numpy(object)
