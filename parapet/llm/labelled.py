@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parapet.llm.shared import written
+from parapet.llm.words import give_back
 
 
 def sample(docs: DataFrame, labelled: DataFrame, rows: int, size: int, seed: int = 7) -> tuple[list[str], np.ndarray]:
@@ -39,5 +40,8 @@ def sample(docs: DataFrame, labelled: DataFrame, rows: int, size: int, seed: int
                 left -= q[k][2]
                 take.append(q[k][1])
     picked = spark.createDataFrame([(int(i),) for i in sorted(set(take))], "picked long")
-    got = held.join(F.broadcast(picked), F.col("doc_id") == F.col("picked")).select("label", "text", "turn").toPandas().sort_values(["turn", "text"])
-    return got["text"].tolist(), got["label"].to_numpy(object)
+    got = held.join(F.broadcast(picked), F.col("doc_id") == F.col("picked")).select("label", "text", "turn").toArrow().sort_by([("turn", "ascending"), ("text", "ascending")])
+    texts, classes = got.column("text").to_pylist(), np.array(got.column("label").to_pylist(), object)
+    del got
+    give_back()
+    return texts, classes

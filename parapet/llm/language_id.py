@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from parapet.llm import labelled
 from parapet.llm.shared import fold, table
-from parapet.llm.words import _BYTE, U64, _power, blocks, mix, per_document
+from parapet.llm.words import _BYTE, U64, _power, blocks, give_back, mix, per_document
 
 ORDERS = (3, 4)
 SLOT_BITS = 19
@@ -110,7 +110,7 @@ def fit(texts: list[str], langs: np.ndarray) -> Filters:
     for lang in languages:
         batch = pa.RecordBatch.from_arrays([pa.array([t for t, x in zip(texts, langs) if x == lang], pa.large_string())], ["text"])
         key, count = np.zeros(0, U64), np.zeros(0, np.int64)
-        for _, data, offsets in blocks(batch, "text"):
+        for _, data, offsets in blocks(batch, "text", 256 << 10):
             k, c = np.unique(np.concatenate([h for _, h in grams(data, offsets)] or [key[:0]]), return_counts=True)
             key, back = np.unique(np.concatenate([key, k]), return_inverse=True)
             count = np.bincount(back, np.concatenate([count, c]), minlength=len(key)).astype(np.int64)
@@ -155,7 +155,9 @@ def predict(filters: Filters, data: np.ndarray, offsets: np.ndarray) -> tuple[li
 def train(docs: DataFrame) -> Filters:
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("label")).filter(F.col("text").isNotNull() & F.col("label").isNotNull() & (fold("doc_id", FOLDS) >= 0) & (fold("doc_id", FOLDS) != HELD))
     texts, langs = labelled.sample(docs, known, ROWS, SIZE)
-    return fit(texts, langs)
+    filters = fit(texts, langs)
+    give_back()
+    return filters
 
 
 def label(docs: DataFrame, filters: Filters) -> DataFrame:

@@ -23,13 +23,15 @@ from pyspark.sql import functions as F
 
 from parapet.llm import labelled
 from parapet.llm.shared import fold, table
-from parapet.llm.words import blocks
+from parapet.llm.words import blocks, give_back
 
 CHUNK, OVERLAP = 256, 32
 EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 6, 8, 4, 16, 16
 #: Bounds of the training sample.
 ROWS, SIZE = 3000, 6 << 20
 EPOCHS, BATCH, RATE, SEED = 12, 24, 0.01, 11
+#: Bytes of a training batch of several texts, at most.
+BATCH_BYTES = 96 << 10
 #: Weight of good texts in training, whatever their share of the sample.
 GOOD_SHARE = 0.65
 FOLDS = 5
@@ -117,25 +119,35 @@ def fit(texts: list[str], good: np.ndarray) -> dict[str, np.ndarray]:
     y = np.append(y, y[::3])
     weight = np.where(y == 1, GOOD_SHARE / y.mean(), (1 - GOOD_SHARE) / (1 - y.mean())).astype(np.float32)
     step = 0
-    total = EPOCHS * -(-len(raw) // BATCH)
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(raw))
-        for k in range(0, len(order), BATCH):
-            pick = order[k : k + BATCH]
-            offsets = np.concatenate([[0], np.cumsum([len(raw[i]) for i in pick])])
-            data = np.concatenate([raw[i] for i in pick])
-            doc, begin, end = chunks(data, offsets)
-            g = gradient(m, chunk_bytes(data, begin, end), np.searchsorted(doc, np.arange(len(pick))), y[pick], weight[pick])
-            step += 1
-            rate = RATE * (1 - step / (total + 1))
-            for name, v in m.items():
-                first[name] = 0.9 * first[name] + 0.1 * g[name]
-                second[name] = 0.99 * second[name] + 0.01 * g[name] ** 2
-                v -= rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-7)
-            m["embed"][0] = 0
+    plan = [batch for _ in range(EPOCHS) for batch in batches([len(r) for r in raw], rng.permutation(len(raw)))]
+    total = len(plan)
+    for pick in plan:
+        offsets = np.concatenate([[0], np.cumsum([len(raw[i]) for i in pick])])
+        data = np.concatenate([raw[i] for i in pick])
+        doc, begin, end = chunks(data, offsets)
+        g = gradient(m, chunk_bytes(data, begin, end), np.searchsorted(doc, np.arange(len(pick))), y[pick], weight[pick])
+        step += 1
+        rate = RATE * (1 - step / (total + 1))
+        for name, v in m.items():
+            first[name] = 0.9 * first[name] + 0.1 * g[name]
+            second[name] = 0.99 * second[name] + 0.01 * g[name] ** 2
+            v -= rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-7)
+        m["embed"][0] = 0
     return m
 
 
+def batches(sizes: list[int], order: np.ndarray) -> list[list[int]]:
+    """Texts in this order, in batches of at most BATCH texts and BATCH_BYTES (a longer text alone)."""
+    out, size = [[]], 0
+    for i in order.tolist():
+        if out[-1] and (len(out[-1]) == BATCH or size + sizes[i] > BATCH_BYTES):
+            out.append([])
+            size = 0
+        out[-1].append(i)
+        size += sizes[i]
+    return out
+
+
 def gradient(m: dict[str, np.ndarray], rows: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
     top, values, windows = pooled(m, rows)
     chunk = np.maximum(top, 0)
@@ -167,7 +179,9 @@ def gradient(m: dict[str, np.ndarray], rows: np.ndarray, first: np.ndarray, y: n
 def train(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray]:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter(F.col("label").isin(0, 1) & (fold("doc_id", FOLDS) > 0))
     texts, y = labelled.sample(docs, known, ROWS, SIZE)
-    return fit(texts, (y == "1").astype(np.float32))
+    model = fit(texts, (y == "1").astype(np.float32))
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:

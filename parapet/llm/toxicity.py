@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from parapet.llm import labelled
 from parapet.llm.shared import fold, table
-from parapet.llm.words import _BYTE, LOWER, SPACE, U64, _power, blocks, mix
+from parapet.llm.words import _BYTE, LOWER, SPACE, U64, _power, blocks, give_back, mix
 
 ORDERS = (4, 5, 6)
 BITS = 20
@@ -31,6 +31,8 @@ BITS = 20
 ROWS, SIZE = 4000, 16 << 20
 #: Standard errors by which a feature's log-count ratio must differ from 0.
 SURE = 4.0
+#: Bytes of text worked on at once in fitting, which the driver does.
+FIT_BYTES = 256 << 10
 FOLDS = 5
 
 FOLDED = LOWER.copy()
@@ -72,7 +74,7 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 300, strength: float
         return weights, float(np.clip(20 * (y.mean() - 0.5), -4, 4)) if len(y) else 0.0
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])
     yes, no, n = np.zeros(1 << BITS), np.zeros(1 << BITS), 0
-    for rows, data, offsets in blocks(batch, "text", 1 << 20):
+    for rows, data, offsets in blocks(batch, "text", FIT_BYTES):
         d, g = features(data, offsets)
         hit = y[n + d]
         yes += np.bincount(g, hit, minlength=1 << BITS)
@@ -84,7 +86,7 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 300, strength: float
     place = np.full(1 << BITS, -1, np.int32)
     place[used] = np.arange(len(used))
     found, n = [], 0
-    for rows, data, offsets in blocks(batch, "text", 1 << 20):
+    for rows, data, offsets in blocks(batch, "text", FIT_BYTES):
         d, g = features(data, offsets, place >= 0)
         found.append((d + n, place[g]))
         n += rows.num_rows
@@ -113,7 +115,9 @@ def scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, intercept
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).filter(F.col("label").isin(0, 1) & (fold("doc_id", FOLDS) > 0))
     texts, y = labelled.sample(docs, known, ROWS, SIZE)
-    return fit(texts, (y == "1").astype(float))
+    model = fit(texts, (y == "1").astype(float))
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:

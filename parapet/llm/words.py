@@ -89,7 +89,7 @@ def blocks(batch: pa.RecordBatch, column: str, most: int = BLOCK_BYTES) -> Itera
         yield batch.slice(first, last - first), data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
     del data, offsets
-    _give_back()
+    give_back()
 
 
 try:
@@ -98,7 +98,7 @@ except (OSError, AttributeError):  # another C library
     _trim = None
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Freed memory goes back to the system: workers are used again by other stages, and would keep it."""
     pa.default_memory_pool().release_unused()
     if _trim:
