@@ -43,8 +43,11 @@ NEVER = frozenset(("html", "body", "article", "main", "br", "hr", "img"))
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs "
     "footer comment comments disqus replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
-    "share sharing social related recommended recommendations widget widgets toolbar pagination pager masthead copyright disclaimer search form".split()
+    "share sharing social related recommended recommendations widget widgets toolbar topbar pagination pager masthead copyright disclaimer search form "
+    "notification notifications promoted".split()
 )
+#: Beginnings of such parts, for names written as one word.
+MARK_STARTS = ("advert", "sidebar", "cookie", "newsletter", "sponsor", "commentlist", "commentform", "navbar", "footer")
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 
 #: Scores where no labelled page tells: of a word, of tags that seldom matter, of others.
@@ -60,7 +63,9 @@ def _marked(tag: str, attributes: str, within: bool) -> bool:
         if name in ("class", "id"):
             for one in value.split():
                 parts = [p.lower() for p in NAME_PART.findall(one)]
-                if parts and parts[0] not in ("no", "has", "with", "without") and (MARKS.intersection(parts) or (not within and "header" in parts)):
+                if not parts or parts[0] in ("no", "has", "with", "without"):
+                    continue
+                if MARKS.intersection(parts) or any(p.startswith(MARK_STARTS) for p in parts) or (not within and "header" in parts):
                     return True
         elif (name == "role" and value.lower() in ROLES) or name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
