@@ -1,13 +1,16 @@
 """Operator 5: language-model scores by a probabilistic suffix tree.
 
-Learning. Training documents' symbols (suffix_tree.py) are counted by context and next symbol in
-blocks of documents; counts are added up by the last SPLIT symbols of the context, where also the
-divergence tests of longer contexts are made, each against the context one symbol shorter. The
-STATES contexts of the largest gain, and all shorter ones that pass, are the tree's states; their
-table (STATES rows) is the model, and its automaton is broadcast.
+Learning and scoring. A symbol's probability depends on the DEPTH symbols before it alone. Blocks of
+documents send their distinct (context, next symbol) with training counts (suffix_tree.py) to parts
+by the last SPLIT symbols of the context. A part has all counts of the longer contexts that end so:
+it adds them up, makes the divergence tests, each against the context one symbol shorter, and sends
+each block the logarithms of its entries. All contexts that pass are states; no process holds the
+whole tree. Counts of pairs of symbols (65,536 entries at most), which the shortest contexts need,
+are broadcast.
 
 Base. Exact counts of all words are added up over the corpus: each block of documents sends its
-distinct words to parts by hash, gets their totals back, and adds up its documents' logarithms.
+distinct words to parts by hash, gets their totals back, and adds up its documents' logarithms. The
+block's symbols are kept meanwhile, compressed.
 
 Cases: null and empty texts are one end token; rows without id are scored but not learned from; an
 empty table gives an empty result; without training rows counts are 0 and every symbol has
@@ -25,15 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parapet.llm.shared import fold, table, written
-from parapet.llm.suffix_tree import DEPTH, SPLIT, STATES, Tree, divergent, grams, shorter, summed, symbols
+from parapet.llm.suffix_tree import DEPTH, SPLIT, grams, log_probabilities, shorter, summed, symbols, windows
 from parapet.llm.words import LOWER, U64, Words, blocks, mix, per_document
 
 FOLDS, HELD = 7, 2
 #: Bytes of text in a block of documents, of which a part at a time is worked on.
 BLOCK_BYTES = 16 << 20
 
-PACKED = "part int, block string, keys binary, counts binary"
-
 
 def _squeezed(x: np.ndarray) -> bytes:
     return pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True)
@@ -67,152 +68,104 @@ def _parts(docs: DataFrame) -> int:
     return 1 << max(3, min(14, int(2 * docs.rdd.getNumPartitions()).bit_length()))
 
 
-def count_contexts(docs: DataFrame, parts: int) -> DataFrame:
-    """PACKED rows of (context, next symbol) counts, of training documents (text, train)."""
+BLOCKS = "block string, what string, part int, keys binary, counts binary, ids array<long>, held array<boolean>, firsts array<int>, symbols binary"
+
+
+def read_blocks(docs: DataFrame, parts: int) -> DataFrame:
+    """For each block of documents (doc_id, text, train, held_out): rows of its words and of its grams by part, and one (docs) of its documents with its pairs."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = parts.bit_length() - 1
+        types = [pa.string(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary()]
+        names = ["block", "what", "part", "keys", "counts", "ids", "held", "firsts", "symbols"]
+
+        def row(*values) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([*values, *[None] * (len(types) - len(values))], types)], names)
+
+        def dealt(block: str, what: str, key: np.ndarray, count: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(cuts)):
+                at = order[cuts[p] : cuts[p + 1]]
+                yield row(block, what, int(p), _pack_keys(key[at]), _pack_counts(count[at]))
+
+        def flushed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            rows, outs, firsts, words, counts = (list(x) for x in zip(*held))
+            block = uuid.uuid4().hex
+            key, count = summed(np.concatenate([k for w in words for k, _ in w]), np.concatenate([c for w in words for _, c in w]))
+            yield from dealt(block, "words", key, count, (key >> U64(64 - bits)).astype(np.uint16))
+            key, count = summed(np.concatenate([k for g in counts for k, _ in g]), np.concatenate([c for g in counts for _, c in g]))
+            # the part is that of the last symbols of the context, so that longer contexts meet there
+            tail = (key >> U64(8)) & U64((1 << (8 * SPLIT)) - 1)
+            yield from dealt(block, "grams", key, count, (mix(tail) % U64(parts)).astype(np.uint16))
+            pair, times = shorter(key[count > 0], count[count > 0], 1)
+            before = np.cumsum([0, *(len(x) for x in outs[:-1])])
+            first = np.concatenate([[0], *(f[1:] + b for f, b in zip(firsts, before))])
+            column = lambda c: np.concatenate([r.column(c).to_numpy(zero_copy_only=False) for r in rows])
+            ids = [x for r in rows for x in r.column(0).to_pylist()]
+            yield row(block, "docs", -1, _pack_keys(pair), _pack_counts(times), ids, column(3).astype(bool), first.astype(np.int32), _squeezed(np.concatenate(outs)))
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        held, size = [], 0
         for batch in batches:
-            for _, data, offsets in blocks(batch, "text"):
-                held.append(grams(*symbols(Words(LOWER[data], offsets), len(offsets) - 1)))
+            for rows, data, offsets in blocks(batch, "text"):
+                w = Words(LOWER[data], offsets)
+                out, first = symbols(w, len(offsets) - 1)
+                train = rows.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                learned, rest = grams(out, first, train), grams(out, first, ~train)
+                h, own = w.hashes(), np.repeat(train, np.diff(w.first))
+                word, times = np.unique(h[own], return_counts=True)
+                other = np.unique(h[~own])
+                held.append((rows.select([0, 2, 2, 3]), out, first, [(word, times), (other, np.zeros(len(other), np.int64))], [learned, (rest[0], np.zeros(len(rest[0]), np.int64))]))
                 size += len(data)
                 if size >= BLOCK_BYTES:
-                    yield from split(held)
+                    yield from flushed(held)
                     held, size = [], 0
         if held:
-            yield from split(held)
-
-    def split(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        key, count = summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-        # the part is that of the last symbols of the context, so that longer contexts meet there
-        tail = (key >> U64(8)) & U64((1 << (8 * SPLIT)) - 1)
-        part = (mix(tail) % U64(parts)).astype(np.uint16)
-        order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(parts + 1))
-        block = uuid.uuid4().hex
-        for p in np.flatnonzero(np.diff(cuts)):
-            at = order[cuts[p] : cuts[p + 1]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(p)], pa.int32()), pa.array([block]), pa.array([_pack_keys(key[at])], pa.binary()), pa.array([_pack_counts(count[at])], pa.binary())], ["part", "block", "keys", "counts"]
-            )
-
-    return docs.filter("train").select("text").mapInArrow(counted, PACKED)
-
-
-def _states(group: pa.Table) -> pa.Table:
-    """Of one part: all contexts of SPLIT symbols, and the longer ones that pass the divergence test."""
+            yield from flushed(held)
+
+    return docs.select("doc_id", "text", "train", "held_out").mapInArrow(read, BLOCKS)
+
+
+def _added(packed: Iterator[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Packed keys and counts, added up as they come."""
     key, count = np.zeros(0, U64), np.zeros(0, np.int64)
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
-    for k, c in zip(group.column("keys"), group.column("counts")):
-        held.append((_keys(k.as_py()), _counts(c.as_py())))
+    for k, c in packed:
+        held.append((_keys(k), _counts(c)))
         size += len(held[-1][0])
-        if size > 1 << 20:  # add up as they come
+        if size > max(1 << 20, len(key)):
             key, count = summed(np.concatenate([key, *(x for x, _ in held)]), np.concatenate([count, *(y for _, y in held)]))
             held, size = [], 0
-    key, count = summed(np.concatenate([key, *(x for x, _ in held)]), np.concatenate([count, *(y for _, y in held)]))
-    level = {DEPTH: (key, count)}
-    for d in range(DEPTH - 1, SPLIT - 1, -1):
-        level[d] = shorter(*level[d + 1], d)
-    rows = []
-    k, c = level[SPLIT]
-    ctx = k >> U64(8)
-    cut = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1]))
-    for a, b in zip(cut, np.append(cut[1:], len(k))):
-        rows.append((SPLIT, int(ctx[a]), 0.0, k[a:b], c[a:b]))
-    for d in range(SPLIT + 1, DEPTH + 1):
-        k, c = level[d]
-        for x, (a, b), gain in zip(*divergent(k, c, *level[d - 1], d)):
-            rows.append((d, int(x), float(gain), k[a:b], c[a:b]))
-    depth, ctx, gain, k, c = zip(*rows)
-    return pa.table(
-        {
-            "depth": pa.array(depth, pa.int32()),
-            "context": pa.array(ctx, pa.int64()),
-            "gain": pa.array(gain),
-            "next": pa.array([(x & U64(255)).astype(np.uint8).tobytes() for x in k], pa.binary()),
-            "counts": pa.array([x.astype(np.int64).tobytes() for x in c], pa.binary()),
-        }
-    )
+    return summed(np.concatenate([key, *(x for x, _ in held)]), np.concatenate([count, *(y for _, y in held)]))
 
 
-def learn(docs: DataFrame, parts: int) -> Tree:
-    """The suffix tree of the training documents (text, train)."""
-    counted = count_contexts(docs, parts)
-    found = written(counted.groupBy("part").applyInArrow(_states, "depth int, context long, gain double, next binary, counts binary"), "contexts")
-    short = found.filter(F.col("depth") == SPLIT).collect()  # at most 256 ** SPLIT rows
-    deep = found.filter(F.col("depth") > SPLIT).orderBy(F.desc("gain"), "depth", "context").limit(STATES).collect()
-    entry = lambda r: (int(r["context"]).to_bytes(r["depth"], "big"), np.frombuffer(bytes(r["next"]), np.uint8).astype(np.int64), np.frombuffer(bytes(r["counts"]), np.int64))
-    contexts = [entry(r) for r in deep]
-    if short:
-        key = np.concatenate([(U64(int(r["context"])) << U64(8)) | np.frombuffer(bytes(r["next"]), np.uint8).astype(U64) for r in short])
-        count = np.concatenate([np.frombuffer(bytes(r["counts"]), np.int64) for r in short])
-        level = {SPLIT: summed(key, count)}
-        for d in range(SPLIT - 1, -1, -1):
-            level[d] = shorter(*level[d + 1], d)
-        contexts.append((b"", (level[0][0] & U64(255)).astype(np.int64), level[0][1]))
-        for d in range(1, SPLIT + 1):
-            k, c = level[d]
-            for x, (a, b), _ in zip(*divergent(k, c, *level[d - 1], d)):
-                contexts.append((int(x).to_bytes(d, "big"), (k[a:b] & U64(255)).astype(np.int64), c[a:b]))
-    return Tree(contexts)
+def _packed(group: pa.Table) -> Iterator[tuple[bytes, bytes]]:
+    return ((k.as_py(), c.as_py()) for k, c in zip(group.column("keys"), group.column("counts")))
 
 
-BLOCKS = "block string, part int, keys binary, counts binary, ids array<long>, held array<boolean>, firsts array<int>, scores array<double>, places binary"
+def _sum(group: pa.Table) -> pa.Table:
+    key, count = _added(_packed(group))
+    return pa.table({"keys": pa.array([_pack_keys(key)], pa.binary()), "counts": pa.array([_pack_counts(count)], pa.binary())})
 
 
-def read_blocks(docs: DataFrame, tree, parts: int) -> DataFrame:
-    """For each block of documents (doc_id, text, train, held_out): rows of its words by part, and one (part -1) of its documents."""
+def pair_counts(read: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Training counts of one symbol and the next, over all blocks: at most 256 * 256."""
+    some = read.filter("what = 'docs'").select(F.pmod(F.crc32("block"), F.lit(64)).alias("turn"), "keys", "counts")
+    return _added((bytes(r["keys"]), bytes(r["counts"])) for r in some.groupBy("turn").applyInArrow(_sum, "keys binary, counts binary").collect())
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = parts.bit_length() - 1
-        empty = lambda t: pa.nulls(1, t)
-        types = [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.binary()]
-        names = ["block", "part", "keys", "counts", "ids", "held", "firsts", "scores", "places"]
 
-        def flushed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-            rows, words, hashes, score = (list(x) for x in zip(*held))
-            many = np.concatenate(words)
-            first = np.concatenate([[0], np.cumsum(many)])
-            train = np.concatenate([r.column(2).to_numpy(zero_copy_only=False) for r in rows]).astype(bool)
-            key, place = np.unique(np.concatenate(hashes), return_inverse=True)
-            count = np.bincount(place, np.repeat(train, many), minlength=len(key)).astype(np.int64)
-            cuts = np.searchsorted(key >> U64(64 - bits), np.arange(parts + 1).astype(U64))
-            block = uuid.uuid4().hex
-            for p in np.flatnonzero(np.diff(cuts)):
-                a, b = cuts[p], cuts[p + 1]
-                own = [pa.array([block]), pa.array([int(p)], pa.int32()), pa.array([_pack_keys(key[a:b])], pa.binary()), pa.array([_pack_counts(count[a:b])], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*own, *(empty(t) for t in types[4:])], names)
-            one = lambda x, t: pa.array([x], t)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block]),
-                    pa.array([-1], pa.int32()),
-                    empty(pa.binary()),
-                    empty(pa.binary()),
-                    one([x for r in rows for x in r.column(0).to_pylist()], types[4]),
-                    one(np.concatenate([r.column(3).to_numpy(zero_copy_only=False) for r in rows]).astype(bool), types[5]),
-                    one(first.astype(np.int32), types[6]),
-                    one(np.concatenate(score), types[7]),
-                    pa.array([_pack_counts(place.astype(np.int64))], pa.binary()),
-                ],
-                names,
-            )
+def scored_grams(read: DataFrame, pairs) -> DataFrame:
+    """Of each block and part: its keys and their log10 probabilities (single precision)."""
 
-        held, size = [], 0
-        for batch in batches:
-            for rows, data, offsets in blocks(batch, "text"):
-                w = Words(LOWER[data], offsets)
-                held.append((rows.select([0, 2, 2, 3]), np.diff(w.first), w.hashes(), tree.value.score(*symbols(w, len(offsets) - 1))))
-                size += len(data)
-                if size >= BLOCK_BYTES:
-                    yield from flushed(held)
-                    held, size = [], 0
-        if held:
-            yield from flushed(held)
+    def part(group: pa.Table) -> pa.Table:
+        key, count = _added(_packed(group))
+        seen = count > 0
+        log = log_probabilities(key, key[seen], count[seen], pairs.value).astype(np.float32)
+        back = [_squeezed(log[np.searchsorted(key, _keys(k.as_py()))]) for k in group.column("keys")]
+        return pa.table({"block": group.column("block"), "keys": group.column("keys"), "logs": pa.array(back, pa.binary())})
 
-    return docs.select("doc_id", "text", "train", "held_out").mapInArrow(read, BLOCKS)
+    return read.filter("what = 'grams'").select("part", "block", "keys", "counts").groupBy("part").applyInArrow(part, "block string, keys binary, logs binary")
 
 
 def _totals(group: pa.Table) -> pa.Table:
@@ -235,6 +188,25 @@ def _totals(group: pa.Table) -> pa.Table:
     )
 
 
+def score_symbols(out: np.ndarray, first: np.ndarray, key: np.ndarray, log: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sum of the logarithms of each document's grams, first word of each document, hashes of words), some documents at a time."""
+    scores, many, hashes = [], [], []
+    a = 0
+    while a < len(first) - 1:
+        b = max(a + 1, int(np.searchsorted(first, first[a] + (1 << 20), "right")) - 1)
+        own, at = out[first[a] : first[b]], first[a : b + 1] - first[a]
+        w = Words(own, at)
+        hashes.append(w.hashes())
+        many.append(np.diff(w.first))
+        gram, real = windows(own, at)
+        distinct, place = np.unique(gram[real], return_inverse=True)
+        each = np.zeros(len(own))
+        each[DEPTH:][real] = log[np.searchsorted(key, distinct)][place]
+        scores.append(per_document(each, at))
+        a = b
+    return np.concatenate(scores), np.concatenate([[0], np.cumsum(np.concatenate(many))]), np.concatenate(hashes)
+
+
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -243,34 +215,39 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rest = fold("doc_id", FOLDS)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", ((rest >= 0) & (rest != HELD)).alias("train"), (rest == HELD).alias("held_out"))
-    parts = _parts(docs)
-    tree = spark.sparkContext.broadcast(learn(docs, parts))  # STATES states at most
-    read = written(read_blocks(docs, tree, parts), "blocks")
-    totals = written(read.filter("part >= 0").select("part", "block", "keys", "counts").groupBy("part").applyInArrow(_totals, "block string, part int, totals binary, words long, types long"), "totals")
+    read = written(read_blocks(docs, _parts(docs)), "blocks")
+    pairs = spark.sparkContext.broadcast(pair_counts(read))
+    logs = written(scored_grams(read, pairs), "grams")
+    totals = written(read.filter("what = 'words'").select("part", "block", "keys", "counts").groupBy("part").applyInArrow(_totals, "block string, part int, totals binary, words long, types long"), "totals")
     n_docs = docs.filter("train").count()
     sums = totals.filter("block IS NULL").agg(F.sum("words").alias("n"), F.sum("types").alias("v")).first()
     n, v = (sums["n"] or 0) + n_docs, (sums["v"] or 0) + (n_docs > 0)  # the end is a token and a type
 
-    def based(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, held, firsts, scores, places, back = (batch.column(c)[k] for c in range(6))
+                ids, held, firsts, packed, back, grammed = (batch.column(c)[k] for c in range(6))
                 first = np.array(firsts.as_py(), np.int64)
+                out = _opened(packed.as_py(), np.uint8, int(first[-1]))
+                key = [_keys(x["keys"]) for x in grammed.as_py() or []]
+                log = [_opened(x["logs"], np.float32, len(q)) for x, q in zip(grammed.as_py() or [], key)]
+                order = np.argsort(np.concatenate(key))
+                scores, firsts_of_words, hashes = score_symbols(out, first, np.concatenate(key)[order], np.concatenate(log)[order])
                 of = [_counts(x["totals"]) for x in sorted(back.as_py() or [], key=lambda x: x["part"])]
                 total = np.concatenate(of) if of else np.zeros(0, np.int64)
-                place = _counts(places.as_py())
-                log = lambda c: np.log10((c + 1) / (n + 1 * (v + 1)))
-                known = per_document(total[place] > 0, first) + (n_docs > 0)
-                base = per_document(log(total)[place].astype(np.float64), first) + log(np.int64(n_docs))
-                m = len(first) - 1
+                _, place = np.unique(hashes, return_inverse=True)  # the parts are ranges of hashes
+                log_of = lambda c: np.log10((c + 1) / (n + 1 * (v + 1)))
+                known = per_document(total[place] > 0, firsts_of_words) + (n_docs > 0)
+                base = per_document(log_of(total)[place].astype(np.float64), firsts_of_words) + log_of(np.int64(n_docs))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids.as_py(), pa.int64()), pa.array(held.as_py(), pa.bool_()), pa.array(np.diff(first) + 1), pa.array(known), pa.array(np.full(m, n, np.int64)), pa.array(base), pa.array(scores.as_py(), pa.float64())],
+                    [pa.array(ids.as_py(), pa.int64()), pa.array(held.as_py(), pa.bool_()), pa.array(np.diff(firsts_of_words) + 1), pa.array(known), pa.array(np.full(len(scores), n, np.int64)), pa.array(base), pa.array(scores)],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
     back = totals.filter("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("part", "totals")).alias("back"))
-    store = read.filter("part = -1").select("block", "ids", "held", "firsts", "scores", "places")
-    return store.join(back, "block", "left").select("ids", "held", "firsts", "scores", "places", "back").mapInArrow(based, SCORED)
+    grammed = logs.groupBy("block").agg(F.collect_list(F.struct("keys", "logs")).alias("grammed"))
+    store = read.filter("what = 'docs'").select("block", "ids", "held", "firsts", "symbols")
+    return store.join(back, "block", "left").join(grammed, "block", "left").select("ids", "held", "firsts", "symbols", "back", "grammed").mapInArrow(summed_up, SCORED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Probabilistic suffix tree over byte symbols: learning from counts, and scoring as an automaton.
+"""Probabilistic suffix tree over byte symbols: learning from counts, and scoring by parts of them or as an automaton.
 
 A text's symbols are the bytes of its words, SPACE between words and END after the last. Contexts
 are the up to DEPTH symbols before one; before a text stand DEPTH ENDs. A longer context is retained
@@ -19,8 +19,6 @@ SPACE, END = 0x20, 0x0A
 LEAST = 4
 #: What a parameter costs, in logarithms of the number of times its context occurs.
 COST = 0.25
-#: States of three and more symbols, at most: the size of the model, which bounds its broadcast.
-STATES = 32768
 #: Symbols of the context that decide where its counts are added up.
 SPLIT = 2
 #: Positions that a lane of the automaton scores.
@@ -49,8 +47,8 @@ def symbols(w: Words, n_docs: int, pad: int = DEPTH) -> tuple[np.ndarray, np.nda
     return out, first
 
 
-def grams(out: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (context, next symbol) of full depth, packed into 64 bits, and their counts."""
+def windows(out: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(context, next symbol) of full depth at each position from DEPTH on, packed into 64 bits, and which of them are real."""
     key = np.zeros(max(0, len(out) - DEPTH), U64)
     for k in range(DEPTH + 1):
         key = (key << U64(8)) | out[k : len(key) + k].astype(U64)
@@ -58,6 +56,14 @@ def grams(out: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     # contexts that reach back into another document end in padding, where nothing is predicted
     for k in range(1, DEPTH + 1):
         real[(first[1:-1] - k)[first[1:-1] - k < len(key)]] = False
+    return key, real
+
+
+def grams(out: np.ndarray, first: np.ndarray, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (context, next symbol) of full depth, packed into 64 bits, and their counts (in the documents `of` if given)."""
+    key, real = windows(out, first)
+    if of is not None:
+        real &= np.repeat(of, np.diff(first))[DEPTH:]
     key = np.sort(key[real])
     cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     return key[cut], np.diff(np.append(cut, len(key)))
@@ -96,8 +102,47 @@ def divergent(key: np.ndarray, count: np.ndarray, parent_key: np.ndarray, parent
     return ctx[cut][keep], np.stack([cut[keep], ends[keep]], 1), gain[keep]
 
 
+def found(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each of `wanted` stands in sorted_keys, whether it does)."""
+    if not len(sorted_keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, wanted), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == wanted
+
+
+def log_probabilities(wanted: np.ndarray, key: np.ndarray, count: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """log10 probability of each of `wanted` (sorted keys of full depth) by the tree of all contexts that pass.
+
+    key, count: the training counts of full depth of all contexts that end in the last SPLIT symbols
+    of a wanted one. pairs: the whole corpus's counts of single symbols and the next, which is all
+    that shorter contexts need of the rest.
+    """
+    level = {1: pairs, 0: shorter(*pairs, 0), DEPTH: (key, count)}
+    for d in range(DEPTH - 1, SPLIT - 1, -1):
+        level[d] = shorter(*level[d + 1], d)
+    p = np.full(len(wanted), 1 / 256)
+    for d in range(DEPTH + 1):
+        k, n = level[d]
+        if not len(k):
+            continue
+        if d:
+            states, entries, _ = divergent(k, n, *level[d - 1], d)
+        else:
+            states, entries = np.zeros(1, U64), np.array([[0, len(k)]])
+        if not len(states):
+            continue
+        total = np.append(0, np.cumsum(n))
+        total, types = total[entries[:, 1]] - total[entries[:, 0]], entries[:, 1] - entries[:, 0]
+        cut = wanted & U64((1 << (8 * (d + 1))) - 1)
+        state, held = found(states, cut >> U64(8))
+        at, seen = found(k, cut)
+        smooth = (np.where(seen, n[at], 0) + types[state] * p) / (total[state] + types[state])
+        p = np.where(held, smooth, p)
+    return np.log10(p)
+
+
 class Tree:
-    """The states' smoothed distributions, as an automaton over symbol classes."""
+    """The states' smoothed distributions, as an automaton over symbol classes: for a corpus whose states one process holds."""
 
     def __init__(self, contexts: list[tuple[bytes, np.ndarray, np.ndarray]]):
         """contexts: (context, next symbols, counts) of each state; the empty context among them."""

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from parapet.llm import fm_index, html_text, language_id, near_dup, quality_cnn, quality_rules, registry, sketch, suffix_tree, toxicity
+from parapet.llm import fm_index, html_text, language_id, language_model, near_dup, quality_cnn, quality_rules, registry, sketch, suffix_tree, toxicity
 from parapet.llm.components import components
 from parapet.llm.words import LOWER, Words, blocks, inside, string_block, window_hashes
 
@@ -250,3 +250,36 @@ def test_toxic_marks(spark):
     data, offsets = string_block(pa.array(["what an IDIOT", "what a nice item", ""], pa.string()))
     s = toxicity.scores(data, offsets, w, b)
     assert s[0] > 0.5 > s[1]
+
+
+def test_all_contexts_that_pass_are_states(spark):
+    """More contexts than any bound of the model's size: scores by parts are those of one tree of all states."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    follows = {a + b: rng.sample(letters, 2) for a in letters for b in letters}
+    follows |= {x + c: rng.sample(letters, 2) for x in list(follows) for c in letters}
+    follows |= {x + c: rng.choice(letters) for x in list(follows) if len(x) == 3 for c in letters}
+    rows = []
+    for i in range(160):
+        t = "abcd"
+        for _ in range(9000):
+            t += rng.choice(letters) if rng.random() < 0.15 else follows[t[-4:]]
+        rows.append((i, t))
+    got = {r.doc_id: r.score for r in language_model.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+
+    def as_symbols(texts):
+        data, offsets = string_block(pa.array(texts, pa.string()))
+        return suffix_tree.symbols(Words(LOWER[data], offsets), len(texts))
+
+    level = {suffix_tree.DEPTH: suffix_tree.grams(*as_symbols(train))}
+    for d in range(suffix_tree.DEPTH - 1, -1, -1):
+        level[d] = suffix_tree.shorter(*level[d + 1], d)
+    low = np.uint64(255)
+    contexts = [(b"", (level[0][0] & low).astype(np.int64), level[0][1])]
+    for d in range(1, suffix_tree.DEPTH + 1):
+        for x, (a, b), _ in zip(*suffix_tree.divergent(*level[d], *level[d - 1], d)):
+            contexts.append((int(x).to_bytes(d, "big"), (level[d][0][a:b] & low).astype(np.int64), level[d][1][a:b]))
+    assert sum(len(c) > 2 for c, _, _ in contexts) > 40000
+    want = suffix_tree.Tree(contexts).score(*as_symbols([t for _, t in rows]))
+    assert [got[i] for i in range(len(rows))] == pytest.approx(list(want), rel=1e-5)
