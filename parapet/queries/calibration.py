@@ -141,7 +141,7 @@ def b10(spark, sf):
 @query("b11_b15_search")
 def b11(spark, sf):
     """Best setting of each branch after random trials and coordinate descent."""
-    found = calibrate.search(bags(spark, sf), config(), trials=40, passes=2, hard_cap=HARD, soft_cap=SOFT)
+    found = calibrate.search(bags(spark, sf), config(), hard_cap=HARD, soft_cap=SOFT)
     return found.select("min_categories", "allow", "block", F.round("worth", 9).alias("worth"))
 
 

@@ -184,6 +184,63 @@ def test_search_separates(spark):
     assert all(r.worth >= 0.9 for r in got)
 
 
+def _plain_search(bags, config, least, hard_cap, soft_cap):
+    """700 draws, then ten passes from the best of them and from the base, one setting evaluated at a time over the bags."""
+    base = rules.default_weights(config)
+
+    def worth(t):
+        n = {}
+        for r in bags:
+            score = round(min(1.0, sum(t["weights"].get(x["key"], float(x["score"])) for x in r["bag"])), 9)
+            if any(x["veto"] for x in r["bag"]) or score >= t["block"]:
+                v = "block"
+            elif score >= t["allow"] and (least <= 1 or len({x["category"] for x in r["bag"]}) >= least):
+                v = "warn"
+            else:
+                v = "allow"
+            n[r["label"], v] = n.get((r["label"], v), 0) + r["runs"]
+        share = lambda label, *vs: sum(n.get((label, v), 0) for v in vs) / max(1, sum(c for (k, _), c in n.items() if k == label))
+        hard, soft, caught = share("benign", "block"), share("benign", "warn"), share("malicious", "warn", "block")
+        return -1 - hard + 0.01 * caught if hard > hard_cap else -0.5 - soft + 0.01 * caught if soft > soft_cap else caught - 0.1 * soft
+
+    def better(t, tries):
+        values = [worth(x) for x in tries]
+        return tries[values.index(max(values))] if max(values) > worth(t) + 1e-12 else t
+
+    def descended(t):
+        for _ in range(10):
+            before = worth(t)
+            for k in sorted(base):
+                t = better(t, [t | {"weights": t["weights"] | {k: round(i * 0.05, 10)}} for i in range(21)])
+            t = better(t, [t | {"allow": a} for a in (round(0.1 + i * 0.05, 10) for i in range(11)) if a < t["block"]])
+            t = better(t, [t | {"block": b} for b in (round(0.4 + i * 0.05, 10) for i in range(12)) if b > t["allow"]])
+            if worth(t) <= before:
+                break
+        return t
+
+    drawn = max(calibrate.random_trials(base, 700, least, 1), key=worth)
+    ends = [descended(t) for t in (drawn, {"allow": config.policy.allow_threshold, "block": config.policy.block_threshold, "weights": base})]
+    top = max(ends, key=worth)
+    return least, top["allow"], top["block"], round(worth(top), 9)
+
+
+def test_search_query_is_the_whole_search(spark, monkeypatch):
+    """The registered query against a search that evaluates one setting at a time with the reference's budget."""
+    kinds = ("capability_exec", "sink_eval", "typosquat_warn", "typosquat_close", "metadata_new_package", "metadata_single_maintainer", "capability_env_read", "obfuscation_high_entropy")
+    rows, labels = [], []
+    for i in range(40):
+        labels.append((f"p{i}", "malicious" if i % 3 == 0 else "benign"))
+        rows += [(f"p{i}", r, 0.1, False) for j, r in enumerate(kinds) if (i * 7 + j * j * 3 + (i % 3 == 0) * j) % 5 < 2]
+    bags = calibrate.collapsed(spark.createDataFrame(labels, "pkg_id string, label string"), bag(spark, rows)).persist()
+    monkeypatch.setattr(calibration, "bags", lambda spark, sf: bags)
+    got = sorted((r.min_categories, r.allow, r.block, r.worth) for r in calibration.b11(spark, "").collect())
+    plain = [r.asDict(recursive=True) for r in bags.collect()]
+    want = [_plain_search(plain, calibration.config(), m, calibration.HARD, calibration.SOFT) for m in (0, 2, 3)]
+    assert [x[0] for x in got] == [0, 2, 3]
+    for g, w in zip(got, want):
+        assert g == pytest.approx(w)
+
+
 def test_random_trials_do_not_depend_on_order():
     base = rules.default_weights(load(env={}))
     a = calibrate.random_trials(base, 5, 2, 9)
