@@ -44,6 +44,20 @@ def probes(spark: SparkSession, sf: str) -> DataFrame:
     return w.select(F.col("w").alias("pkg_id"), F.col("w").alias("full"), F.col("w").alias("bare"))
 
 
+def every_word(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(all words that are not popular, popular words): words of any length and count, of whole texts.
+
+    Words longer than the longest popular one by more than two have no neighbour, so they are left out before they are taken apart.
+    """
+    each = table(spark, sf, "documents").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).filter("w <> ''")
+    w = each.groupBy("w").agg(F.count("*").alias("n"))
+    known = (F.col("n") >= 200) & (F.length("w") >= 4)
+    frequent = w.filter(known).select(F.col("w").alias("popular"))
+    longest = frequent.agg(F.max(F.length("popular")).alias("longest"))
+    rest = w.filter(~known).join(F.broadcast(longest), F.length("w") <= F.col("longest") + 2)
+    return rest.select(F.col("w").alias("pkg_id"), F.col("w").alias("full"), F.col("w").alias("bare")), frequent
+
+
 def scoped_parts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.concat(F.lit("@"), "p_type", F.lit("/"), "p_name").alias("name"))
 
@@ -104,6 +118,18 @@ def t8(spark, sf):
     return names.neighbours(probes(spark, sf), popular(spark, sf), 1).select("bare").distinct().agg(F.count("*").alias("n"))
 
 
+@query("t7_edit_distance_all_words")
+def t7_all(spark, sf):
+    """t7_edit_distance with every non-popular word as a probe; its SQL compares all pairs, for which these are too many."""
+    return names.neighbours(*every_word(spark, sf)).select("bare", F.col("d").cast("long").alias("d"), "matched")
+
+
+@query("t8_neighbour_pairs_all_words")
+def t8_all(spark, sf):
+    """t8_neighbour_pairs with every non-popular word as a probe."""
+    return names.neighbours(*every_word(spark, sf), 1).select("bare").distinct().agg(F.count("*").alias("n"))
+
+
 @query("t9_levenshtein", "WITH t AS (SELECT DISTINCT p_name AS a FROM part) SELECT x.a, y.a AS b, levenshtein(x.a, y.a)::BIGINT AS d FROM t x JOIN t y ON x.a < y.a AND levenshtein(x.a, y.a) <= 3")
 def t9(spark, sf):
     a = table(spark, sf, "part").select(F.col("p_name").alias("a")).distinct()
