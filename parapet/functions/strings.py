@@ -19,9 +19,10 @@ def nfkc(names: pd.Series) -> pd.Series:
     return names.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
 
 
-def normalise(name: Column, unicode: bool = False) -> Column:
-    """NFKC, lower case, trimmed. Pure ASCII needs no NFKC; unicode=True adds it, by a vectorised UDF."""
-    return F.lower(F.trim(nfkc(name) if unicode else name))
+def normalise(name: Column) -> Column:
+    """NFKC, lower case, trimmed. Pure ASCII needs no NFKC, so that only other names go through the vectorised UDF."""
+    other = F.when(name.rlike(r"[^\x00-\x7F]"), name)
+    return F.lower(F.trim(F.coalesce(nfkc(other), name)))
 
 
 def strip_scope(name: Column) -> Column:

@@ -9,19 +9,19 @@ from parapet.functions.strings import deletions, normalise, osa, osa_within_two,
 from parapet.schema import fired, signal
 
 
-def reference(lines: DataFrame, unicode: bool = False) -> DataFrame:
+def reference(lines: DataFrame) -> DataFrame:
     """Distinct bare names of a popularity list (column name)."""
-    return lines.select(strip_scope(normalise(F.col("name"), unicode)).alias("popular")).filter("popular <> ''").distinct()
+    return lines.select(strip_scope(normalise(F.col("name"))).alias("popular")).filter("popular <> ''").distinct()
 
 
-def popular_scopes(lines: DataFrame, least: int = 3, unicode: bool = False) -> DataFrame:
+def popular_scopes(lines: DataFrame, least: int = 3) -> DataFrame:
     """Scopes with `least` lines or more, repeats counted."""
-    return lines.select(scope_of(normalise(F.col("name"), unicode)).alias("scope")).filter("scope IS NOT NULL").groupBy("scope").count().filter(F.col("count") >= least).select("scope")
+    return lines.select(scope_of(normalise(F.col("name"))).alias("scope")).filter("scope IS NOT NULL").groupBy("scope").count().filter(F.col("count") >= least).select("scope")
 
 
-def named(packages: DataFrame, unicode: bool = False) -> DataFrame:
+def named(packages: DataFrame) -> DataFrame:
     """pkg_id, full and bare name of packages (pkg_id, name)."""
-    return packages.select(F.col("pkg_id").cast("string").alias("pkg_id"), normalise(F.col("name"), unicode).alias("full")).withColumn("bare", strip_scope(F.col("full")))
+    return packages.select(F.col("pkg_id").cast("string").alias("pkg_id"), normalise(F.col("name")).alias("full")).withColumn("bare", strip_scope(F.col("full")))
 
 
 def not_popular(names: DataFrame, popular: DataFrame) -> DataFrame:
@@ -72,11 +72,11 @@ def near_scopes(names: DataFrame, scopes: DataFrame, most: int = 2) -> DataFrame
     return own.select("pkg_id", "scope").join(best, "scope").select("pkg_id", "scope", "d", "matched")
 
 
-def name_signals(packages: DataFrame, lines: DataFrame, config, unicode: bool = False) -> DataFrame:
+def name_signals(packages: DataFrame, lines: DataFrame, config) -> DataFrame:
     """All name rules. A homoglyph ends the search; combosquat and distance may both fire; scopes are apart."""
     one = config.layer1
-    names = named(packages, unicode)
-    popular = reference(lines, unicode)
+    names = named(packages)
+    popular = reference(lines)
     rest = not_popular(names, popular)
     masked = homoglyphs(rest, popular)
     plain = rest.join(masked.select("pkg_id"), "pkg_id", "left_anti")
@@ -94,7 +94,7 @@ def name_signals(packages: DataFrame, lines: DataFrame, config, unicode: bool =
     )
     parts.append(
         fired(
-            near_scopes(names, popular_scopes(lines, one.typosquat_scope_min_packages, unicode), one.typosquat_warn_distance),
+            near_scopes(names, popular_scopes(lines, one.typosquat_scope_min_packages), one.typosquat_warn_distance),
             (close & F.lit(one.typosquat_scope_close_score > 0), signal("typosquat_scope_close", one.typosquat_scope_close_score, matched=F.col("matched"), detail=detail)),
             (~close & F.lit(one.typosquat_scope_warn_score > 0), signal("typosquat_scope_warn", one.typosquat_scope_warn_score, matched=F.col("matched"), detail=detail)),
         )

@@ -23,6 +23,19 @@ EXPECTED = [
     ("@typess/node", "typosquat_scope_close", 0.55, "@types"),
     ("express.", "typosquat_close", 0.55, "express"),
 ]
+#: The same for names that are not ASCII, with popular names that are not.
+UNICODE_POPULAR = (*POPULAR, "ｅｘｐｒｅｓｓｏ", "ｖｕｅｊｓ", "ﬁbre", "@Ｔypes/ｊest")
+UNICODE_PROBES = ("ｒｅａｃｔ", "ｒａｅｃｔ", "ｒeactzz", "l０dash", "ｒeact-fake", "ｅspresso", "espresso", "vuejs", "Ｖuejs", "fibre", "ﬁber", "@ｔypess/node", "①", "@ｔypes/node")
+UNICODE_EXPECTED = [
+    ("ｒａｅｃｔ", "typosquat_close", 0.55, "react"),
+    ("ｒeactzz", "typosquat_warn", 0.3, "react"),
+    ("l０dash", "typosquat_ascii_homoglyph", 0.65, "lodash"),
+    ("ｒeact-fake", "typosquat_combosquat", 0.2, "react"),
+    ("ｅspresso", "typosquat_close", 0.55, "expresso"),
+    ("espresso", "typosquat_close", 0.55, "expresso"),
+    ("ﬁber", "typosquat_close", 0.55, "fibre"),
+    ("@ｔypess/node", "typosquat_scope_close", 0.55, "@types"),
+]
 OSA_PAIRS = [("react", "raect"), ("kitten", "sitting"), ("", "abc"), ("abc", ""), ("ab", "ba"), ("lodash", "lodahs"), ("same", "same"), ("types", "tpyse")]
 
 _WORDS = "words AS (SELECT w, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM documents) WHERE length(w) BETWEEN 4 AND 12 GROUP BY w)"
@@ -65,7 +78,7 @@ def scoped_parts(spark: SparkSession, sf: str) -> DataFrame:
 @query("t1_normalise", "SELECT * FROM " + values([("ＲＥＡＣＴ", "react"), (" Lodash ", "lodash"), ("ﬁx", "fix"), ("①", "1"), ("", "")], "name, normal"))
 def t1(spark, sf):
     rows = spark.createDataFrame([(x,) for x in ("ＲＥＡＣＴ", " Lodash ", "ﬁx", "①", "")], "name string")
-    return rows.select("name", normalise(F.col("name"), unicode=True).alias("normal"))
+    return rows.select("name", normalise(F.col("name")).alias("normal"))
 
 
 @query("t2_strip_scope", "SELECT p_partkey, regexp_replace('@' || p_type || '/' || p_name, '^@[^/]*/', '') AS bare FROM part")
@@ -151,14 +164,23 @@ def t10(spark, sf):
     return names.near_scopes(own, known).select("scope", F.col("d").cast("long").alias("d"), "matched").distinct()
 
 
-@query("t_name_rules", "SELECT pkg_id, rule, score::DOUBLE AS score, matched FROM " + values(EXPECTED, "pkg_id, rule, score, matched"))
-def t_rules(spark, sf):
-    packages = spark.createDataFrame([(x, x) for x in PROBES], "pkg_id string, name string")
-    lines = spark.createDataFrame([(x,) for x in POPULAR], "name string")
+def name_rules(spark: SparkSession, probes: tuple[str, ...], known: tuple[str, ...]) -> DataFrame:
+    packages = spark.createDataFrame([(x, x) for x in probes], "pkg_id string, name string")
+    lines = spark.createDataFrame([(x,) for x in known], "name string")
     found = names.name_signals(packages, lines, load(env={}))
     return found.select("pkg_id", "rule", F.col("score").cast("double").alias("score"), "matched")
 
 
+@query("t_name_rules", "SELECT pkg_id, rule, score::DOUBLE AS score, matched FROM " + values(EXPECTED, "pkg_id, rule, score, matched"))
+def t_rules(spark, sf):
+    return name_rules(spark, PROBES, POPULAR)
+
+
+@query("t_name_rules_unicode", "SELECT pkg_id, rule, score::DOUBLE AS score, matched FROM " + values(UNICODE_EXPECTED, "pkg_id, rule, score, matched"))
+def t_rules_unicode(spark, sf):
+    return name_rules(spark, UNICODE_PROBES, UNICODE_POPULAR)
+
+
 @query("t11_advisory_veto", "SELECT DISTINCT doc_id::VARCHAR AS pkg_id, 'osv_known_vulnerability' AS rule, 0.0::DOUBLE AS score, true AS veto, 'CWE-1035' AS cwe, '' AS matched, '' AS detail FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def t11(spark, sf):
     packages = table(spark, sf, "documents").select(F.col("doc_id").alias("pkg_id"), F.col("doc_id").alias("name"), F.lit("1.0.0").alias("version"))
