@@ -99,8 +99,9 @@ _FILES = """f AS (SELECT (doc_id % 100)::VARCHAR AS pkg_id, doc_id, doc_id % 10
 j AS (SELECT * FROM f WHERE regexp_matches(path, '\\.(js|mjs|cjs|ts)$'))"""
 
 
-def nth_file(spark, sf):
-    return files(spark, sf).drop("text", "doc_id")
+def nth_file(spark, sf, pkg_id=None):
+    """A snippet and the whole text after it."""
+    return files(spark, sf).withColumn("pkg_id", F.col("pkg_id") if pkg_id is None else pkg_id).withColumn("src", F.concat("src", F.lit("\n"), F.coalesce("text", F.lit("")))).drop("text", "doc_id")
 
 
 @query("c1_c9_file_filters", f"WITH {_FILES} SELECT path, regexp_matches(path, '\\.(js|mjs|cjs|ts)$') AS source, regexp_matches(lower(path), '^(package/)?(dist|build|out|lib)/|\\.(min|bundle|prod|umd|cjs|esm|iife)\\.js$') AS bundled FROM f")
@@ -188,6 +189,14 @@ def c16(spark, sf):
     return code.sink_signals(found, hidden, config()).filter("rule = 'sink_with_obfuscation'").select("pkg_id", "rule", F.col("score").cast("double").alias("score"), "detail")
 
 
+@query("c16_sink_collapse_documents")
+def c16_documents(spark, sf):
+    """Sink signals of documents as packages of their own, hidden where the entropy rule says so."""
+    own = nth_file(spark, sf, F.col("doc_id").cast("string"))
+    hidden = code.obfuscation_signals(code.entropy_counts(own, packed()), packed()).select("pkg_id").distinct()
+    return code.sink_signals(code.sinks(code.sources(own)), hidden, config()).select("pkg_id", "rule", F.col("score").cast("double").alias("score"), "detail")
+
+
 @query("c18_has_sinks", f"WITH {_FILES}, {_SINKS} SELECT DISTINCT pkg_id FROM k")
 def c18(spark, sf):
     return code.has_sinks(code.sinks(code.sources(nth_file(spark, sf))))

@@ -56,3 +56,14 @@ def test_every_word_is_a_probe(spark, tmp_path):
     assert got == want and {"ldoash", "lodas", "lodahss", "expres", "expressoo", "abcdefghijklmnopqr", "react"} <= set(got)
     close = sum(any(_edits(w, p) <= 1 for p in often) for w in counts.keys() - often.keys())
     assert registry.queries()["t8_neighbour_pairs_all_words"](spark, str(tmp_path)).first().n == close
+
+
+def test_scans_read_whole_texts(spark, tmp_path):
+    prose = "plain words of a long text " * 400
+    packed = "'" + "aZ3kQ9xP7mL2vB8nR5tY1wE6uI4oS0dF" + "'"
+    rows = [(2, prose + packed), (12, prose), (13, prose + "eval(late)"), (23, prose + "it ends")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    of = registry.queries()
+    assert {r.pkg_id for r in of["c18_has_sinks"](spark, str(tmp_path)).collect()} == {"2", "12", "13"}
+    got = {(r.pkg_id, r.rule) for r in of["c16_sink_collapse_documents"](spark, str(tmp_path)).collect()}
+    assert got == {("2", "sink_with_obfuscation"), ("12", "sink_eval"), ("13", "sink_eval")}
