@@ -11,6 +11,7 @@ DEFAULTS = {
     "proxy": {"max_tarball_bytes": 524288000, "analysis_timeout_sec": 15},
     "cache": {"verdict_ttl_hours": 24, "osv_ttl_hours": 1},
     "extractor": {"max_files": 10000, "max_file_bytes": 5242880, "max_total_bytes": 104857600},
+    "calibration": {"max_files": 100000, "max_file_bytes": 104857600, "max_total_bytes": 2147483648},
     "layer1": {
         "typosquat_close_distance": 1,
         "typosquat_close_score": 0.55,

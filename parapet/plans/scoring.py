@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 
 from parapet.operators import code, manifest, metadata, names, policy, versions
 from parapet.schema import union
-from parapet.sources import registry
+from parapet.sources import archives, registry
 
 
 @dataclass
@@ -75,11 +75,19 @@ def score_files(files: DataFrame, config, pairs: DataFrame | None = None) -> tup
     return signals, policy.decide(files.select("pkg_id").distinct(), signals, config)
 
 
+def calibration_files(found: DataFrame, config) -> DataFrame:
+    """B1: files of the corpus's archives (pkg_id, content) by the limits of calibration, which large samples do not break."""
+    return archives.files(found, config.calibration)
+
+
 def calibration_runs(corpus: DataFrame, files: DataFrame, config, strip_advisories: bool = False) -> DataFrame:
     """B1 and B2: signals of a labelled corpus (pkg_id, label, osv_vulnerable), with a veto made of the label where it says so.
 
-    Archives that cannot be read give no runs: see dropped().
+    files are those of calibration_files, or the archives themselves (pkg_id, content), which are then
+    unpacked so. Archives that cannot be read give no runs: see dropped().
     """
+    if "path" not in files.columns:
+        files = calibration_files(files, config)
     sound = files.filter("error IS NULL")
     signals, _ = score_files(sound, config)
     if strip_advisories:

@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 FILES = "pkg_id string, path string, content binary, src string, error string"
 
 
+#: Bytes of files that are sent on together (a larger file goes by itself).
+BATCH_BYTES = 64 << 20
+
+
 class Refused(ValueError):
     """An archive that breaks a limit or leaves its folder."""
 
@@ -63,8 +67,14 @@ def files(archives: DataFrame, limits) -> DataFrame:
                     found = [(p, c, c.decode("utf-8", "replace"), None) for p, c in sorted(unpack(data, *bounds).items())]
                 except (Refused, tarfile.TarError, EOFError, OSError, TypeError) as e:
                     found = [(None, None, None, str(e) or type(e).__name__)]
-                for at in range(0, len(found), 64):
-                    path, content, src, error = zip(*found[at : at + 64])
+                at = 0
+                while at < len(found):  # 64 files, or fewer large ones
+                    to, size = at + 1, len(found[at][1] or b"")
+                    while to < min(at + 64, len(found)) and size + len(found[to][1]) <= BATCH_BYTES:
+                        size += len(found[to][1])
+                        to += 1
+                    path, content, src, error = zip(*found[at:to])
+                    at = to
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([pkg] * len(path), pa.string()), pa.array(path, pa.string()), pa.array(content, pa.binary()), pa.array(src, pa.string()), pa.array(error, pa.string())], ["pkg_id", "path", "content", "src", "error"]
                     )

@@ -40,6 +40,19 @@ def test_calibration_runs(spark):
     assert "osv_known_vulnerability" not in stripped
 
 
+def test_calibration_unpacks_large_samples(spark):
+    """A file beyond the production limit is a run in calibration."""
+    config = load(env={})
+    large = queries.tgz([("package/index.js", b"eval(x)"), ("package/lib.node", b"\0" * (config.extractor.max_file_bytes + 1))])
+    found = spark.createDataFrame([("large", bytearray(large))], "pkg_id string, content binary")
+    corpus = spark.createDataFrame([("large", "malicious", False)], "pkg_id string, label string, osv_vulnerable boolean")
+    assert [r.pkg_id for r in scoring.dropped(archives.files(found, config.extractor)).collect()] == ["large"]
+    assert scoring.dropped(scoring.calibration_files(found, config)).count() == 0
+    assert "sink_eval" in {r.rule for r in scoring.calibration_runs(corpus, found, config).collect()}
+    limits = config.calibration
+    assert (limits.max_files, limits.max_file_bytes, limits.max_total_bytes) == (100000, 100 << 20, 2 << 30)
+
+
 def test_history_of_verdicts(spark):
     e = spark.createDataFrame([("x", 1, "warn"), ("x", 2, "block"), ("y", 1, "allow")], "sha256 string, t int, verdict string").withColumn("analyzed_at", F.timestamp_seconds("t"))
     assert {(r.sha256, r.verdict, r.before) for r in cache.history(e).collect()} == {("x", "warn", None), ("x", "block", "warn"), ("y", "allow", None)}
