@@ -26,7 +26,7 @@ from parapet.llm.shared import fold, table
 from parapet.llm.words import blocks, give_back
 
 CHUNK, OVERLAP = 256, 32
-EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 6, 8, 4, 16, 16
+EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 6, 8, 1, 16, 16
 #: Bounds of the training sample.
 ROWS, SIZE = 3000, 6 << 20
 EPOCHS, BATCH, RATE, SEED = 12, 24, 0.01, 11

@@ -283,3 +283,12 @@ def test_all_contexts_that_pass_are_states(spark):
     assert sum(len(c) > 2 for c, _, _ in contexts) > 40000
     want = suffix_tree.Tree(contexts).score(*as_symbols([t for _, t in rows]))
     assert [got[i] for i in range(len(rows))] == pytest.approx(list(want), rel=1e-5)
+
+
+def test_filters_see_a_pattern_at_every_offset():
+    model = quality_cnn.begin_model(3)
+    text = np.full((8, quality_cnn.CHUNK), ord("a") + 1)
+    for k in range(8):
+        text[k, 40 + k : 48 + k] = np.frombuffer(b"p4tt3rn!", np.uint8).astype(int) + 1
+    pooled = quality_cnn.pooled(model, text)[0]
+    assert np.allclose(pooled, pooled[0], rtol=1e-5, atol=1e-6)
