@@ -1,20 +1,26 @@
 """Operator 7: near-duplicates by fast similarity sketching, banding and exact verification.
 
-1. Every document's shingle set gets a 128-bit fingerprint and a sketch of COORDINATES values
-   (sketch.py). Equal sets are one class, represented by its least id, so copies are never paired.
-2. Representatives that agree in a whole band share a bucket. With 40 bands of 5 rows a pair of
-   similarity 0.75 misses all buckets with probability 2e-5.
+1. Every row's shingle set gets a 128-bit fingerprint and a sketch of COORDINATES values (sketch.py).
+   Rows with equal sets are one class, a node of what follows, so copies are never paired.
+2. Nodes that agree in a whole band share a bucket. With 40 bands of 5 rows a pair of similarity
+   0.75 misses all buckets with probability 2e-5.
 3. Each bucket's members are verified against its least member on the full sets, and components of
    these links are found.
 4. What such stars can miss is checked pair by pair, in buckets whose members are still in several
-   components, leaving out pairs that cannot be linked: of too different sizes, with too many
-   shingles that no other such document has (all exact bounds), or whose sketches agree in less
-   than AGREE of the coordinates (more than 4 standard deviations below 0.75). Large buckets are
+   components: members of the bucket's largest component meet those of others, and the others meet
+   one another. Pairs that cannot be linked are left out: of too different sizes, with too many
+   shingles that no other such node has (all exact bounds), or whose sketches agree in less than
+   AGREE of the coordinates (8 standard deviations below 0.75, a chance of 1e-14). Large buckets are
    worked on in pairs of blocks. Links found join the components.
 
-Cases: null or empty text has an empty set and no links (component_id is its own id, kept); rows
-without id get component_id null, are linked with nothing and kept; repeated rows have equal sets
-and are one class; an empty table gives an empty result; other columns are ignored.
+A bucket, a text or a leader that a large share of all rows has is met by broadcast or dealt over
+tasks (shared.met, _with_set), so no task holds all rows of one.
+
+Cases: rows, not ids, are the nodes, so an id on several rows with different texts is in the class of
+each of them; a component's id is the least doc_id of its rows. Null or empty text has an empty set
+and no links (component_id is its own id, kept); rows without id get component_id null, are linked
+with nothing and kept; repeated rows have equal sets and are one class; very long texts are sets like
+others; ties go to the least id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,20 +33,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parapet.llm.components import components
-from parapet.llm.shared import table, written
+from parapet.llm.shared import HOT, bitmap, bitmap_bits, flagged, mapped, met, table, written
 from parapet.llm.sketch import BANDS, COORDINATES, band_keys, fingerprints, shingle_sets, sketch
 from parapet.llm.words import blocks
 
 #: Links: 100 * |intersection| >= PERCENT * |union|.
 PERCENT = 75
 #: Least number of equal coordinates of a pair to be verified.
-AGREE = 124
+AGREE = 100
 #: Members of a bucket that are compared with one another at once.
 BLOCK = 512
-#: Bits of the bitmap that tells which documents' sets are needed (2 MB, whatever the data).
-BITMAP = 1 << 24
+#: Pairs of one node that are verified by a task, about, if the node has a large share of all.
+DEALT = 256
 
-SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, coords binary"
+SIGNED = "doc_id long, of long, n_shingles long, f1 long, f2 long, keys array<long>, coords binary"
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,38 +58,16 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(band_keys(s).view(np.int64).ravel()))
             coords = pa.array([r.tobytes() for r in (s & np.uint64(255)).astype(np.uint8)], pa.binary())
             f1, f2 = fingerprints(sets, first)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(first)), pa.array(f1), pa.array(f2), keys, coords], ["doc_id", "n_shingles", "f1", "f2", "keys", "coords"])
-
-
-def _needed(ids: DataFrame, column: str) -> np.ndarray:
-    """BITMAP bits, set where a needed id's hash falls."""
-    place = F.pmod(F.xxhash64(column), F.lit(BITMAP))
-    # bucket numbers and bit positions count from value 1
-    rows = ids.select((place + 1).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
-    out = np.zeros(BITMAP // 8 + 4096, np.uint8)
-    for r in rows:  # at most BITMAP / 32768 rows of 4 KB
-        out[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out
-
-
-def _sets(docs: DataFrame, needed: np.ndarray) -> DataFrame:
-    """(id, f1, set) of the documents that the bitmap names, and of some more."""
-    held = docs.sparkSession.sparkContext.broadcast(needed)
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = held.value
-        for batch in batches:
-            h = batch.column(2).to_numpy(zero_copy_only=False)
-            want = np.flatnonzero((bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1)
-            if not len(want):
-                continue
-            for rows, data, offsets in blocks(batch.take(pa.array(want)), "text"):
-                sets, first = shingle_sets(data, offsets)
-                raw = pa.array([sets[first[k] : first[k + 1]].tobytes() for k in range(rows.num_rows)], pa.binary())
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fingerprints(sets, first)[0]), raw], ["id", "f1", "set"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(np.diff(first)), pa.array(f1), pa.array(f2), keys, coords], ["doc_id", "of", "n_shingles", "f1", "f2", "keys", "coords"])
 
-    rows = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP)).alias("h")).filter("doc_id IS NOT NULL")
-    return rows.mapInArrow(made, "id long, f1 long, set binary")
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rows, data, offsets in blocks(batch, "text"):
+            sets, first = shingle_sets(data, offsets)
+            raw = pa.array([sets[first[k] : first[k + 1]].tobytes() for k in range(rows.num_rows)], pa.binary())
+            f1, f2 = fingerprints(sets, first)
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(f1), pa.array(f2), raw], ["id", "f1", "f2", "set"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,11 +86,29 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(ok))
 
 
+def _busy(pairs: DataFrame, total: int, side: str) -> DataFrame:
+    """busy, parts: the nodes in column `side` (at most HOT) that have a large share of all pairs, and over how many tasks to deal these."""
+    per = pairs.groupBy(side).agg(F.count("*").alias("n")).filter((F.col("n") > DEALT) & (F.col("n") * HOT > total))
+    return written(per.select(F.col(side).alias("busy"), F.ceil(F.col("n") / DEALT).alias("parts")), "busy")
+
+
+def _with_set(pairs: DataFrame, busy: DataFrame, sets: DataFrame, side: str, other: str) -> DataFrame:
+    """pairs with the set of the node in column `side`, as set_<side>; that of a busy one goes to several tasks."""
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    dealt = pairs.join(F.broadcast(busy), F.col(side) == F.col("busy"), "left").withColumn("part", F.pmod(F.xxhash64(other), parts)).drop("busy", "parts")
+    held = sets.join(F.broadcast(busy), F.col("node") == F.col("busy"), "left")
+    held = held.select(F.col("node").alias(side), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("set").alias(f"set_{side}"))
+    return dealt.join(held, [side, "part"]).drop("part")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar."""
-    one = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
-    two = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "set_a", "set_b").mapInArrow(_linked, "a long, b long")
+    """Those of distinct pairs (a, b) of nodes whose full sets are similar."""
+    pairs = written(pairs, "pairs")
+    total = pairs.count()
+    both = pairs
+    for side, other in (("b", "a"), ("a", "b")):
+        both = _with_set(both, _busy(pairs, total, side), sets, side, other)
+    return mapped(both.select("a", "b", "set_a", "set_b"), _linked, "a long, b long")
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,29 +117,46 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
         for k in range(0, len(ids), 500):
             part = held[k : k + 500]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[k : k + 500], [len(x) for x in part])), pa.array(np.concatenate(part))], ["id", "shingle"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[k : k + 500], [len(x) for x in part])), pa.array(np.concatenate(part))], ["node", "shingle"])
+
+
+def _shared(open_nodes: DataFrame) -> DataFrame:
+    """node, shared: at most how many shingles of each open node (node, set) another one has too.
+
+    A shingle that two nodes have sets its place in a bitmap. A place set by another shingle makes
+    the bound larger, which costs work and no link.
+    """
+    each = written(mapped(open_nodes.select("node", "set"), _shingles, "node long, shingle long"), "shingles")
+    twice = written(each.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").select("shingle"), "twice")
+    bits = bitmap_bits(twice.count())
+    marked = flagged(each, F.col("shingle"), written(bitmap(twice, "shingle", bits), "marks"), bits, "twice")
+    return marked.groupBy("node").agg(F.count_if("twice").alias("shared"))
 
 
 def _candidates(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one bucket's (or two blocks') members that may be linked and were in no earlier band together."""
-    ids, comp, size, shared, block = (group.column(c).to_numpy() for c in ("id", "component", "n_shingles", "shared", "block"))
-    coords = np.frombuffer(b"".join(group.column("coords").to_pylist()), np.uint8).reshape(len(ids), COORDINATES)
-    keys = np.array(group.column("keys").combine_chunks().flatten()).reshape(len(ids), BANDS)
-    key, (i, j) = group.column("key")[0].as_py(), (group.column(c)[0].as_py() for c in ("i", "j"))
+    """Pairs of the members of a group that may be linked.
+
+    A group is a block of the bucket's main component with one of other members (i < 0: only pairs
+    across count), or one or two blocks of other members (of two, only pairs across count).
+    """
+    nodes, comp, size, shared, block = (group.column(c).to_numpy() for c in ("node", "component", "n_shingles", "shared", "block"))
+    coords = np.frombuffer(b"".join(group.column("coords").to_pylist()), np.uint8).reshape(len(nodes), COORDINATES)
+    i, j = (group.column(c)[0].as_py() for c in ("i", "j"))
+    if i == j:
+        rows, others = np.arange(len(nodes)), None
+    else:
+        rows, others = np.flatnonzero(block == i), np.flatnonzero(block != i)
     out_a, out_b = [], []
-    for x in range(len(ids)):
-        y = np.arange(x + 1, len(ids))
+    for x in rows:
+        y = np.arange(x + 1, len(nodes)) if others is None else others
         small, large = np.minimum(size[y], size[x]), np.maximum(size[y], size[x])
         may = (comp[y] != comp[x]) & (100 * small >= PERCENT * large) & ((100 + PERCENT) * np.minimum(shared[y], shared[x]) >= PERCENT * (size[y] + size[x]))
-        if i != j:
-            may &= block[y] != block[x]
         y = y[may]
         y = y[np.count_nonzero(coords[y] == coords[x], axis=1) >= AGREE]
         if len(y):
-            y = y[keys[x][(keys[y] == keys[x]).argmax(1)] == key]
-            out_a.append(np.minimum(ids[x], ids[y]))
-            out_b.append(np.maximum(ids[x], ids[y]))
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (ids[:0], ids[:0])
+            out_a.append(np.minimum(nodes[x], nodes[y]))
+            out_b.append(np.maximum(nodes[x], nodes[y]))
+    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (nodes[:0], nodes[:0])
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,82 +183,112 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made(left)
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(docs.mapInArrow(_signed, SIGNED), "signed")
+def _per_bucket(members: DataFrame) -> DataFrame:
+    """key, main, n, n_main of the buckets (key, component, ...) whose members are in several components; main is the largest, the least of equals."""
+    each = members.groupBy("key", "component").agg(F.count("*").alias("c"))
+    main = F.max_by("component", F.struct("c", -F.col("component")))
+    return each.groupBy("key").agg(main.alias("main"), F.sum("c").alias("n"), F.max("c").alias("n_main"), F.count("*").alias("kinds")).filter("kinds > 1").drop("kinds")
+
+
+def _across(members: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Rows of members dealt to groups (key, i, j) of two blocks each, as _candidates() has them: blocks of the main component are -1, -2 ..., those of others 0, 1 ..."""
+    n = written(buckets, "buckets")
+    total = n.agg(F.sum("n")).first()[0] or 0
+    parts = lambda c: F.ceil(c / BLOCK).cast("long")
+    held = met(members, n.withColumn("mains", parts(F.col("n_main"))).withColumn("rests", parts(F.col("n") - F.col("n_main"))), "key", total)
+    is_main = F.col("component") == F.col("main")
+    turn = F.xxhash64("node")
+    block = F.when(is_main, -1 - F.pmod(turn, F.col("mains"))).otherwise(F.pmod(turn, F.col("rests")))
+    rests = F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)
+    # a member of the main component meets all blocks of others; another one also all blocks of the main one
+    meets = F.when(is_main, rests).otherwise(F.concat(F.transform(F.sequence(F.lit(1).cast("long"), F.col("mains")), lambda x: -x), rests))
+    dealt = held.withColumn("block", block).withColumn("other", F.explode(meets))
+    return dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n_shingles", "shared", "coords")
+
+
+def _nodes(docs: DataFrame) -> DataFrame:
+    """doc_id, of (a hash of the text), n_shingles, component (a node of it; null without set or id), component_id, kept for each row of docs (doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("of"))
+    signed = written(mapped(docs, _signed, SIGNED), "signed")
     same = ["f1", "f2", "n_shingles"]
-    reps = written(signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("coords").alias("coords")), "reps")
-
-    banded = reps.select("id", F.explode("keys").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    members = written(banded.join(buckets, "key"), "members")
-    involved = members.select("id").distinct()
-    sets = written(_sets(docs, _needed(involved, "id")).join(reps.select("id", "f1"), ["id", "f1"], "left_semi").dropDuplicates(["id"]), "sets")
-
-    star = members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    rated = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    reps = rated.groupBy(*same).agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("coords").alias("coords"))
+    reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "reps")
+
+    banded = reps.select("node", F.explode("keys").alias("key"))
+    buckets = written(banded.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1"), "buckets")
+    total = buckets.agg(F.sum("n")).first()[0] or 0
+    members = written(met(banded, buckets, "key", total).select("key", "node", "leader"), "members")
+    involved = written(members.select("node").distinct().join(reps.select("node", "id", "f1", "f2"), "node"), "involved")
+    bits = bitmap_bits(involved.count())
+    wanted = flagged(docs.filter("doc_id IS NOT NULL"), F.col("doc_id"), written(bitmap(involved, "id", bits), "marks"), bits, "wanted").filter("wanted")
+    key = ["id", "f1", "f2"]
+    sets = mapped(wanted.select("doc_id", "text"), _sets, "id long, f1 long, f2 long, set binary").dropDuplicates(key)
+    sets = written(sets.join(involved, key).select("node", "set"), "sets")
+
+    star = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = written(_verified(star, sets), "links")
     found = written(components(links), "components")
 
-    known = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    parted = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    open_ = written(known.join(parted, "key", "left_semi").select("key", "id", "component"), "open")
-    # shingles that another document of an open bucket has too: only these can be common to a link
-    each = sets.join(open_.select("id").distinct(), "id", "left_semi").select("id", "set").mapInArrow(_shingles, "id long, shingle long")
-    each = written(each, "shingles")
-    twice = each.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").select("shingle")
-    shared = each.join(twice, "shingle", "left_semi").groupBy("id").agg(F.count("*").alias("shared"))
-    able = open_.join(shared, "id").join(reps.select("id", "n_shingles", "keys", "coords"), "id").filter(F.col("shared") * 100 >= F.col("n_shingles") * PERCENT)
-    able = written(able, "able")
-    counts = able.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    parts = F.ceil(F.col("n") / BLOCK).cast("long")
-    dealt = (
-        able.join(counts.select("key", parts.alias("parts")), "key")
-        .withColumn("block", F.pmod(F.xxhash64("id"), "parts"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        .withColumn("i", F.least("block", "other"))
-        .withColumn("j", F.greatest("block", "other"))
-        .drop("parts", "other")
-    )
+    known = written(members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "known")
+    parted = written(_per_bucket(known), "parted")
+    open_ = written(met(known, parted, "key", parted.agg(F.sum("n")).first()[0] or 0).select("key", "node", "component"), "open")
+    shared = _shared(sets.join(open_.select("node").distinct(), "node", "left_semi"))
+    able = shared.join(reps.select("node", "n_shingles", "coords"), "node").filter(F.col("shared") * 100 >= F.col("n_shingles") * PERCENT)
+    able = written(open_.join(able, "node"), "able")
+    dealt = _across(able, _per_bucket(able))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = dealt.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_paired, "a long, b long").distinct()
+    pairs = mapped(dealt.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j"), _paired, "a long, b long").distinct()
     more = _verified(pairs, sets)
     found = written(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
 
-    named = reps.join(found.withColumnRenamed("node", "id"), "id", "left").select(*same, F.coalesce("component", "id").alias("component_id"))
-    out = signed.join(named, same, "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named = written(reps.select(*same, "id", "copies", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node"), "named")
+    least = written(named.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("n")), "least")
+    named = met(named, least, "component", least.agg(F.sum("n")).first()[0] or 0).select(F.struct(*same).alias("set"), F.col("copies"), "component", "component_id")
+    named = written(named, "named")
+    mine = rated.select("doc_id", "of", "n_shingles", F.struct(*same).alias("set"))
+    out = met(mine, named, "set", named.agg(F.sum("copies")).first()[0] or 0, "copies").select("doc_id", "of", "n_shingles", "component", "component_id")
+    none = F.lit(None).cast("long")
+    alone = signed.filter("n_shingles = 0 OR doc_id IS NULL")
+    out = out.unionByName(alone.select("doc_id", "of", "n_shingles", none.alias("component"), F.when(F.col("n_shingles") == 0, F.col("doc_id")).alias("component_id")))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
+    return _nodes(docs).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, of which one of each class stays; repeated rows become one.
+    """The rows of docs, with all their columns, of which one of each class stays; equal rows with an id become one.
 
-    A bitmap of the ids to be dropped tells the rows that stay for certain, so that their texts are
-    not shuffled; only the others are joined with the ids.
+    Where an id has several texts of one class, that with the least hash stays; rows without a word
+    or without id stay. Rows whose id no decision is about, which a bitmap of ids tells, are not shuffled.
     """
-    found = written(classes(docs).select("doc_id", "kept"), "classes")
-    dropped = found.filter("NOT kept").select(F.col("doc_id").alias("dropped")).distinct()
-    held = docs.sparkSession.sparkContext.broadcast(_needed(dropped, "dropped"))
-    names = docs.columns
+    found = written(_nodes(docs), "classes")
+    row = ["doc_id", "of"]
+    dropped = found.filter("NOT kept").select(*row)
+    again = written(found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "again")
+    repeated = not again.isEmpty()
+    if repeated:
+        several = found.filter("kept AND component IS NOT NULL").join(again, "doc_id", "left_semi")
+        first = several.groupBy("doc_id", "component").agg(F.min("of").alias("first"))
+        dropped = dropped.unionByName(several.join(first, ["doc_id", "component"]).filter("of <> first").select(*row))
+    dropped = written(dropped.distinct(), "dropped")
+    ids = dropped.select("doc_id").unionByName(again).distinct()
+    bits = bitmap_bits(ids.count())
+    marks = written(bitmap(ids, "doc_id", bits), "marks")
 
-    def told(wanted: bool):
-        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = held.value
-            for batch in batches:
-                h = batch.column(len(names)).to_numpy(zero_copy_only=False)
-                marked = ((bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1) == 1
-                yield batch.select(list(range(len(names)))).filter(pa.array(marked == wanted))
-
-        return rows
-
-    # a null id hashes too: such rows are joined at worst
-    placed = docs.select(*[docs[c] for c in names], F.pmod(F.xxhash64(docs["doc_id"].cast("long")), F.lit(BITMAP)))
-    maybe = placed.mapInArrow(told(True), docs.schema)
-    kept = placed.mapInArrow(told(False), docs.schema).union(maybe.join(dropped, maybe["doc_id"] == dropped["dropped"], "left_anti"))
-    if found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates(names)
+    names = docs.columns
+    id_ = docs["doc_id"].cast("long")
+    placed = flagged(docs.withColumn("__id", id_), F.col("__id"), marks, bits, "__told")
+    sure = placed.filter("NOT __told OR __id IS NULL").select(*names)
+    told = placed.filter("__told AND __id IS NOT NULL").select(*names)
+    if repeated:
+        told = told.dropDuplicates()
+    gone = dropped.select(F.col("doc_id").alias("__gone"), F.col("of").alias("__of"))
+    left = told.join(gone, (told["doc_id"].cast("long") == F.col("__gone")) & (F.xxhash64(told["text"]) == F.col("__of")), "left_anti")
+    return sure.unionByName(left)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,37 +1,13 @@
-"""Session helpers: the cluster's shared folder, and cutting lineage by a table written there."""
+"""Session helpers of the training-data operators: tables, sources and Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parapet.ship import ship
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that driver and executors share (spark.checkpoint.dir).
-
-    Where the setting is absent and the master is local[...], a temporary folder is set; on a
-    cluster without the setting this raises, as a machine-local folder would lose data there.
-    """
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        there = held.get() if held.isDefined() else None
-    if not there:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        there = "file://" + tempfile.mkdtemp(prefix="parapet-")
-        spark.sparkContext.setCheckpointDir(there)
-    return there if "://" in there or there.startswith("file:") else f"file://{there}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
+from parapet import shared
+from parapet.shared import HOT, bitmap, bitmap_bits, flagged, met, new_path, shared_dir  # noqa: F401
+from parapet.ship import mapped, ship  # noqa: F401
 
 #: Bytes of an Arrow batch between the JVM and Python, at most: whole batches are held on both sides.
 BATCH_BYTES = 8 << 20
@@ -45,11 +21,8 @@ def prepared(spark: SparkSession) -> None:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, lineage cut, safe if executors go."""
-    spark = df.sparkSession
-    prepared(spark)
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    prepared(df.sparkSession)
+    return shared.written(df, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

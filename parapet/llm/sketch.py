@@ -7,11 +7,8 @@ import numpy as np
 from parapet.llm.words import LOWER, U64, Words, inside, mix, per_document, window_hashes
 
 SHINGLE = 5
-#: Bits of a shingle's hash; the rest of a 64-bit sort key holds the document's place in its block.
-BITS = 52
 BANDS, BAND_ROWS = 40, 5
 COORDINATES = BANDS * BAND_ROWS
-_MASK = U64((1 << BITS) - 1)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -28,10 +25,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         if len(short):
             keys.append(window_hashes(h, k)[w.first[:-1][short]])
             docs.append(short)
-    key = (np.concatenate(docs).astype(U64) << U64(BITS)) | (np.concatenate(keys) >> U64(64 - BITS))
-    key.sort()
-    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
-    return key & _MASK, np.searchsorted(key >> U64(BITS), np.arange(n + 1).astype(U64))
+    key, of = np.concatenate(keys), np.concatenate(docs).astype(np.uint16)  # a block has at most BLOCK_ROWS documents
+    order = np.argsort(key)
+    order = order[np.argsort(of[order], kind="stable")]
+    key, of = key[order], of[order]
+    fresh = np.append(True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])) if len(key) else np.zeros(0, bool)
+    return key[fresh], np.searchsorted(of[fresh], np.arange(n + 1))
 
 
 def sketch(sets: np.ndarray, first: np.ndarray, t: int = COORDINATES) -> np.ndarray:
@@ -77,6 +76,6 @@ def fingerprints(sets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     sums = []
     for seed in (U64(0x51ED270B), U64(0x2545F491)):
         total = np.zeros(len(sets) + 1, U64)
-        np.cumsum(mix(sets * U64(2) + seed), out=total[1:])
+        np.cumsum(mix(sets ^ seed), out=total[1:])
         sums.append(mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(U64)))
     return sums[0].view(np.int64), sums[1].view(np.int64)
