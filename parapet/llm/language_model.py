@@ -2,19 +2,21 @@
 
 Learning and scoring. A symbol's probability depends on the DEPTH symbols before it alone. Blocks of
 documents send their distinct (context, next symbol) with training counts (suffix_tree.py) to parts
-by the last SPLIT symbols of the context. A part has all counts of the longer contexts that end so:
-it adds them up, makes the divergence tests, each against the context one symbol shorter, and sends
-each block the logarithms of its entries. All contexts that pass are states; no process holds the
-whole tree. Counts of pairs of symbols (65,536 entries at most), which the shortest contexts need,
-are broadcast.
+by the last SPLIT symbols of the context. Counts of a part are added up in steps of at most FAN
+partial sums, whatever the number of blocks. A part then has all counts of the longer contexts that
+end so; with it blocks, SPAN of them at a time, make the divergence tests, each against the context
+one symbol shorter, and get the logarithms of their entries. All contexts that pass are states; no
+process holds the whole tree, and none holds what all blocks have of a part. Counts of pairs of
+symbols (65,536 entries at most), which the shortest contexts need, are broadcast.
 
-Base. Exact counts of all words are added up over the corpus: each block of documents sends its
-distinct words to parts by hash, gets their totals back, and adds up its documents' logarithms. The
-block's symbols are kept meanwhile, compressed.
+Base. Exact counts of all words are added up over the corpus in the same way: each block of documents
+sends its distinct words to parts by hash, gets their totals back, and adds up its documents'
+logarithms. The block's symbols are kept meanwhile, compressed.
 
 Cases: null and empty texts are one end token; rows without id are scored but not learned from; an
 empty table gives an empty result; without training rows counts are 0 and every symbol has
-probability 1/256; repeated rows are alike (and count as often); other columns are ignored.
+probability 1/256; repeated rows, and equal texts, have equal scores to the last bit (and count as
+often); a very long text is a block by itself, scored in one piece; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parapet.llm.shared import fold, table, written
-from parapet.llm.suffix_tree import DEPTH, SPLIT, grams, log_probabilities, shorter, summed, symbols, windows
+from parapet.llm.shared import fold, mapped, prepared, table, written
+from parapet.llm.suffix_tree import COST, DEPTH, LEAST, SPLIT, found, grams, log_probabilities, shorter, summed, symbols, windows
 from parapet.llm.words import LOWER, U64, Words, blocks, mix, per_document
 
 FOLDS, HELD = 7, 2
 #: Bytes of text in a block of documents, of which a part at a time is worked on.
 BLOCK_BYTES = 16 << 20
+#: Partial sums that are added up at once, and blocks that meet a part at once.
+FAN, SPAN = 64, 256
 
 
 def _squeezed(x: np.ndarray) -> bytes:
@@ -64,14 +68,14 @@ def _counts(raw: bytes) -> np.ndarray:
 
 
 def _parts(docs: DataFrame) -> int:
-    """Parts that counts are split into: a power of 2 that grows with the table's partitions."""
-    return 1 << max(3, min(14, int(2 * docs.rdd.getNumPartitions()).bit_length()))
+    """Parts that counts are split into: a power of 2 that grows with the table's partitions as distinct words do with texts."""
+    return 1 << max(3, int(8 * docs.rdd.getNumPartitions() ** 0.6).bit_length())
 
 
 BLOCKS = "block string, what string, part int, keys binary, counts binary, ids array<long>, held array<boolean>, firsts array<int>, symbols binary"
 
 
-def read_blocks(docs: DataFrame, parts: int) -> DataFrame:
+def read_blocks(docs: DataFrame, parts: int, depth: int = DEPTH) -> DataFrame:
     """For each block of documents (doc_id, text, train, held_out): rows of its words and of its grams by part, and one (docs) of its documents with its pairs."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,9 +113,9 @@ def read_blocks(docs: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for rows, data, offsets in blocks(batch, "text"):
                 w = Words(LOWER[data], offsets)
-                out, first = symbols(w, len(offsets) - 1)
+                out, first = symbols(w, len(offsets) - 1, depth)
                 train = rows.column(2).to_numpy(zero_copy_only=False).astype(bool)
-                learned, rest = grams(out, first, train), grams(out, first, ~train)
+                learned, rest = grams(out, first, train, depth), grams(out, first, ~train, depth)
                 h, own = w.hashes(), np.repeat(train, np.diff(w.first))
                 word, times = np.unique(h[own], return_counts=True)
                 other = np.unique(h[~own])
@@ -123,7 +127,7 @@ def read_blocks(docs: DataFrame, parts: int) -> DataFrame:
         if held:
             yield from flushed(held)
 
-    return docs.select("doc_id", "text", "train", "held_out").mapInArrow(read, BLOCKS)
+    return mapped(docs.select("doc_id", "text", "train", "held_out"), read, BLOCKS)
 
 
 def _added(packed: Iterator[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -140,55 +144,75 @@ def _added(packed: Iterator[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarra
     return summed(np.concatenate([key, *(x for x, _ in held)]), np.concatenate([count, *(y for _, y in held)]))
 
 
-def _packed(group: pa.Table) -> Iterator[tuple[bytes, bytes]]:
-    return ((k.as_py(), c.as_py()) for k, c in zip(group.column("keys"), group.column("counts")))
+SUMS = "part int, turn int, keys binary, counts binary, total long, types long"
 
 
 def _sum(group: pa.Table) -> pa.Table:
-    key, count = _added(_packed(group))
-    return pa.table({"keys": pa.array([_pack_keys(key)], pa.binary()), "counts": pa.array([_pack_counts(count)], pa.binary())})
+    """Counts of some blocks, or partial sums, of one part as one row; without keys that have no count."""
+    key, count = _added((k.as_py(), c.as_py()) for k, c in zip(group.column("keys"), group.column("counts")))
+    key, count = key[count > 0], count[count > 0]
+    row = {"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "turn": pa.array([group.column("turn")[0].as_py()], pa.int32())}
+    row |= {"keys": pa.array([_pack_keys(key)], pa.binary()), "counts": pa.array([_pack_counts(count)], pa.binary())}
+    return pa.table(row | {"total": pa.array([int(count.sum())], pa.int64()), "types": pa.array([len(key)], pa.int64())})
 
 
-def pair_counts(read: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Training counts of one symbol and the next, over all blocks: at most 256 * 256."""
-    some = read.filter("what = 'docs'").select(F.pmod(F.crc32("block"), F.lit(64)).alias("turn"), "keys", "counts")
-    return _added((bytes(r["keys"]), bytes(r["counts"])) for r in some.groupBy("turn").applyInArrow(_sum, "keys binary, counts binary").collect())
+def _turn(of: str, n: int):
+    return F.pmod(F.crc32(of), F.lit(n)).cast("int").alias("turn")
 
 
-def scored_grams(read: DataFrame, pairs) -> DataFrame:
+def sums(read: DataFrame, what: str, blocks: int) -> DataFrame:
+    """SUMS of all blocks' rows of a kind, one row a part: added up in steps, FAN rows of a part at a time."""
+    n = max(1, -(-blocks // FAN))
+    rows = read.filter(F.col("what") == what).select("part", _turn("block", n), "keys", "counts")
+    while True:
+        rows = written(rows.groupBy("part", "turn").applyInArrow(_sum, SUMS), what)
+        if n == 1:
+            return rows
+        n = -(-n // FAN)
+        rows = rows.select("part", F.pmod("turn", F.lit(n)).cast("int").alias("turn"), "keys", "counts")
+
+
+def _counted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of a part's sums, of which there may be none."""
+    if not table.num_rows:
+        return np.zeros(0, U64), np.zeros(0, np.int64)
+    return _keys(table.column("keys")[0].as_py()), _counts(table.column("counts")[0].as_py())
+
+
+def _meet(read: DataFrame, what: str, blocks: int, model: DataFrame, f, schema: str) -> DataFrame:
+    """f(rows of up to SPAN blocks, sums) for each part; the sums of a part go to as many tasks as it has such groups."""
+    n = max(1, -(-blocks // SPAN))
+    rows = read.filter(F.col("what") == what).select("part", _turn("block", n), "block", "keys")
+    held = model.select("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("turn"), "keys", "counts")
+    return rows.groupBy("part", "turn").cogroup(held.groupBy("part", "turn")).applyInArrow(f, schema)
+
+
+def scored_grams(read: DataFrame, blocks: int, pairs, depth: int = DEPTH, least: int = LEAST, cost: float = COST) -> DataFrame:
     """Of each block and part: its keys and their log10 probabilities (single precision)."""
 
-    def part(group: pa.Table) -> pa.Table:
-        key, count = _added(_packed(group))
-        seen = count > 0
-        log = log_probabilities(key, key[seen], count[seen], pairs.value).astype(np.float32)
-        back = [_squeezed(log[np.searchsorted(key, _keys(k.as_py()))]) for k in group.column("keys")]
-        return pa.table({"block": group.column("block"), "keys": group.column("keys"), "logs": pa.array(back, pa.binary())})
-
-    return read.filter("what = 'grams'").select("part", "block", "keys", "counts").groupBy("part").applyInArrow(part, "block string, keys binary, logs binary")
-
-
-def _totals(group: pa.Table) -> pa.Table:
-    """Of one part: the totals of each block's words, and (block null) how many words and types it has."""
-    held = [(_keys(k.as_py()), _counts(c.as_py())) for k, c in zip(group.column("keys"), group.column("counts"))]
-    key, total = np.zeros(0, U64), np.zeros(0, np.int64)
-    for lo in range(0, len(held), 16):
-        some = held[lo : lo + 16]
-        key, total = summed(np.concatenate([key, *(k for k, _ in some)]), np.concatenate([total, *(c for _, c in some)]))
-    back = [_pack_counts(total[np.searchsorted(key, k)]) for k, _ in held]
-    part = group.column("part")[0].as_py()
-    return pa.table(
-        {
-            "block": pa.array([*group.column("block").to_pylist(), None], pa.string()),
-            "part": pa.array([part] * (len(held) + 1), pa.int32()),
-            "totals": pa.array([*back, None], pa.binary()),
-            "words": pa.array([0] * len(held) + [int(total.sum())], pa.int64()),
-            "types": pa.array([0] * len(held) + [int(np.count_nonzero(total))], pa.int64()),
-        }
-    )
-
-
-def score_symbols(out: np.ndarray, first: np.ndarray, key: np.ndarray, log: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def part(rows: pa.Table, held: pa.Table) -> pa.Table:
+        key, count = _counted(held)
+        own = [_keys(k.as_py()) for k in rows.column("keys")]
+        wanted = np.unique(np.concatenate([np.zeros(0, U64), *own]))
+        log = log_probabilities(wanted, key, count, pairs.value, depth, least, cost).astype(np.float32)
+        back = [_squeezed(log[np.searchsorted(wanted, k)]) for k in own]
+        return pa.table({"block": rows.column("block"), "keys": rows.column("keys"), "logs": pa.array(back, pa.binary())})
+
+    return _meet(read, "grams", blocks, sums(read, "grams", blocks), part, "block string, keys binary, logs binary")
+
+
+def _totals(rows: pa.Table, held: pa.Table) -> pa.Table:
+    """Of some blocks and one part: the totals of each block's words."""
+    key, count = _counted(held)
+
+    def back(raw: bytes) -> bytes:
+        at, seen = found(key, _keys(raw))
+        return _pack_counts(np.where(seen, count[at], 0) if len(key) else np.zeros(len(at), np.int64))
+
+    return pa.table({"block": rows.column("block"), "part": rows.column("part"), "totals": pa.array([back(k.as_py()) for k in rows.column("keys")], pa.binary())})
+
+
+def score_symbols(out: np.ndarray, first: np.ndarray, key: np.ndarray, log: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sum of the logarithms of each document's grams, first word of each document, hashes of words), some documents at a time."""
     scores, many, hashes = [], [], []
     a = 0
@@ -198,10 +222,10 @@ def score_symbols(out: np.ndarray, first: np.ndarray, key: np.ndarray, log: np.n
         w = Words(own, at)
         hashes.append(w.hashes())
         many.append(np.diff(w.first))
-        gram, real = windows(own, at)
+        gram, real = windows(own, at, depth)
         distinct, place = np.unique(gram[real], return_inverse=True)
         each = np.zeros(len(own))
-        each[DEPTH:][real] = log[np.searchsorted(key, distinct)][place]
+        each[depth:][real] = log[np.searchsorted(key, distinct)][place]
         scores.append(per_document(each, at))
         a = b
     return np.concatenate(scores), np.concatenate([[0], np.cumsum(np.concatenate(many))]), np.concatenate(hashes)
@@ -210,18 +234,21 @@ def score_symbols(out: np.ndarray, first: np.ndarray, key: np.ndarray, log: np.n
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """SCORED for each row of docs (doc_id, text)."""
+def score(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, cost: float = COST) -> DataFrame:
+    """SCORED for each row of docs (doc_id, text), by a tree of contexts of up to `depth` symbols that occur `least` times or more."""
     spark = docs.sparkSession
+    prepared(spark)
     rest = fold("doc_id", FOLDS)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", ((rest >= 0) & (rest != HELD)).alias("train"), (rest == HELD).alias("held_out"))
-    read = written(read_blocks(docs, _parts(docs)), "blocks")
-    pairs = spark.sparkContext.broadcast(pair_counts(read))
-    logs = written(scored_grams(read, pairs), "grams")
-    totals = written(read.filter("what = 'words'").select("part", "block", "keys", "counts").groupBy("part").applyInArrow(_totals, "block string, part int, totals binary, words long, types long"), "totals")
+    read = written(read_blocks(docs, _parts(docs), depth), "blocks")
+    n_blocks = read.filter("what = 'docs'").count()
+    pair = sums(read, "docs", n_blocks).select("keys", "counts").toArrow()  # one row of at most 65,536 counts
+    logs = written(scored_grams(read, n_blocks, spark.sparkContext.broadcast(_counted(pair)), depth, least, cost), "grams")
+    words = sums(read, "words", n_blocks)
+    totals = written(_meet(read, "words", n_blocks, words, _totals, "block string, part int, totals binary"), "totals")
     n_docs = docs.filter("train").count()
-    sums = totals.filter("block IS NULL").agg(F.sum("words").alias("n"), F.sum("types").alias("v")).first()
-    n, v = (sums["n"] or 0) + n_docs, (sums["v"] or 0) + (n_docs > 0)  # the end is a token and a type
+    found_words = words.agg(F.sum("total").alias("n"), F.sum("types").alias("v")).first()
+    n, v = (found_words["n"] or 0) + n_docs, (found_words["v"] or 0) + (n_docs > 0)  # the end is a token and a type
 
     def summed_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +259,7 @@ def score(docs: DataFrame) -> DataFrame:
                 key = [_keys(x["keys"]) for x in grammed.as_py() or []]
                 log = [_opened(x["logs"], np.float32, len(q)) for x, q in zip(grammed.as_py() or [], key)]
                 order = np.argsort(np.concatenate(key))
-                scores, firsts_of_words, hashes = score_symbols(out, first, np.concatenate(key)[order], np.concatenate(log)[order])
+                scores, firsts_of_words, hashes = score_symbols(out, first, np.concatenate(key)[order], np.concatenate(log)[order], depth)
                 of = [_counts(x["totals"]) for x in sorted(back.as_py() or [], key=lambda x: x["part"])]
                 total = np.concatenate(of) if of else np.zeros(0, np.int64)
                 _, place = np.unique(hashes, return_inverse=True)  # the parts are ranges of hashes
@@ -244,10 +271,10 @@ def score(docs: DataFrame) -> DataFrame:
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    back = totals.filter("block IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("part", "totals")).alias("back"))
+    back = totals.groupBy("block").agg(F.collect_list(F.struct("part", "totals")).alias("back"))
     grammed = logs.groupBy("block").agg(F.collect_list(F.struct("keys", "logs")).alias("grammed"))
     store = read.filter("what = 'docs'").select("block", "ids", "held", "firsts", "symbols")
-    return store.join(back, "block", "left").join(grammed, "block", "left").select("ids", "held", "firsts", "symbols", "back", "grammed").mapInArrow(summed_up, SCORED)
+    return mapped(store.join(back, "block", "left").join(grammed, "block", "left").select("ids", "held", "firsts", "symbols", "back", "grammed"), summed_up, SCORED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

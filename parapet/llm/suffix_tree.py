@@ -1,7 +1,8 @@
 """Probabilistic suffix tree over byte symbols: learning from counts, and scoring by parts of them or as an automaton.
 
 A text's symbols are the bytes of its words, SPACE between words and END after the last. Contexts
-are the up to DEPTH symbols before one; before a text stand DEPTH ENDs. A longer context is retained
+are the up to DEPTH symbols before one (7 at most: a context and the next symbol are a 64-bit key);
+before a text stand DEPTH ENDs. A longer context is retained
 if its next-symbol distribution diverges from that of the context one symbol shorter by more than
 the description of its parameters costs. The distribution of a state is smoothed towards that of
 its longest retained suffix (Witten-Bell), down to a uniform one over all 256 codes.
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from parapet.llm.words import U64, Words
+from parapet.llm.words import U64, Words, per_document
 
 DEPTH = 5
 SPACE, END = 0x20, 0x0A
@@ -47,23 +48,23 @@ def symbols(w: Words, n_docs: int, pad: int = DEPTH) -> tuple[np.ndarray, np.nda
     return out, first
 
 
-def windows(out: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(context, next symbol) of full depth at each position from DEPTH on, packed into 64 bits, and which of them are real."""
-    key = np.zeros(max(0, len(out) - DEPTH), U64)
-    for k in range(DEPTH + 1):
+def windows(out: np.ndarray, first: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """(context, next symbol) of full depth at each position from depth on, packed into 64 bits, and which of them are real."""
+    key = np.zeros(max(0, len(out) - depth), U64)
+    for k in range(depth + 1):
         key = (key << U64(8)) | out[k : len(key) + k].astype(U64)
     real = np.ones(len(key), bool)
     # contexts that reach back into another document end in padding, where nothing is predicted
-    for k in range(1, DEPTH + 1):
+    for k in range(1, depth + 1):
         real[(first[1:-1] - k)[first[1:-1] - k < len(key)]] = False
     return key, real
 
 
-def grams(out: np.ndarray, first: np.ndarray, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def grams(out: np.ndarray, first: np.ndarray, of: np.ndarray | None = None, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (context, next symbol) of full depth, packed into 64 bits, and their counts (in the documents `of` if given)."""
-    key, real = windows(out, first)
+    key, real = windows(out, first, depth)
     if of is not None:
-        real &= np.repeat(of, np.diff(first))[DEPTH:]
+        real &= np.repeat(of, np.diff(first))[depth:]
     key = np.sort(key[real])
     cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     return key[cut], np.diff(np.append(cut, len(key)))
@@ -82,7 +83,7 @@ def shorter(key: np.ndarray, count: np.ndarray, depth: int) -> tuple[np.ndarray,
     return summed(key & U64((1 << (8 * (depth + 1))) - 1), count)
 
 
-def divergent(key: np.ndarray, count: np.ndarray, parent_key: np.ndarray, parent_count: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def divergent(key: np.ndarray, count: np.ndarray, parent_key: np.ndarray, parent_count: np.ndarray, depth: int, least: int = LEAST, cost: float = COST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The divergence test at one depth: (contexts that pass, first of their entries and the end, gain in nats less the cost)."""
     ctx = key >> U64(8)
     cut = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1])) if len(ctx) else np.zeros(0, np.int64)
@@ -97,8 +98,8 @@ def divergent(key: np.ndarray, count: np.ndarray, parent_key: np.ndarray, parent
     each = np.repeat(total, ends - cut)
     gain = count * (np.log(count / each) - np.log(parent_count[at] / of_parent))
     gain = np.add.reduceat(gain, cut) if len(cut) else gain
-    gain -= COST * (ends - cut) * np.log(np.maximum(total, 1))
-    keep = (gain > 0) & (total >= LEAST)
+    gain -= cost * (ends - cut) * np.log(np.maximum(total, 1))
+    keep = (gain > 0) & (total >= least)
     return ctx[cut][keep], np.stack([cut[keep], ends[keep]], 1), gain[keep]
 
 
@@ -110,23 +111,25 @@ def found(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.n
     return at, sorted_keys[at] == wanted
 
 
-def log_probabilities(wanted: np.ndarray, key: np.ndarray, count: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def log_probabilities(
+    wanted: np.ndarray, key: np.ndarray, count: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], depth: int = DEPTH, least: int = LEAST, cost: float = COST
+) -> np.ndarray:
     """log10 probability of each of `wanted` (sorted keys of full depth) by the tree of all contexts that pass.
 
     key, count: the training counts of full depth of all contexts that end in the last SPLIT symbols
     of a wanted one. pairs: the whole corpus's counts of single symbols and the next, which is all
     that shorter contexts need of the rest.
     """
-    level = {1: pairs, 0: shorter(*pairs, 0), DEPTH: (key, count)}
-    for d in range(DEPTH - 1, SPLIT - 1, -1):
+    level = {1: pairs, 0: shorter(*pairs, 0), depth: (key, count)}
+    for d in range(depth - 1, SPLIT - 1, -1):
         level[d] = shorter(*level[d + 1], d)
     p = np.full(len(wanted), 1 / 256)
-    for d in range(DEPTH + 1):
+    for d in range(depth + 1):
         k, n = level[d]
         if not len(k):
             continue
         if d:
-            states, entries, _ = divergent(k, n, *level[d - 1], d)
+            states, entries, _ = divergent(k, n, *level[d - 1], d, least, cost)
         else:
             states, entries = np.zeros(1, U64), np.array([[0, len(k)]])
         if not len(states):
@@ -211,6 +214,4 @@ class Tree:
         flat = got.T.reshape(-1)[:m].astype(np.float64)
         for k in range(DEPTH):
             flat[first[:-1] + k] = 0
-        total = np.zeros(m + 1)
-        np.cumsum(flat, out=total[1:])
-        return total[first[1:]] - total[first[:-1]]
+        return per_document(flat, first)

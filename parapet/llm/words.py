@@ -161,7 +161,10 @@ def inside(first: np.ndarray, width: int) -> np.ndarray:
 
 
 def per_document(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of values[first[d]:first[d+1]] for each d."""
-    total = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
-    np.cumsum(values, out=total[1:])
-    return total[first[1:]] - total[first[:-1]]
+    """Sums of values[first[d]:first[d+1]] for each d, which depend on these values alone."""
+    kind = np.float64 if values.dtype.kind == "f" else np.int64
+    out = np.zeros(len(first) - 1, kind)
+    some = np.flatnonzero(first[1:] > first[:-1])
+    if len(some):
+        out[some] = np.add.reduceat(values[: first[-1]], first[some], dtype=kind)
+    return out
