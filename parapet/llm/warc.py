@@ -7,11 +7,15 @@ index: its selected rows are sorted by archive and offset, neighbouring ranges a
 and each record is cut out of what was read, unpacked and checked against its digest.
 
 Of pages with equal payloads of at least LEAST bytes the one with the largest id is kept as a
-response; the others are revisits, records without payload that refer to it.
+response; the others are revisits, records without payload that refer to it. Digests that occur more
+than once are found on digests alone, and a bitmap of them is broadcast: pages that are like no other
+are written where they are read, pages of very frequent payloads (of which there are few) meet these
+by broadcast, and only the rest is dealt by digest.
 
 Cases: null html is an empty payload; null page ids are responses that nothing refers to; repeated
-rows are records each, and where they hold the largest id all are responses; an empty table gives
-an empty archive set and result; other columns are ignored.
+rows are records each, and where they hold the largest id all are responses; ties in the largest id
+are thereby responses; a very long page is one record, read back in one range; an empty table gives an
+empty archive set and result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parapet.llm.shared import new_path, table, written
+from parapet.llm.shared import HOT, bitmap, bitmap_bits, flagged, mapped, new_path, table, written
 
 LEAST = 0
 DATE = "2024-01-01T00:00:00Z"
@@ -92,8 +96,17 @@ def write(pages: DataFrame, least: int = LEAST) -> DataFrame:
     spark = pages.sparkSession
     folder = new_path(spark, "warc")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.sha1("html"))
-    alike = rows.filter(F.octet_length("html") >= least).groupBy("sha").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).filter("n > 1").select("sha", "top")
-    dealt = rows.join(alike, "sha", "left").select("page_id", "url", "html", F.when(F.col("page_id") < F.col("top"), F.col("top")).alias("refers"))
+    alike = rows.filter(F.octet_length("html") >= least).groupBy("sha").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).filter("n > 1")
+    alike = written(alike, "alike")
+    known = alike.agg(F.count("*").alias("shas"), F.sum("n").alias("pages")).first()
+    frequent = F.col("n") * HOT > (known["pages"] or 0)  # at most HOT payloads
+    bits = bitmap_bits(known["shas"])
+    told = flagged(rows, F.col("sha"), written(bitmap(alike, "sha", bits), "marks"), bits, "told")
+    told = told.join(F.broadcast(alike.filter(frequent).select("sha", "top")), "sha", "left")
+    refers = F.when(F.col("page_id") < F.col("top"), F.col("top")).alias("refers")
+    dealt = told.filter(~F.col("told") | F.col("top").isNotNull()).select("page_id", "url", "html", "sha", refers)
+    rest = told.filter(F.col("told") & F.col("top").isNull()).drop("top").join(alike.filter(~frequent).select("sha", "top"), "sha", "left")
+    dealt = dealt.unionByName(rest.select("page_id", "url", "html", "sha", refers))
 
     def written_archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pa.fs.FileSystem.from_uri(folder)
@@ -105,9 +118,9 @@ def write(pages: DataFrame, least: int = LEAST) -> DataFrame:
                 rows = batch.slice(k, 500).to_pydict()
                 out = out or fs.open_output_stream(f"{path}/{name}", compression=None)
                 starts, sizes, digests = [], [], []
-                for page, url, text, refers in zip(rows["page_id"], rows["url"], rows["html"], rows["refers"]):
+                for page, url, text, sha, refers in zip(rows["page_id"], rows["url"], rows["html"], rows["sha"], rows["refers"]):
                     payload = text.encode()
-                    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                    digest = base64.b32encode(bytes.fromhex(sha)).decode()
                     data = packed(record(page, url, payload, digest, refers))
                     out.write(data)
                     starts.append(at)
@@ -122,7 +135,7 @@ def write(pages: DataFrame, least: int = LEAST) -> DataFrame:
         if out:
             out.close()
 
-    index = written(dealt.mapInArrow(written_archive, INDEX), "warc-index")
+    index = written(mapped(dealt, written_archive, INDEX), "warc-index")
     return index.withColumn("folder", F.lit(folder))
 
 
@@ -165,7 +178,8 @@ def read(index: DataFrame) -> DataFrame:
                 ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"],
             )
 
-    return index.select("archive", "start", "size", "digest", "url", "folder").repartitionByRange(n, "archive", "start").sortWithinPartitions("archive", "start").mapInArrow(read_records, RECORD)
+    ranges = index.select("archive", "start", "size", "digest", "url", "folder").repartitionByRange(n, "archive", "start").sortWithinPartitions("archive", "start")
+    return mapped(ranges, read_records, RECORD)
 
 
 def _checked(data: bytes, digest: str) -> tuple:
