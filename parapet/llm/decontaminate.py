@@ -6,74 +6,173 @@ are separators, and stretches between them that are shorter than the shortest ph
 of the sequence, as no phrase can occur there. All phrases are searched backwards together; rows
 found are located by sampled suffix positions; overlapping occurrences merge to spans of hit words.
 
-The benchmark goes to the tasks in blocks of at most BLOCK_BYTES of text (an item's at a time).
+The benchmark's vocabulary and phrases are made by tasks and written to the shared folder, phrases in
+blocks of about BLOCK_BYTES of text. A task that searches reads the vocabulary, builds the index of a
+shard once and meets the blocks one after another, so documents are read once whatever the benchmark's
+size, and no process holds more than a few blocks of it.
 
 Cases: null or wordless texts have no words, no hits and the SHA-256 of an empty string; items
 without words have no phrase; equal items are found each by its own id; items without id mark words
-but are not listed; an empty benchmark finds nothing; empty documents give an empty result; repeated
-rows are alike; other columns are ignored.
+but are not listed; ties do not occur, as all occurrences count; an empty benchmark finds nothing;
+empty documents give an empty result; repeated rows are alike; a very long text is a shard by itself;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parapet.llm.fm_index import FMIndex
-from parapet.llm.shared import table
-from parapet.llm.words import LOWER, NOT_ALNUM, U64, Words, blocks, per_document, string_block
+from parapet.llm.shared import mapped, new_path, prepared, table
+from parapet.llm.words import LOWER, NOT_ALNUM, U64, Words, blocks, inside, per_document, string_block
 
 WINDOW = 10
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 16 << 20
 FILTER_BITS = 20
+#: Blocks that a worker keeps from one task to the next.
+KEPT = 4
 
 
-class Phrases:
-    """The distinct windows of benchmark items, as rows of word numbers aligned at their ends."""
+class Vocabulary:
+    """All words of a benchmark, by their hashes."""
 
-    def __init__(self, items: list[tuple[object, str | None]]):
-        data, offsets = string_block(pa.array([t for _, t in items], pa.large_string()))
-        w = Words(LOWER[data], offsets, NOT_ALNUM)
-        h = w.hashes()
-        self.vocabulary = np.unique(h)
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes)
         self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.filter[self.vocabulary >> U64(64 - FILTER_BITS)] = True
-        number = np.searchsorted(self.vocabulary, h) + 1
-        self.names = sorted({str(i) for i, _ in items if i is not None})
-        place = {name: k for k, name in enumerate(self.names)}
-        found: dict[bytes, tuple[int, set[int]]] = {}
-        for k, (i, _) in enumerate(items):
-            lo, hi = int(w.first[k]), int(w.first[k + 1])
-            width = min(WINDOW, hi - lo)
-            for at in range(lo, hi - width + 1) if width else ():
-                _, owners = found.setdefault(number[at : at + width].tobytes(), (width, set()))
-                if i is not None:
-                    owners.add(place[str(i)])
-        self.lengths = np.array([n for n, _ in found.values()], np.int64)
-        self.rows = np.zeros((len(found), WINDOW), np.int64)
-        for k, (raw, (n, _)) in enumerate(found.items()):
-            self.rows[k, WINDOW - n :] = np.frombuffer(raw, np.int64)
-        owners = [sorted(o) for _, o in found.values()]
-        self.owner_first = np.concatenate([[0], np.cumsum([len(o) for o in owners])]).astype(np.int64)
-        self.owners = np.array([x for o in owners for x in o], np.int64)
-        self.shortest = int(self.lengths.min(initial=WINDOW))
+        self.filter[self.hashes >> U64(64 - FILTER_BITS)] = True
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
-        """Word numbers of hashes; 0 for words that no phrase has."""
+        """Word numbers of hashes, from 1 on; 0 for words that the benchmark lacks."""
         out = np.zeros(len(h), np.int64)
-        maybe = np.flatnonzero(self.filter[h >> U64(64 - FILTER_BITS)])
-        at = np.minimum(np.searchsorted(self.vocabulary, h[maybe]), max(0, len(self.vocabulary) - 1))
-        if len(self.vocabulary):
-            out[maybe] = np.where(self.vocabulary[at] == h[maybe], at + 1, 0)
+        if len(self.hashes):
+            maybe = np.flatnonzero(self.filter[h >> U64(64 - FILTER_BITS)])
+            at = np.minimum(np.searchsorted(self.hashes, h[maybe]), len(self.hashes) - 1)
+            out[maybe] = np.where(self.hashes[at] == h[maybe], at + 1, 0)
         return out
 
 
+class Phrases:
+    """The distinct windows of some benchmark items, as rows of word numbers aligned at their ends, and the items that have each."""
+
+    def __init__(self, names: list[str | None], texts: list[str | None], vocabulary: Vocabulary):
+        data, offsets = string_block(pa.array(texts, pa.large_string()))
+        w = Words(LOWER[data], offsets, NOT_ALNUM)
+        number = vocabulary.numbers(w.hashes())
+        self.names = sorted({x for x in names if x is not None})
+        place = {name: k for k, name in enumerate(self.names)}
+        item = np.array([-1 if x is None else place[x] for x in names], np.int64)
+        at = np.flatnonzero(inside(w.first, WINDOW))
+        rows, lengths, owners = [number[at[:, None] + np.arange(WINDOW)]], [np.full(len(at), WINDOW)], [item[w.document()[at]]]
+        count = np.diff(w.first)
+        for k in np.flatnonzero((count > 0) & (count < WINDOW)):
+            row = np.zeros((1, WINDOW), np.int64)
+            row[0, WINDOW - count[k] :] = number[w.first[k] : w.first[k + 1]]
+            rows.append(row)
+            lengths.append(count[k : k + 1])
+            owners.append(item[k : k + 1])
+        every = np.concatenate(rows).reshape(-1, WINDOW).astype(np.int32)
+        self.rows, first, which = np.unique(every, axis=0, return_index=True, return_inverse=True)
+        self.lengths = np.concatenate(lengths)[first]
+        owners = np.concatenate(owners)
+        pair = np.unique(which.ravel()[owners >= 0] * (len(self.names) + 1) + owners[owners >= 0])
+        self.owners = pair % (len(self.names) + 1)
+        self.owner_first = np.searchsorted(pair // (len(self.names) + 1), np.arange(len(self.rows) + 1))
+
+    COLUMNS = {"rows": pa.binary(), "lengths": pa.binary(), "owners": pa.binary(), "owner_first": pa.binary(), "names": pa.list_(pa.string())}
+    SCHEMA = "rows binary, lengths binary, owners binary, owner_first binary, names array<string>, shortest int"
+
+    def packed(self) -> pa.Table:
+        raw = lambda x, kind: pa.array([np.ascontiguousarray(x.astype(kind)).tobytes()], pa.binary())
+        shortest = int(self.lengths.min(initial=WINDOW))
+        return pa.table(
+            {"rows": raw(self.rows, np.int32), "lengths": raw(self.lengths, np.int8), "owners": raw(self.owners, np.int64), "owner_first": raw(self.owner_first, np.int64)}
+            | {"names": pa.array([self.names], pa.list_(pa.string())), "shortest": pa.array([shortest], pa.int32())}
+        )
+
+    @classmethod
+    def opened(cls, row: dict) -> Phrases:
+        out = cls.__new__(cls)
+        out.rows = np.frombuffer(row["rows"], np.int32).reshape(-1, WINDOW).astype(np.int64)
+        out.lengths = np.frombuffer(row["lengths"], np.int8).astype(np.int64)
+        out.owners, out.owner_first = np.frombuffer(row["owners"], np.int64), np.frombuffer(row["owner_first"], np.int64)
+        out.names = row["names"]
+        return out
+
+
+def _read(folder: str, columns: dict[str, pa.DataType]) -> pa.dataset.Dataset:
+    fs, path = pa.fs.FileSystem.from_uri(folder)
+    return pa.dataset.dataset(path, filesystem=fs, format="parquet", schema=pa.schema(list(columns.items())))
+
+
+def _vocabulary(folder: str) -> Vocabulary:
+    return Vocabulary(_read(folder, {"word": pa.int64()}).to_table().column("word").to_numpy().view(U64))
+
+
+#: What a worker has read of the store that it used last.
+_held: dict = {}
+
+
+@dataclass(frozen=True)
+class Store:
+    """A benchmark's vocabulary and blocks of phrases in the shared folder."""
+
+    folder: str
+    blocks: int
+    shortest: int
+
+    def vocabulary(self) -> Vocabulary:
+        if _held.get("folder") != self.folder:
+            _held.clear()
+            _held.update(folder=self.folder, vocabulary=_vocabulary(f"{self.folder}/vocabulary"))
+        return _held["vocabulary"]
+
+    def phrases(self) -> Iterator[Phrases]:
+        if "phrases" in _held:
+            yield from _held["phrases"]
+            return
+        rows = (Phrases.opened(r) for batch in _read(f"{self.folder}/phrases", Phrases.COLUMNS).to_batches(batch_size=1, batch_readahead=0, fragment_readahead=0) for r in batch.to_pylist())
+        if self.blocks <= KEPT:
+            _held["phrases"] = list(rows)
+            rows = _held["phrases"]
+        yield from rows
+
+
+def store(benchmark: DataFrame) -> Store:
+    """The store of a benchmark (item_id, text), made by tasks."""
+    spark = benchmark.sparkSession
+    prepared(spark)
+    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t"))
+    folder = new_path(spark, "benchmark")
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in blocks(batch, "t"):
+                h = np.unique(Words(LOWER[data], offsets, NOT_ALNUM).hashes())
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["word"])
+
+    mapped(rows.select("t"), words, "word long").distinct().write.parquet(f"{folder}/vocabulary")
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    n = 1 + int(size) // BLOCK_BYTES
+
+    def phrases(group: pa.Table) -> pa.Table:
+        return Phrases(group.column("i").to_pylist(), group.column("t").to_pylist(), _vocabulary(f"{folder}/vocabulary")).packed()
+
+    # rows of one id meet in a block; those without id are dealt by their texts
+    part = F.pmod(F.xxhash64(F.coalesce("i", "t")), F.lit(n)).alias("part")
+    rows.select("i", "t", part).groupBy("part").applyInArrow(phrases, Phrases.SCHEMA).write.parquet(f"{folder}/phrases")
+    made = spark.read.schema(Phrases.SCHEMA).parquet(f"{folder}/phrases").agg(F.count("*").alias("n"), F.min("shortest").alias("shortest")).first()
+    return Store(folder, made["n"], WINDOW if made["shortest"] is None else made["shortest"])
+
+
 def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """first[k], first[k]+1, ... (count[k] of them) for each k."""
     total = np.cumsum(count)
@@ -83,15 +182,15 @@ def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 class Shard:
     """Words of some documents, reduced to the stretches in which a phrase can occur."""
 
-    def __init__(self, phrases: Phrases):
-        self.phrases = phrases
+    def __init__(self, store: Store):
+        self.store, self.vocabulary = store, store.vocabulary()
         self.words, self.docs = 0, 0
         self.parts: list[np.ndarray] = []
         self.places: list[np.ndarray] = []
         self.firsts: list[np.ndarray] = [np.zeros(1, np.int64)]
 
     def add(self, w: Words) -> None:
-        number = self.phrases.numbers(w.hashes())
+        number = self.vocabulary.numbers(w.hashes())
         known = number > 0
         begin = known.copy()
         begin[1:] &= ~known[:-1]
@@ -103,7 +202,7 @@ class Shard:
         stop[:-1] &= ~known[1:]
         stop[edge[edge > 0] - 1] = known[edge[edge > 0] - 1]
         end = np.flatnonzero(stop) + 1
-        long_ = end - start >= self.phrases.shortest
+        long_ = end - start >= self.store.shortest
         start, end = start[long_], end[long_]
         # each stretch, and a separator
         at = _spread(start, end - start + 1)
@@ -117,62 +216,53 @@ class Shard:
         self.docs += len(w.first) - 1
 
     def find(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(first word of each document and the end, hit flag of each word, (document, item) pairs found, sorted)."""
-        p = self.phrases
+        """(first word of each document and the end, hit flag of each word, documents and names of the items found in them, sorted by both)."""
         first = np.concatenate(self.firsts)
-        hit = np.zeros(self.words, bool)
-        none = np.zeros(0, np.int64)
-        s = np.concatenate(self.parts) if self.parts else none
-        if not len(s) or not len(p.rows):
-            return first, hit, none, none
-        index = FMIndex(s, len(p.vocabulary))
-        which, lo, hi = index.search(p.rows, p.lengths)
-        place = np.concatenate(self.places)[index.locate(_spread(lo, hi - lo))]
-        which = np.repeat(which, hi - lo)
-        step = np.bincount(place, minlength=self.words + 1) - np.bincount(place + p.lengths[which], minlength=self.words + 1)
-        hit = np.cumsum(step)[: self.words] > 0
-        doc = np.searchsorted(first, place, "right") - 1
-        pair = np.unique(doc * (len(self.phrases.owner_first) + 1) + which)
-        doc, which = pair // (len(p.owner_first) + 1), pair % (len(p.owner_first) + 1)
-        count = p.owner_first[which + 1] - p.owner_first[which]
-        pair = np.unique(np.repeat(doc, count) * (len(p.names) + 1) + p.owners[_spread(p.owner_first[which], count)])
-        return first, hit, pair // (len(p.names) + 1), pair % (len(p.names) + 1)
-
-
-def phrase_blocks(benchmark: DataFrame) -> list:
-    """Broadcasts of the benchmark's phrases, each made from about BLOCK_BYTES of text at most."""
-    rows = benchmark.select(F.col("item_id").alias("i"), F.col("text").alias("t"))
-    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = 1 + int(size) // BLOCK_BYTES
-    part = F.pmod(F.xxhash64("i", "t"), F.lit(n))
-    spark = benchmark.sparkSession
-    return [spark.sparkContext.broadcast(Phrases([(r["i"], r["t"]) for r in rows.filter(part == k).collect()])) for k in range(n)]
+        step = np.zeros(self.words + 1, np.int64)
+        docs, names = [np.zeros(0, np.int64)], [np.zeros(0, "U1")]
+        s = np.concatenate(self.parts) if self.parts else np.zeros(0, np.int64)
+        if len(s) and len(self.vocabulary.hashes):
+            index = FMIndex(s, len(self.vocabulary.hashes))
+            places = np.concatenate(self.places)
+            for p in self.store.phrases():
+                which, lo, hi = index.search(p.rows, p.lengths)
+                place = places[index.locate(_spread(lo, hi - lo))]
+                which = np.repeat(which, hi - lo)
+                step += np.bincount(place, minlength=self.words + 1) - np.bincount(place + p.lengths[which], minlength=self.words + 1)
+                pair = np.unique((np.searchsorted(first, place, "right") - 1) * (len(p.rows) + 1) + which)
+                doc, which = pair // (len(p.rows) + 1), pair % (len(p.rows) + 1)
+                count = p.owner_first[which + 1] - p.owner_first[which]
+                pair = np.unique(np.repeat(doc, count) * (len(p.names) + 1) + p.owners[_spread(p.owner_first[which], count)])
+                docs.append(pair // (len(p.names) + 1))
+                names.append(np.array(p.names or [""])[pair % (len(p.names) + 1)])
+        doc, name = np.concatenate(docs), np.concatenate(names)
+        order = np.lexsort((name, doc))
+        return first, np.cumsum(step)[: self.words] > 0, doc[order], name[order]
 
 
 FOUND = "doc_id long, n_words long, n_hit long, items array<string>, spans array<int>"
 
 
-def _searched(held):
-    """Rows of FOUND for each document; spans: begin and end (words) of its hit stretches."""
+def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """FOUND for each row of docs (doc_id, text). items: names of the items found, sorted; spans: begin and end (words) of hit stretches."""
+    held = store(benchmark)
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = held.value
-        shard, ids, size = Shard(phrases), [], 0
+        shard, ids, size = Shard(held), [], 0
         for batch in batches:
             for rows, data, offsets in blocks(batch, "text"):
                 shard.add(Words(LOWER[data], offsets, NOT_ALNUM))
                 ids.append(rows.column(0))
                 size += len(data)
                 if size >= SHARD_BYTES:
-                    yield found(phrases, shard, ids)
-                    shard, ids, size = Shard(phrases), [], 0
+                    yield found(shard, ids)
+                    shard, ids, size = Shard(held), [], 0
         if ids:
-            yield found(phrases, shard, ids)
+            yield found(shard, ids)
 
-    def found(phrases: Phrases, shard: Shard, ids: list) -> pa.RecordBatch:
+    def found(shard: Shard, ids: list) -> pa.RecordBatch:
         first, hit, doc, item = shard.find()
         many = np.bincount(doc, minlength=shard.docs)
-        names = np.array(phrases.names, object)
         inner = first[1:-1]
         begin, end = hit.copy(), hit.copy()
         begin[1:] &= ~hit[:-1]
@@ -189,60 +279,13 @@ def _searched(held):
                 pa.concat_arrays(ids),
                 pa.array(np.diff(first)),
                 pa.array(per_document(hit, first)),
-                lists(pa.array(names[item].tolist(), pa.string()), many),
+                lists(pa.array(item.tolist(), pa.string()), many),
                 lists(pa.array(spans), 2 * np.bincount(owner, minlength=shard.docs)),
             ],
             ["doc_id", "n_words", "n_hit", "items", "spans"],
         )
 
-    return searched
-
-
-def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """FOUND and the text of each row of docs (doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    held = phrase_blocks(benchmark)
-    if len(held) == 1:
-        return rows.mapInArrow(_searched(held[0]), FOUND)
-    # each block finds its own; equal rows have equal findings, so they are merged by id and text
-    parts = None
-    keyed = rows.withColumn("of", F.xxhash64("text"))
-    for k in held:
-        one = keyed.mapInArrow(_with_key(_searched(k)), FOUND + ", of long")
-        parts = one if parts is None else parts.unionByName(one)
-    merged = parts.groupBy("doc_id", "of", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.collect_list("spans").alias("lists"))
-    merged = merged.mapInArrow(_merged, FOUND + ", of long")
-    return keyed.select("doc_id", "of").join(merged.withColumnRenamed("doc_id", "id").withColumnRenamed("of", "key"), F.col("doc_id").eqNullSafe(F.col("id")) & F.col("of").eqNullSafe(F.col("key"))).select("doc_id", "n_words", "n_hit", "items", "spans")
-
-
-def _with_key(f):
-    """f for rows with a third column, which the rows that come out keep."""
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = list(f(iter([batch])))  # all rows of the batch, in order
-            if out:
-                yield from pa.Table.from_batches(out).append_column("of", batch.column(2)).to_batches()
-
-    return keyed
-
-
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        spans, hits = [], []
-        for lists in batch.column(4).to_pylist():
-            ends = sorted((s[k], s[k + 1]) for s in lists for k in range(0, len(s), 2))
-            now: list[int] = []
-            for a, b in ends:
-                if now and a <= now[-1]:
-                    now[-1] = max(now[-1], b)
-                else:
-                    now += [a, b]
-            spans.append(now)
-            hits.append(sum(now[k + 1] - now[k] for k in range(0, len(now), 2)))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(hits, pa.int64()), batch.column(3), pa.array(spans, pa.list_(pa.int32())), batch.column(1)], ["doc_id", "n_words", "n_hit", "items", "spans", "of"]
-        )
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), searched, FOUND)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -262,7 +305,7 @@ def cut(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     What a cut brings together is searched again, until no phrase is left.
     """
-    held = phrase_blocks(benchmark)
+    held = store(benchmark)
     columns = docs.columns
 
     def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,11 +318,9 @@ def cut(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         todo = np.arange(rows.num_rows)
         while len(todo):
             w = Words(LOWER[data], offsets, NOT_ALNUM)
-            hit = np.zeros(len(w.starts), bool)
-            for k in held:
-                shard = Shard(k.value)
-                shard.add(w)
-                hit |= shard.find()[1]
+            shard = Shard(held)
+            shard.add(w)
+            hit = shard.find()[1]
             dirty = np.flatnonzero(per_document(hit, w.first) > 0)
             for d in dirty:
                 raw, out, at = data[offsets[d] : offsets[d + 1]].tobytes(), [], 0
@@ -308,7 +349,7 @@ def cut(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             arrays[columns.index("n_chars")] = pa.array(size, rows.schema.field("n_chars").type)
         return pa.RecordBatch.from_arrays(arrays, rows.schema.names).filter(pa.array(keep))
 
-    return docs.mapInArrow(cut_rows, docs.schema)
+    return mapped(docs, cut_rows, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
