@@ -1,14 +1,15 @@
 """Operator 8: mixing sources to target weights.
 
-Every document gets a random key, the MD5 of a seed and its id. Within a source documents are
-taken in key order; a key prefix splits a source into ranges, sums per range and a running sum
-inside each range give every document its prefix sum of words without one task holding a source.
-The source's budget is cut exactly: whole epochs first, then the remainder in key order, the
-document at the cut giving the part that is left.
+Every document gets a random key, the MD5 of a seed and its id (without an id: its text). Within a
+source documents are taken in key order; a key prefix splits a source into ranges, sums per range,
+added up over groups of ranges first, and a running sum inside each range give every document its
+prefix sum of words without one task holding a source. The source's budget is cut exactly: whole
+epochs first, then the remainder in key order, the document at the cut giving the part that is left.
 
 Cases: null or empty text has size 0 and takes 0. A null source is a source of its own, last. An
 empty table gives an empty result. Repeated rows count as often as they occur; ties in the key are
-ordered by id, then size. Other columns are ignored.
+ordered by id, then size; a very long text is one document, cut where the budget ends. Other columns
+are ignored, or carried along where asked for.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parapet.llm.shared import table, written
+from parapet.llm.shared import prepared, table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -27,6 +28,8 @@ CAP = 2
 SEED = "mix-1:"
 #: Documents that a key range should hold at most, on average, of the largest source.
 RANGE_ROWS = 1000
+#: Sources whose sizes the driver takes; the targets of more are found by sorted ranges of sources.
+SOURCES = 50_000
 
 
 def targets(sizes: dict[str | None, int], weights=WEIGHTS, share=SHARE, cap=CAP) -> dict[str | None, float]:
@@ -50,45 +53,81 @@ def targets(sizes: dict[str | None, int], weights=WEIGHTS, share=SHARE, cap=CAP)
     return out
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, seed=SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row of docs (doc_id, text, source)."""
+def _ranked(df: DataFrame, order: list, place: str, sums: dict[str, str]) -> DataFrame:
+    """df with the place (from 0) of each row in an order without ties, and for column: name of `sums` the sum of a column over the rows before.
+
+    Rows are dealt by ranges of the order; what is gathered is one row a range.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = written(df.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()), "ranked")
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    per = held.groupBy("range").agg(F.count("*").alias("rows"), *[F.sum(c).alias(f"all_{c}") for c in sums])
+    first = per.select("range", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"first_{c}") for c in ("rows", *(f"all_{c}" for c in sums))])
+    inner = Window.partitionBy("range").orderBy(*order)
+    out = held.join(F.broadcast(first), "range").withColumn(place, F.col("first_rows") + F.row_number().over(inner) - 1)
+    for c, name in sums.items():
+        own = F.sum(c).over(inner.rowsBetween(Window.unboundedPreceding, -1))
+        out = out.withColumn(name, F.col(f"first_all_{c}") + F.coalesce(own, F.lit(0)))
+    return out.drop("range", "first_rows", *[f"first_all_{c}" for c in sums])
+
+
+def planned(sources: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP) -> DataFrame:
+    """source, source_size, target of sources (source, size): targets() of any number of sources."""
+    named = _ranked(sources.select("source", "size"), [F.col("source").asc_nulls_last()], "i", {})
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("i") % len(weights) + 1).cast("int"))
+    full = F.lit(cap) * F.col("size")
+    rated = named.withColumn("weight", weight).withColumn("full", full).withColumn("ratio", F.col("full").cast("double") / F.col("weight"))
+    rated = written(_ranked(rated, [F.col("ratio"), F.col("i")], "k", {"full": "spent", "weight": "passed"}), "ranked")
+    whole = rated.agg(F.sum("size").alias("size"), F.sum("weight").alias("weight")).first()
+    if whole["size"] is None:
+        return rated.select("source", F.col("size").alias("source_size"), F.lit(0.0).alias("target"))
+    level = (F.lit(share * whole["size"]) - F.col("spent").cast("double")) / (F.lit(whole["weight"]) - F.col("passed")).cast("double")
+    first = rated.withColumn("level", level).filter("level <= ratio").agg(F.min_by(F.struct("k", "level"), "k").alias("first")).first()["first"]
+    at, height = (first["k"], first["level"]) if first else ((1 << 62), 0.0)
+    target = F.when(F.col("k") < at, F.col("full").cast("double")).otherwise(F.lit(height) * F.col("weight"))
+    return rated.select("source", F.col("size").alias("source_size"), target.alias("target"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, seed=SEED, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken, and the carried columns, for each row of docs (doc_id, text, source)."""
     spark = docs.sparkSession
-    keyed = written(
-        docs.select(
-            "doc_id",
-            "source",
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
-        ),
-        "mix",
-    )
-    # one row a source: weights are set by source, so their number is that of a configuration
-    found = keyed.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
-    sizes = {r["source"]: r["size"] for r in found}
-    target = targets(sizes, weights, share, cap)
-    plan = spark.createDataFrame(
-        [(s, sizes[s], target[s], int(round(target[s]))) for s in sizes] or [],
-        "source string, source_size long, target double, budget long",
+    prepared(spark)
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("|"), F.coalesce("text", F.lit(""))))))
+    keyed = docs.select(
+        "doc_id",
+        "source",
+        # sources as keys that are never null
+        F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("of"),
+        size.alias("size"),
+        # a document without words takes nothing, wherever it stands
+        F.when(size > 0, key).otherwise(F.md5(F.uuid())).alias("key"),
+        F.struct(*[F.col(c) for c in carried] or [F.lit(0).alias("none")]).alias("row"),
     )
-    digits = min(6, max(1, math.ceil(math.log(max(1, max((r["n"] for r in found), default=1) / RANGE_ROWS), 16))))
+    keyed = written(keyed, "mix")
+    sources = written(keyed.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "sources")
+    some = sources.agg(F.count("*").alias("sources"), F.max("n").alias("most")).first()
+    if some["sources"] <= SOURCES:
+        sizes = {r["source"]: r["size"] for r in sources.collect()}
+        target = targets(sizes, weights, share, cap)
+        plan = spark.createDataFrame([(s, sizes[s], target[s]) for s in sizes], "source string, source_size long, target double")
+    else:
+        plan = planned(sources, weights, share, cap)
+    plan = plan.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("of"), "source_size", "target", F.bround("target", 0).cast("long").alias("budget"))
+    digits = max(1, math.ceil(math.log(max(1, (some["most"] or 1) / RANGE_ROWS), 16)))
     ranged = keyed.withColumn("part", F.substring("key", 1, digits))
-    before = (
-        ranged.groupBy("source", "part")
-        .agg(F.sum("size").alias("words"))
-        .withColumn("before", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .select(F.col("source").alias("s"), F.col("part").alias("p"), "before")
-    )
-    inner = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    r = (
-        ranged.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-        .join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
-        .drop("s", "p")
-        .join(F.broadcast(plan.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
-    )
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("of", "part").agg(F.sum("size").alias("words")).withColumn("group", F.substring("part", 1, digits // 2))
+    groups = sums.groupBy("of", "group").agg(F.sum("words").alias("words"))
+    groups = groups.select("of", "group", F.coalesce(F.sum("words").over(earlier(Window.partitionBy("of").orderBy("group"))), F.lit(0)).alias("first"))
+    before = F.col("first") + F.coalesce(F.sum("words").over(earlier(Window.partitionBy("of", "group").orderBy("part"))), F.lit(0))
+    ranges = sums.join(groups, ["of", "group"]).withColumn("before", before).join(plan, "of").select("of", "part", "before", "source_size", "target", "budget")
+    inner = earlier(Window.partitionBy("of", "part").orderBy("key", "doc_id", "size"))
+    r = ranged.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(ranges, ["of", "part"])
     epochs = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0))
     rest = F.when(F.col("source_size") > 0, F.col("budget") - epochs * F.col("source_size")).otherwise(F.lit(0))
     cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before") - F.col("inner")))
-    return r.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + cut).cast("long").alias("taken"))
+    return r.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + cut).cast("long").alias("taken"), *[F.col(f"row.{c}").alias(c) for c in carried])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +137,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = rf"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-         md5('{SEED}' || coalesce(doc_id::VARCHAR, '')) AS key
+         md5('{SEED}' || coalesce(doc_id::VARCHAR, '|' || coalesce(text, ''))) AS key
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
 w AS (SELECT *, CASE i % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM s),
