@@ -13,9 +13,9 @@ language, SIZE bytes of text in all) of documents outside the held-out fold; all
 scored.
 
 Cases: a null text, or one without a letter, is `und` with score 0; texts without any known n-gram
-get the most frequent language with score 0, ties going to the first by code point; without
-training rows all are `und`. An empty table gives an empty result; repeated rows are alike; other
-columns are ignored.
+get the most frequent language with score 0, ties, in votes too, going to the first by code point;
+without training rows all are `und`. An empty table gives an empty result; repeated rows are alike; a
+very long text is counted whole, in a block by itself; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parapet.llm import labelled
-from parapet.llm.shared import fold, table
+from parapet.llm.shared import fold, mapped, table
 from parapet.llm.words import _BYTE, U64, _power, blocks, give_back, mix, per_document
 
 ORDERS = (3, 4)
@@ -78,28 +78,32 @@ def slots(h: np.ndarray) -> list[np.ndarray]:
 
 
 class Filters:
-    """Bit-sliced Bloom filters: slices[s, slot] has the bits of languages 64 s to 64 s + 63."""
+    """Bit-sliced Bloom filters: bit i % 8 of slices[slot, i // 8] is set if language i has an n-gram with that slot."""
 
     def __init__(self, languages: list[str], members: list[np.ndarray], usual: int = 0):
         self.languages, self.usual = languages, usual
-        self.slices = np.zeros((-(-len(languages) // 64), 1 << SLOT_BITS), U64)
+        self.slices = np.zeros((1 << SLOT_BITS, -(-len(languages) // 8)), np.uint8)
         for i, h in enumerate(members):
             for s in slots(h):
-                self.slices[i // 64, s] |= U64(1 << (i % 64))
-        fill = [np.count_nonzero(self.slices[i // 64] & U64(1 << (i % 64))) / (1 << SLOT_BITS) for i in range(len(languages))]
+                self.slices[s, i // 8] |= np.uint8(1 << (i % 8))
+        fill = [np.count_nonzero(self.slices[:, i // 8] & (1 << (i % 8))) / (1 << SLOT_BITS) for i in range(len(languages))]
         self.by_chance = np.array(fill) ** HASHES
 
     def votes(self, doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
         """For each document and language: its n-grams in the filter, less those let through by chance."""
         first = np.searchsorted(doc, np.arange(n + 1))
         out = np.zeros((n, len(self.languages)))
+        some = np.flatnonzero(np.diff(first) > 0)
+        if not len(some):
+            return out
         places = slots(h)
-        for s in range(len(self.slices)):
-            mask = self.slices[s][places[0]]
+        for k in range(self.slices.shape[1]):  # eight languages at a time
+            part = np.ascontiguousarray(self.slices[:, k]) if self.slices.shape[1] > 1 else self.slices[:, 0]
+            mask = part[places[0]]
             for p in places[1:]:
-                mask &= self.slices[s][p]
-            for i in range(64 * s, min(64 * s + 64, len(self.languages))):
-                out[:, i] += per_document((mask >> U64(i % 64)) & U64(1), first)
+                mask &= part[p]
+            for i in range(8 * k, min(8 * k + 8, len(self.languages))):
+                out[some, i] = np.add.reduceat((mask >> np.uint8(i % 8)) & np.uint8(1), first[some], dtype=np.int64)
         chance = np.diff(first)[:, None] * self.by_chance
         return np.maximum(0, (out - chance) / np.maximum(1 - self.by_chance, 1e-9))
 
@@ -153,8 +157,8 @@ def predict(filters: Filters, data: np.ndarray, offsets: np.ndarray) -> tuple[li
 
 
 def train(docs: DataFrame) -> Filters:
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("label")).filter(F.col("text").isNotNull() & F.col("label").isNotNull() & (fold("doc_id", FOLDS) >= 0) & (fold("doc_id", FOLDS) != HELD))
-    texts, langs = labelled.sample(docs, known, ROWS, SIZE)
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("label")).filter(F.col("label").isNotNull() & (fold("doc_id", FOLDS) >= 0) & (fold("doc_id", FOLDS) != HELD))
+    texts, langs = labelled.sample(docs.filter("text IS NOT NULL"), known, ROWS, SIZE)
     filters = fit(texts, langs)
     give_back()
     return filters
@@ -162,7 +166,7 @@ def train(docs: DataFrame) -> Filters:
 
 def label(docs: DataFrame, filters: Filters) -> DataFrame:
     """doc_id, lang_pred, score for each row of docs (doc_id, text)."""
-    held = docs.sparkSession.sparkContext.broadcast(filters)  # 2 ** SLOT_BITS words for each 64 languages
+    held = docs.sparkSession.sparkContext.broadcast(filters)  # 2 ** SLOT_BITS bytes for each 8 languages
 
     def labelled_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +174,7 @@ def label(docs: DataFrame, filters: Filters) -> DataFrame:
                 lang, share = predict(held.value, data, offsets)
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(lang, pa.string()), pa.array(share)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(labelled_rows, "doc_id long, lang_pred string, score double")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labelled_rows, "doc_id long, lang_pred string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

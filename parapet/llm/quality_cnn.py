@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parapet.llm import labelled
-from parapet.llm.shared import fold, table
+from parapet.llm.shared import fold, mapped, table
 from parapet.llm.words import blocks, give_back
 
 CHUNK, OVERLAP = 256, 32
@@ -38,7 +38,7 @@ FOLDS = 5
 KEEP_FROM = 0.3
 PLACES = (CHUNK - WIDTH) // STRIDE + 1
 #: Chunks worked on at once, which bounds memory.
-AT_ONCE = 2048
+AT_ONCE = 512
 
 
 def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,7 +193,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
             for rows, data, offsets in blocks(batch, "text"):
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(scores(held.value, data, offsets))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, score double")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scored, "doc_id long, score double")
 
 
 def keep(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
@@ -206,7 +206,7 @@ def keep(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
                 fine = scores(held.value, data, offsets) >= KEEP_FROM
                 yield pa.RecordBatch.from_arrays(rows.columns, rows.schema.names).filter(pa.array(fine))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return mapped(docs, kept, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parapet.llm.shared import table, written
+from parapet.llm.shared import mapped, table, written
 from parapet.llm.words import Words, blocks, inside, mix, per_document, range_hashes, window_hashes
 
 WINDOW = 5
@@ -157,7 +157,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.
 def judge(docs: DataFrame) -> DataFrame:
     """Counts, base_failed, kept and quality (posterior) for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    measured = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_measured, SCHEMA), "rules")
+    measured = written(mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _measured, SCHEMA), "rules")
     seen = measured.filter(~base_failed()).groupBy("pattern").count().orderBy("pattern").toPandas()  # at most 3 ** rules rows
     good = estimate(seen["pattern"].to_numpy(np.int64), seen["count"].to_numpy(np.int64)) if len(seen) else np.zeros(0)
     verdicts = spark.createDataFrame([(int(p), float(g)) for p, g in zip(seen["pattern"], good)], "pattern int, quality double")

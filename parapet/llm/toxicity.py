@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parapet.llm import labelled
-from parapet.llm.shared import fold, table
+from parapet.llm.shared import fold, mapped, table
 from parapet.llm.words import _BYTE, LOWER, SPACE, U64, _power, blocks, give_back, mix
 
 ORDERS = (4, 5, 6)
@@ -132,7 +132,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
             for rows, data, offsets in blocks(batch, "text"):
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(scores(data, offsets, weights, intercept, used))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, score double")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scored, "doc_id long, score double")
 
 
 def keep(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
@@ -147,7 +147,7 @@ def keep(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
                 fine = (scores(data, offsets, weights, intercept, used) < 0.5) | (np.diff(offsets) == 0)
                 yield pa.RecordBatch.from_arrays(rows.columns, rows.schema.names).filter(pa.array(fine))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return mapped(docs, kept, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
