@@ -245,8 +245,8 @@ def test_html(pages):
     assert len(got) == len(PAGES) and all(r.n_chars == len(r.text) for r in got)
     assert by[1] == by[2] == "T & x\none two three" and by[3] == by[4] == by[7] == "" and by[None] == "no id" and by[5] == "text only"
     assert by[6] == LONG.strip() and by[8] == "é — bc d\ne"
-    assert html_text.texts(pages.filter("false"), {}).count() == 0
-    assert html_text.train(pages.filter("false")) == {}
+    assert html_text.texts(pages.filter("false"), html_text.Weights()).count() == 0
+    assert html_text.train(pages.filter("false")) == html_text.Weights()
 
 
 def test_warc(spark, pages):

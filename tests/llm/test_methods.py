@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from parapet.llm import fm_index, html_text, language_id, language_model, near_dup, quality_cnn, quality_rules, registry, sketch, suffix_tree, toxicity
+from parapet.llm import fm_index, language_id, language_model, near_dup, quality_cnn, quality_rules, registry, sketch, suffix_tree, toxicity
 from parapet.llm.components import components
 from parapet.llm.words import LOWER, Words, blocks, inside, string_block, window_hashes
 
@@ -174,17 +174,6 @@ def test_estimated_accuracies():
     assert (kept == good).mean() > 0.97
 
 
-def test_region_is_the_best_sum():
-    rng = random.Random(6)
-    for _ in range(200):
-        items = [("", "w " * rng.randint(1, 4), False, False) if rng.random() < 0.5 else (rng.choice(["div", "p", "/li"]), "", False, False) for _ in range(rng.randint(0, 12))]
-        weights = {"div": -2.0, "p": -0.02, "li": -3.0}
-        score = lambda x: weights[x[0].lstrip("/")] if x[0] else len(x[1].split())
-        best = max([0.0] + [sum(map(score, items[a:b])) for a in range(len(items)) for b in range(a + 1, len(items) + 1)])
-        a, b = html_text.region(items, False, weights)
-        assert sum(map(score, items[a:b])) == pytest.approx(best)
-
-
 def test_gradient_of_the_network():
     m = {k: v.astype(np.float64) for k, v in quality_cnn.begin_model(3).items()}
     texts = [b"abc def " * 60, b"!!!! $$$$ " * 9]
