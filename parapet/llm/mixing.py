@@ -26,6 +26,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2
 SEED = "mix-1:"
+RESULTS = ("doc_id", "size", "source_size", "target", "taken")
 #: Documents that a key range should hold at most, on average, of the largest source.
 RANGE_ROWS = 1000
 #: Sources whose sizes the driver takes; the targets of more are found by sorted ranges of sources.

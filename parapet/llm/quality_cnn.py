@@ -8,8 +8,9 @@ max-pool, on a bounded sample (ROWS documents, SIZE bytes) of the labelled rows
 held-out fold; all documents are scored.
 
 Cases: null and empty texts are one chunk of padding; without labels of both classes the network
-stays as it began, with a bias towards the class seen; an empty table gives an empty result;
-repeated rows score alike; other columns are ignored.
+stays as it began, with a bias towards the class seen; an id with several labels has the greatest; an
+empty table gives an empty result; repeated rows and ties score alike; a very long text is scored
+whole, AT_ONCE chunks at a time; other columns are ignored.
 """
 
 from __future__ import annotations

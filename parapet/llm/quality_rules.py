@@ -6,7 +6,8 @@ it from all documents, and the posterior probability of good quality replaces al
 The documents enter the estimate only as counts of vote patterns, at most 3 ** rules of them.
 
 Cases: a null or empty text has no words and fails the base test; an empty table gives an empty
-result; repeated rows and ties are scored alike; other columns are ignored.
+result; repeated rows and ties are scored alike; a very long text is measured whole, in a block by
+itself; other columns are ignored.
 """
 
 from __future__ import annotations

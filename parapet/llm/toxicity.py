@@ -8,8 +8,9 @@ The classifier is fitted on a bounded sample (ROWS documents, SIZE bytes) of the
 outside the held-out fold; all documents are scored.
 
 Cases: null and empty texts have no n-gram and get the score of the intercept; without labels of
-both classes all scores are 0.5 or the share of the one class seen; an empty table gives an empty
-result; repeated rows score alike; other columns are ignored.
+both classes all scores are 0.5 or the share of the one class seen; an id with several labels has the
+greatest; an empty table gives an empty result; repeated rows and ties score alike; a very long text is
+scored whole, in a block by itself; other columns are ignored.
 """
 
 from __future__ import annotations
