@@ -1,8 +1,14 @@
 """The training-corpus pipeline: documents through five stages, each written as Parquet and read again.
 
 A stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept; all but
-the last return the columns of documents. Rows without id cannot be named by an operator's result:
-the classifiers keep them, as nothing speaks against them.
+the last return the columns of documents. The last returns the corpus: documents with their columns
+and how many of their words the mix takes.
+
+Cases: rows without id are judged by their texts in the classifiers and stay as they are in the
+near-duplicate stage; null, empty and wordless texts are judged as the classifiers judge them, are
+no near-duplicates of anything, have no passage to cut, and take no words; repeated rows become one;
+very long texts are worked on whole; of equal texts that with the least id stays; empty tables give
+an empty result; other columns are kept, but for those with a name of the mix's results.
 """
 
 from __future__ import annotations
@@ -36,8 +42,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
-    return mixing.mix(docs)
+    """The corpus: all columns of each document, and how many of its words the mix takes."""
+    return mixing.mix(docs, carried=tuple(c for c in docs.columns if c not in mixing.RESULTS))
 
 
 STAGES = [
