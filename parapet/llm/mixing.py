@@ -93,18 +93,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, seed=SEED, carri
     """doc_id, size, source_size, target, taken, and the carried columns, for each row of docs (doc_id, text, source)."""
     spark = docs.sparkSession
     prepared(spark)
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("|"), F.coalesce("text", F.lit(""))))))
-    keyed = docs.select(
+    sized = docs.select(
         "doc_id",
         "source",
-        # sources as keys that are never null
-        F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("of"),
-        size.alias("size"),
-        # a document without words takes nothing, wherever it stands
-        F.when(size > 0, key).otherwise(F.md5(F.uuid())).alias("key"),
+        "text",
         F.struct(*[F.col(c) for c in carried] or [F.lit(0).alias("none")]).alias("row"),
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
+    # sources as keys that are never null; a document without words takes nothing, wherever it stands
+    of = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("of")
+    keyed = sized.select("doc_id", "source", of, "size", F.when(F.col("size") > 0, key).otherwise(F.md5(F.uuid())).alias("key"), "row")
     keyed = written(keyed, "mix")
     sources = written(keyed.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "sources")
     some = sources.agg(F.count("*").alias("sources"), F.max("n").alias("most")).first()
