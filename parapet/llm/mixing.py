@@ -1,15 +1,16 @@
 """Operator 8: mixing sources to target weights.
 
 Every document gets a random key, the MD5 of a seed and its id (without an id: its text). Within a
-source documents are taken in key order; a key prefix splits a source into ranges, sums per range,
-added up over groups of ranges first, and a running sum inside each range give every document its
-prefix sum of words without one task holding a source. The source's budget is cut exactly: whole
-epochs first, then the remainder in key order, the document at the cut giving the part that is left.
+source documents are taken in key order: a key prefix splits a source into ranges, sums per range are
+added up, over groups of ranges first, and the one range in which the source's budget ends is summed
+key by key. So every source has a cut: whole epochs, then the keys below one, and of the document at
+the cut the part that is left. A document's share follows from its own key and its source's cut, so
+documents are neither sorted nor dealt, whatever share of them a source has.
 
 Cases: null or empty text has size 0 and takes 0. A null source is a source of its own, last. An
 empty table gives an empty result. Repeated rows count as often as they occur; ties in the key are
-ordered by id, then size; a very long text is one document, cut where the budget ends. Other columns
-are ignored, or carried along where asked for.
+ordered by id, then size (only those at the cut are ordered); a very long text is one document, cut
+where the budget ends. Other columns are ignored, or carried along where asked for.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parapet.llm.shared import prepared, table, written
+from parapet.llm.shared import met, prepared, table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -89,45 +90,70 @@ def planned(sources: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP) -> DataFr
     return rated.select("source", F.col("size").alias("source_size"), target.alias("target"))
 
 
+def _size():
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _key(seed: str):
+    return F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("|"), F.coalesce("text", F.lit(""))))))
+
+
+def _of(source):
+    """A source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("of")
+
+
+def _cuts(keyed: DataFrame, plan: DataFrame, most: int) -> DataFrame:
+    """of, source_size, target, epochs, rest, cut (the key at which the rest ends; null without words), first (words before it), n."""
+    digits = max(1, math.ceil(math.log(max(1, most / RANGE_ROWS), 16)))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    part = F.substring("key", 1, digits).alias("part")
+    sums = written(keyed.filter("size > 0").groupBy("of", part).agg(F.sum("size").alias("words")).withColumn("group", F.substring("part", 1, digits // 2)), "ranges")
+    groups = sums.groupBy("of", "group").agg(F.sum("words").alias("words"))
+    groups = groups.select("of", "group", F.coalesce(F.sum("words").over(earlier(Window.partitionBy("of").orderBy("group"))), F.lit(0)).alias("start"))
+    before = F.col("start") + F.coalesce(F.sum("words").over(earlier(Window.partitionBy("of", "group").orderBy("part"))), F.lit(0))
+    ends = lambda: (F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words"))
+    at = sums.join(groups, ["of", "group"]).withColumn("before", before).join(plan.select("of", "rest"), "of").filter(ends()).select("of", "part", "rest", "before")
+    # the documents of one range of each source, key by key
+    keys = keyed.filter("size > 0").select("of", part, "key", "size").join(at, ["of", "part"]).groupBy("of", "key", "rest", "before").agg(F.sum("size").alias("words"))
+    first = F.col("before") + F.coalesce(F.sum("words").over(earlier(Window.partitionBy("of").orderBy("key"))), F.lit(0))
+    cut = keys.withColumn("before", first).filter(ends()).select("of", F.col("key").alias("cut"), F.col("before").alias("first"))
+    return plan.join(cut, "of", "left")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, seed=SEED, carried: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken, and the carried columns, for each row of docs (doc_id, text, source)."""
     spark = docs.sparkSession
     prepared(spark)
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("|"), F.coalesce("text", F.lit(""))))))
-    sized = docs.select(
-        "doc_id",
-        "source",
-        "text",
-        F.struct(*[F.col(c) for c in carried] or [F.lit(0).alias("none")]).alias("row"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-    )
-    # sources as keys that are never null; a document without words takes nothing, wherever it stands
-    of = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("of")
-    keyed = sized.select("doc_id", "source", of, "size", F.when(F.col("size") > 0, key).otherwise(F.md5(F.uuid())).alias("key"), "row")
-    keyed = written(keyed, "mix")
+    sized = docs.select("doc_id", "source", _key(seed).alias("key"), _size().alias("size"))
+    keyed = written(sized.select("doc_id", "source", _of(F.col("source")), "size", "key"), "mix")
     sources = written(keyed.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "sources")
-    some = sources.agg(F.count("*").alias("sources"), F.max("n").alias("most")).first()
-    if some["sources"] <= SOURCES:
+    some = sources.agg(F.count("*").alias("sources"), F.max("n").alias("most"), F.sum("n").alias("n")).first()
+    few = some["sources"] <= SOURCES
+    if few:
         sizes = {r["source"]: r["size"] for r in sources.collect()}
         target = targets(sizes, weights, share, cap)
         plan = spark.createDataFrame([(s, sizes[s], target[s]) for s in sizes], "source string, source_size long, target double")
     else:
         plan = planned(sources, weights, share, cap)
-    plan = plan.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("of"), "source_size", "target", F.bround("target", 0).cast("long").alias("budget"))
-    digits = max(1, math.ceil(math.log(max(1, (some["most"] or 1) / RANGE_ROWS), 16)))
-    ranged = keyed.withColumn("part", F.substring("key", 1, digits))
-    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranged.groupBy("of", "part").agg(F.sum("size").alias("words")).withColumn("group", F.substring("part", 1, digits // 2))
-    groups = sums.groupBy("of", "group").agg(F.sum("words").alias("words"))
-    groups = groups.select("of", "group", F.coalesce(F.sum("words").over(earlier(Window.partitionBy("of").orderBy("group"))), F.lit(0)).alias("first"))
-    before = F.col("first") + F.coalesce(F.sum("words").over(earlier(Window.partitionBy("of", "group").orderBy("part"))), F.lit(0))
-    ranges = sums.join(groups, ["of", "group"]).withColumn("before", before).join(plan, "of").select("of", "part", "before", "source_size", "target", "budget")
-    inner = earlier(Window.partitionBy("of", "part").orderBy("key", "doc_id", "size"))
-    r = ranged.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(ranges, ["of", "part"])
+    plan = plan.withColumn("budget", F.bround("target", 0).cast("long")).join(sources.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s")))
     epochs = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0))
     rest = F.when(F.col("source_size") > 0, F.col("budget") - epochs * F.col("source_size")).otherwise(F.lit(0))
-    cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before") - F.col("inner")))
-    return r.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + cut).cast("long").alias("taken"), *[F.col(f"row.{c}").alias(c) for c in carried])
+    cuts = written(_cuts(keyed, plan.select(_of(F.col("source")), "source_size", "target", epochs.alias("epochs"), rest.alias("rest"), "n"), some["most"] or 1), "cuts")
+    if carried:  # the documents themselves, whose words are counted anew: they are neither sorted nor dealt
+        rows = docs.select("doc_id", _of(F.col("source")), _key(seed).alias("key"), "text", F.struct(*[F.col(c) for c in carried]).alias("row"))
+    else:
+        rows = keyed.drop("source")
+    placed = rows.join(F.broadcast(cuts), "of") if few else met(rows, cuts, "of", some["n"])
+    at = F.coalesce(F.col("key") == F.col("cut"), F.lit(False))
+    parts = [placed.filter(~at), placed.filter(at)]
+    if carried:
+        parts = [p.withColumn("size", _size()).drop("text") for p in parts]
+    whole = F.when(F.col("key") < F.col("cut"), F.col("size")).otherwise(F.lit(0))
+    inner = F.coalesce(F.sum("size").over(Window.partitionBy("of").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("first") - inner))
+    out = parts[0].withColumn("part", whole).unionByName(parts[1].withColumn("part", cut))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"), *[F.col(f"row.{c}").alias(c) for c in carried])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
