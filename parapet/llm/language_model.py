@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 
 from parapet.llm.shared import fold, mapped, prepared, table, written
 from parapet.llm.suffix_tree import COST, DEPTH, LEAST, SPLIT, found, grams, log_probabilities, shorter, summed, symbols, windows
-from parapet.llm.words import LOWER, U64, Words, blocks, mix, per_document
+from parapet.llm.words import LOWER, U64, Words, blocks, give_back, mix, per_document
 
 FOLDS, HELD = 7, 2
 #: Bytes of text in a block of documents, of which a part at a time is worked on.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Partial sums that are added up at once, and blocks that meet a part at once.
 FAN, SPAN = 64, 256
 
@@ -95,10 +95,11 @@ def read_blocks(docs: DataFrame, parts: int, depth: int = DEPTH) -> DataFrame:
 
         def flushed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
             rows, outs, firsts, words, counts = (list(x) for x in zip(*held))
+            held.clear()
             block = uuid.uuid4().hex
-            key, count = summed(np.concatenate([k for w in words for k, _ in w]), np.concatenate([c for w in words for _, c in w]))
+            key, count = _merged(words)
             yield from dealt(block, "words", key, count, (key >> U64(64 - bits)).astype(np.uint16))
-            key, count = summed(np.concatenate([k for g in counts for k, _ in g]), np.concatenate([c for g in counts for _, c in g]))
+            key, count = _merged(counts)
             # the part is that of the last symbols of the context, so that longer contexts meet there
             tail = (key >> U64(8)) & U64((1 << (8 * SPLIT)) - 1)
             yield from dealt(block, "grams", key, count, (mix(tail) % U64(parts)).astype(np.uint16))
@@ -119,26 +120,29 @@ def read_blocks(docs: DataFrame, parts: int, depth: int = DEPTH) -> DataFrame:
                 h, own = w.hashes(), np.repeat(train, np.diff(w.first))
                 word, times = np.unique(h[own], return_counts=True)
                 other = np.unique(h[~own])
-                held.append((rows.select([0, 2, 2, 3]), out, first, [(word, times), (other, np.zeros(len(other), np.int64))], [learned, (rest[0], np.zeros(len(rest[0]), np.int64))]))
+                words = summed(np.concatenate([word, other]), np.concatenate([times, np.zeros(len(other), np.int64)]))
+                both = summed(np.concatenate([learned[0], rest[0]]), np.concatenate([learned[1], np.zeros(len(rest[0]), np.int64)]))
+                held.append((rows.select([0, 2, 2, 3]), out, first, words, both))
                 size += len(data)
                 if size >= BLOCK_BYTES:
                     yield from flushed(held)
-                    held, size = [], 0
+                    size = 0
+                    give_back()
         if held:
             yield from flushed(held)
 
     return mapped(docs.select("doc_id", "text", "train", "held_out"), read, BLOCKS)
 
 
-def _added(packed: Iterator[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed keys and counts, added up as they come."""
+def _merged(parts) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of several parts, added up as they come, so that what is held at once is in proportion to the sum."""
     key, count = np.zeros(0, U64), np.zeros(0, np.int64)
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
-    for k, c in packed:
-        held.append((_keys(k), _counts(c)))
-        size += len(held[-1][0])
-        if size > max(1 << 20, len(key)):
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size > max(1 << 19, len(key)):
             key, count = summed(np.concatenate([key, *(x for x, _ in held)]), np.concatenate([count, *(y for _, y in held)]))
             held, size = [], 0
     return summed(np.concatenate([key, *(x for x, _ in held)]), np.concatenate([count, *(y for _, y in held)]))
@@ -149,7 +153,7 @@ SUMS = "part int, turn int, keys binary, counts binary, total long, types long"
 
 def _sum(group: pa.Table) -> pa.Table:
     """Counts of some blocks, or partial sums, of one part as one row; without keys that have no count."""
-    key, count = _added((k.as_py(), c.as_py()) for k, c in zip(group.column("keys"), group.column("counts")))
+    key, count = _merged((_keys(k.as_py()), _counts(c.as_py())) for k, c in zip(group.column("keys"), group.column("counts")))
     key, count = key[count > 0], count[count > 0]
     row = {"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "turn": pa.array([group.column("turn")[0].as_py()], pa.int32())}
     row |= {"keys": pa.array([_pack_keys(key)], pa.binary()), "counts": pa.array([_pack_counts(count)], pa.binary())}
@@ -196,6 +200,8 @@ def scored_grams(read: DataFrame, blocks: int, pairs, depth: int = DEPTH, least:
         wanted = np.unique(np.concatenate([np.zeros(0, U64), *own]))
         log = log_probabilities(wanted, key, count, pairs.value, depth, least, cost).astype(np.float32)
         back = [_squeezed(log[np.searchsorted(wanted, k)]) for k in own]
+        del own, wanted, log, key, count
+        give_back()
         return pa.table({"block": rows.column("block"), "keys": rows.column("keys"), "logs": pa.array(back, pa.binary())})
 
     return _meet(read, "grams", blocks, sums(read, "grams", blocks), part, "block string, keys binary, logs binary")
@@ -258,8 +264,11 @@ def score(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, cost: float =
                 out = _opened(packed.as_py(), np.uint8, int(first[-1]))
                 key = [_keys(x["keys"]) for x in grammed.as_py() or []]
                 log = [_opened(x["logs"], np.float32, len(q)) for x, q in zip(grammed.as_py() or [], key)]
-                order = np.argsort(np.concatenate(key))
-                scores, firsts_of_words, hashes = score_symbols(out, first, np.concatenate(key)[order], np.concatenate(log)[order], depth)
+                key, log = np.concatenate(key), np.concatenate(log)
+                order = np.argsort(key)
+                key, log = key[order], log[order]
+                scores, firsts_of_words, hashes = score_symbols(out, first, key, log, depth)
+                del key, log, order, out
                 of = [_counts(x["totals"]) for x in sorted(back.as_py() or [], key=lambda x: x["part"])]
                 total = np.concatenate(of) if of else np.zeros(0, np.int64)
                 _, place = np.unique(hashes, return_inverse=True)  # the parts are ranges of hashes
@@ -270,6 +279,8 @@ def score(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, cost: float =
                     [pa.array(ids.as_py(), pa.int64()), pa.array(held.as_py(), pa.bool_()), pa.array(np.diff(firsts_of_words) + 1), pa.array(known), pa.array(np.full(len(scores), n, np.int64)), pa.array(base), pa.array(scores)],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
+                del total, place, hashes
+                give_back()
 
     back = totals.groupBy("block").agg(F.collect_list(F.struct("part", "totals")).alias("back"))
     grammed = logs.groupBy("block").agg(F.collect_list(F.struct("keys", "logs")).alias("grammed"))
