@@ -92,9 +92,10 @@ def _busy(pairs: DataFrame, total: int, side: str) -> DataFrame:
     return written(per.select(F.col(side).alias("busy"), F.ceil(F.col("n") / DEALT).alias("parts")), "busy")
 
 
-def _with_set(pairs: DataFrame, busy: DataFrame, sets: DataFrame, side: str, other: str) -> DataFrame:
-    """pairs with the set of the node in column `side`, as set_<side>; that of a busy one goes to several tasks."""
+def _with_set(pairs: DataFrame, busy: DataFrame, marks: DataFrame, bits: int, sets: DataFrame, side: str, other: str) -> DataFrame:
+    """pairs with the set of the node in column `side` (all in a bitmap), as set_<side>; that of a busy one goes to several tasks."""
     parts = F.coalesce("parts", F.lit(1).cast("long"))
+    sets = flagged(sets, F.col("node"), marks, bits, "wanted").filter("wanted").drop("wanted")
     dealt = pairs.join(F.broadcast(busy), F.col(side) == F.col("busy"), "left").withColumn("part", F.pmod(F.xxhash64(other), parts)).drop("busy", "parts")
     held = sets.join(F.broadcast(busy), F.col("node") == F.col("busy"), "left")
     held = held.select(F.col("node").alias(side), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("set").alias(f"set_{side}"))
@@ -106,8 +107,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     pairs = written(pairs, "pairs")
     total = pairs.count()
     both = pairs
+    bits = bitmap_bits(total)
     for side, other in (("b", "a"), ("a", "b")):
-        both = _with_set(both, _busy(pairs, total, side), sets, side, other)
+        marks = written(bitmap(pairs, side, bits), "marks")
+        both = _with_set(both, _busy(pairs, total, side), marks, bits, sets, side, other)
     return mapped(both.select("a", "b", "set_a", "set_b"), _linked, "a long, b long")
 
 
@@ -134,14 +137,15 @@ def _shared(open_nodes: DataFrame) -> DataFrame:
 
 
 def _candidates(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of the members of a group that may be linked.
+    """Pairs of the members of a group that may be linked, and were in no earlier band together.
 
     A group is a block of the bucket's main component with one of other members (i < 0: only pairs
     across count), or one or two blocks of other members (of two, only pairs across count).
     """
     nodes, comp, size, shared, block = (group.column(c).to_numpy() for c in ("node", "component", "n_shingles", "shared", "block"))
     coords = np.frombuffer(b"".join(group.column("coords").to_pylist()), np.uint8).reshape(len(nodes), COORDINATES)
-    i, j = (group.column(c)[0].as_py() for c in ("i", "j"))
+    keys = np.array(group.column("keys").combine_chunks().flatten()).reshape(len(nodes), BANDS)
+    key, i, j = (group.column(c)[0].as_py() for c in ("key", "i", "j"))
     if i == j:
         rows, others = np.arange(len(nodes)), None
     else:
@@ -154,6 +158,7 @@ def _candidates(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         y = y[may]
         y = y[np.count_nonzero(coords[y] == coords[x], axis=1) >= AGREE]
         if len(y):
+            y = y[keys[x][(keys[y] == keys[x]).argmax(1)] == key]  # in the first band that both have in common
             out_a.append(np.minimum(nodes[x], nodes[y]))
             out_b.append(np.maximum(nodes[x], nodes[y]))
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (nodes[:0], nodes[:0])
@@ -203,7 +208,7 @@ def _across(members: DataFrame, buckets: DataFrame) -> DataFrame:
     # a member of the main component meets all blocks of others; another one also all blocks of the main one
     meets = F.when(is_main, rests).otherwise(F.concat(F.transform(F.sequence(F.lit(1).cast("long"), F.col("mains")), lambda x: -x), rests))
     dealt = held.withColumn("block", block).withColumn("other", F.explode(meets))
-    return dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n_shingles", "shared", "coords")
+    return dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n_shingles", "shared", "keys", "coords")
 
 
 def _nodes(docs: DataFrame) -> DataFrame:
@@ -215,10 +220,14 @@ def _nodes(docs: DataFrame) -> DataFrame:
     reps = rated.groupBy(*same).agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("coords").alias("coords"))
     reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "reps")
 
-    banded = reps.select("node", F.explode("keys").alias("key"))
-    buckets = written(banded.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1"), "buckets")
-    total = buckets.agg(F.sum("n")).first()[0] or 0
-    members = written(met(banded, buckets, "key", total).select("key", "node", "leader"), "members")
+    # the leader is that of the least id, most likely the text that others were made from
+    banded = reps.select("node", "id", F.explode("keys").alias("key"))
+    buckets = written(banded.groupBy("key").agg(F.min_by("node", "id").alias("leader"), F.count("*").alias("n")).filter("n > 1"), "buckets")
+    some = buckets.agg(F.count("*").alias("keys"), F.sum("n").alias("n")).first()
+    bits = bitmap_bits(some["keys"])
+    # most keys are of one node, which a bitmap of the others tells where they are read
+    shared_keys = flagged(banded.drop("id"), F.col("key"), written(bitmap(buckets, "key", bits), "marks"), bits, "shared").filter("shared").drop("shared")
+    members = written(met(shared_keys, buckets, "key", some["n"] or 0).select("key", "node", "leader"), "members")
     involved = written(members.select("node").distinct().join(reps.select("node", "id", "f1", "f2"), "node"), "involved")
     bits = bitmap_bits(involved.count())
     wanted = flagged(docs.filter("doc_id IS NOT NULL"), F.col("doc_id"), written(bitmap(involved, "id", bits), "marks"), bits, "wanted").filter("wanted")
@@ -234,7 +243,7 @@ def _nodes(docs: DataFrame) -> DataFrame:
     parted = written(_per_bucket(known), "parted")
     open_ = written(met(known, parted, "key", parted.agg(F.sum("n")).first()[0] or 0).select("key", "node", "component"), "open")
     shared = _shared(sets.join(open_.select("node").distinct(), "node", "left_semi"))
-    able = shared.join(reps.select("node", "n_shingles", "coords"), "node").filter(F.col("shared") * 100 >= F.col("n_shingles") * PERCENT)
+    able = shared.join(reps.select("node", "n_shingles", "keys", "coords"), "node").filter(F.col("shared") * 100 >= F.col("n_shingles") * PERCENT)
     able = written(open_.join(able, "node"), "able")
     dealt = _across(able, _per_bucket(able))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
