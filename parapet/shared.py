@@ -46,8 +46,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def bitmap_bits(keys: int) -> int:
-    """Places of a bitmap for so many keys: 16 a key, a power of 2 from 2 ** 16 to 2 ** 26 (a million words of 64 places)."""
-    return 1 << min(26, max(16, (16 * keys).bit_length()))
+    """Places of a bitmap for so many keys: 16 a key, a power of 2 from 2 ** 16 to 2 ** 24 (262,144 words of 64 places)."""
+    return 1 << min(24, max(16, (16 * keys).bit_length()))
 
 
 def _place(key: str | Column, bits: int) -> Column:
