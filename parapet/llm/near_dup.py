@@ -11,7 +11,8 @@
    one another. Pairs that cannot be linked are left out: of too different sizes, with too many
    shingles that no other such node has (all exact bounds), or whose sketches agree in less than
    AGREE of the coordinates (8 standard deviations below 0.75, a chance of 1e-14). Large buckets are
-   worked on in pairs of blocks. Links found join the components.
+   worked on in pairs of blocks, which have the full sets with them, so that only links come out.
+   These join the components.
 
 A bucket, a text or a leader that a large share of all rows has is met by broadcast or dealt over
 tasks (shared.met, _with_set), so no task holds all rows of one.
@@ -41,8 +42,8 @@ from parapet.llm.words import blocks
 PERCENT = 75
 #: Least number of equal coordinates of a pair to be verified.
 AGREE = 100
-#: Members of a bucket that are compared with one another at once.
-BLOCK = 512
+#: Members of a bucket that are compared with one another at once, about, and the bytes of their sets.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
 #: Pairs of one node that are verified by a task, about, if the node has a large share of all.
 DEALT = 256
 
@@ -70,47 +71,44 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(f1), pa.array(f2), raw], ["id", "f1", "f2", "set"])
 
 
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two full sets are linked."""
+    if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= PERCENT * (len(both) - common)
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ok = np.zeros(batch.num_rows, bool)
-        for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            if 100 * len(x) < PERCENT * len(y):
-                continue
-            both = np.concatenate([x, y])
-            both.sort()
-            common = int(np.count_nonzero(both[1:] == both[:-1]))
-            ok[k] = 100 * common >= PERCENT * (len(both) - common)
+        ok = np.array([similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3))], bool)
         yield batch.select([0, 1]).filter(pa.array(ok))
 
 
-def _busy(pairs: DataFrame, total: int, side: str) -> DataFrame:
-    """busy, parts: the nodes in column `side` (at most HOT) that have a large share of all pairs, and over how many tasks to deal these."""
-    per = pairs.groupBy(side).agg(F.count("*").alias("n")).filter((F.col("n") > DEALT) & (F.col("n") * HOT > total))
-    return written(per.select(F.col(side).alias("busy"), F.ceil(F.col("n") / DEALT).alias("parts")), "busy")
-
+def _attached(rows: DataFrame, counted: DataFrame, total: int, payload: DataFrame, side: str, spread: tuple[str, ...]) -> DataFrame:
+    """rows with the other columns of payload (node, ...) of the node in column `side`.
 
-def _with_set(pairs: DataFrame, busy: DataFrame, marks: DataFrame, bits: int, sets: DataFrame, side: str, other: str) -> DataFrame:
-    """pairs with the set of the node in column `side` (all in a bitmap), as set_<side>; that of a busy one goes to several tasks."""
+    counted are the rows, or a narrow table of them. A node with a large share of all rows (there are
+    at most HOT) has its payload sent to several tasks, over which its rows are dealt by `spread`.
+    """
+    busy = counted.groupBy(side).agg(F.count("*").alias("n")).filter((F.col("n") > DEALT) & (F.col("n") * HOT > total))
+    busy = written(busy.select(F.col(side).alias("busy"), F.ceil(F.col("n") / DEALT).alias("parts")), "busy")
+    bits = bitmap_bits(total)
+    wanted = flagged(payload, F.col("node"), written(bitmap(counted, side, bits), "marks"), bits, "wanted").filter("wanted").drop("wanted")
     parts = F.coalesce("parts", F.lit(1).cast("long"))
-    sets = flagged(sets, F.col("node"), marks, bits, "wanted").filter("wanted").drop("wanted")
-    dealt = pairs.join(F.broadcast(busy), F.col(side) == F.col("busy"), "left").withColumn("part", F.pmod(F.xxhash64(other), parts)).drop("busy", "parts")
-    held = sets.join(F.broadcast(busy), F.col("node") == F.col("busy"), "left")
-    held = held.select(F.col("node").alias(side), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("set").alias(f"set_{side}"))
-    return dealt.join(held, [side, "part"]).drop("part")
+    dealt = rows.join(F.broadcast(busy), F.col(side) == F.col("busy"), "left").withColumn("part", F.pmod(F.xxhash64(*spread), parts)).drop("busy", "parts")
+    held = wanted.join(F.broadcast(busy), F.col("node") == F.col("busy"), "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return dealt.join(held.drop("busy", "parts").withColumnRenamed("node", side), [side, "part"]).drop("part")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of distinct pairs (a, b) of nodes whose full sets are similar."""
     pairs = written(pairs, "pairs")
     total = pairs.count()
-    both = pairs
-    bits = bitmap_bits(total)
-    for side, other in (("b", "a"), ("a", "b")):
-        marks = written(bitmap(pairs, side, bits), "marks")
-        both = _with_set(both, _busy(pairs, total, side), marks, bits, sets, side, other)
+    half = _attached(pairs, pairs, total, sets.withColumnRenamed("set", "set_b"), "b", ("a",))
+    both = _attached(half, pairs, total, sets.withColumnRenamed("set", "set_a"), "a", ("b",))
     return mapped(both.select("a", "b", "set_a", "set_b"), _linked, "a long, b long")
 
 
@@ -124,20 +122,17 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared(open_nodes: DataFrame) -> DataFrame:
-    """node, shared: at most how many shingles of each open node (node, set) another one has too.
-
-    A shingle that two nodes have sets its place in a bitmap. A place set by another shingle makes
-    the bound larger, which costs work and no link.
-    """
+    """node, shared: how many shingles of each open node (node, set) another one has too; nodes without any are not in it."""
     each = written(mapped(open_nodes.select("node", "set"), _shingles, "node long, shingle long"), "shingles")
-    twice = written(each.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").select("shingle"), "twice")
-    bits = bitmap_bits(twice.count())
-    marked = flagged(each, F.col("shingle"), written(bitmap(twice, "shingle", bits), "marks"), bits, "twice")
-    return marked.groupBy("node").agg(F.count_if("twice").alias("shared"))
+    twice = written(each.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1"), "twice")
+    some = twice.agg(F.count("*").alias("shingles"), F.sum("n").alias("n")).first()
+    bits = bitmap_bits(some["shingles"])
+    maybe = flagged(each, F.col("shingle"), written(bitmap(twice, "shingle", bits), "marks"), bits, "twice").filter("twice").drop("twice")
+    return met(maybe, twice, "shingle", some["n"] or 0).groupBy("node").agg(F.count("*").alias("shared"))
 
 
-def _candidates(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of the members of a group that may be linked, and were in no earlier band together.
+def _links(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The links between members of a group that were in no earlier band together.
 
     A group is a block of the bucket's main component with one of other members (i < 0: only pairs
     across count), or one or two blocks of other members (of two, only pairs across count).
@@ -150,7 +145,8 @@ def _candidates(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         rows, others = np.arange(len(nodes)), None
     else:
         rows, others = np.flatnonzero(block == i), np.flatnonzero(block != i)
-    out_a, out_b = [], []
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("set")]
+    out = []
     for x in rows:
         y = np.arange(x + 1, len(nodes)) if others is None else others
         small, large = np.minimum(size[y], size[x]), np.maximum(size[y], size[x])
@@ -159,16 +155,15 @@ def _candidates(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         y = y[np.count_nonzero(coords[y] == coords[x], axis=1) >= AGREE]
         if len(y):
             y = y[keys[x][(keys[y] == keys[x]).argmax(1)] == key]  # in the first band that both have in common
-            out_a.append(np.minimum(nodes[x], nodes[y]))
-            out_b.append(np.maximum(nodes[x], nodes[y]))
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (nodes[:0], nodes[:0])
+            out += [(nodes[x], nodes[k]) for k in y if similar(sets[x], sets[k])]
+    return np.array([a for a, _ in out], np.int64), np.array([b for _, b in out], np.int64)
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (key, i, j); a group may go over batches."""
 
     def made(t: pa.Table) -> pa.RecordBatch:
-        a, b = _candidates(t)
+        a, b = _links(t)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     left = None
@@ -189,18 +184,23 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _per_bucket(members: DataFrame) -> DataFrame:
-    """key, main, n, n_main of the buckets (key, component, ...) whose members are in several components; main is the largest, the least of equals."""
-    each = members.groupBy("key", "component").agg(F.count("*").alias("c"))
-    main = F.max_by("component", F.struct("c", -F.col("component")))
-    return each.groupBy("key").agg(main.alias("main"), F.sum("c").alias("n"), F.max("c").alias("n_main"), F.count("*").alias("kinds")).filter("kinds > 1").drop("kinds")
+    """Of the buckets (key, component, n_shingles) whose members are in several components: key, main (the largest, the least of equals), n and n_main members, w and w_main shingles."""
+    each = members.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("w"))
+    turn = F.struct("c", -F.col("component"))
+    per = each.groupBy("key").agg(F.max_by("component", turn).alias("main"), F.sum("c").alias("n"), F.max("c").alias("n_main"), F.sum("w").alias("w"), F.max_by("w", turn).alias("w_main"), F.count("*").alias("kinds"))
+    return per.filter("kinds > 1").drop("kinds")
+
+
+def _blocks(members, shingles):
+    """Blocks for so many members with so many shingles."""
+    return F.greatest(F.ceil(members / BLOCK), F.ceil(shingles * 8 / BLOCK_BYTES)).cast("long")
 
 
 def _across(members: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Rows of members dealt to groups (key, i, j) of two blocks each, as _candidates() has them: blocks of the main component are -1, -2 ..., those of others 0, 1 ..."""
-    n = written(buckets, "buckets")
-    total = n.agg(F.sum("n")).first()[0] or 0
-    parts = lambda c: F.ceil(c / BLOCK).cast("long")
-    held = met(members, n.withColumn("mains", parts(F.col("n_main"))).withColumn("rests", parts(F.col("n") - F.col("n_main"))), "key", total)
+    """Rows of members dealt to groups (key, i, j) of two blocks each, as _links() has them: blocks of the main component are -1, -2 ..., those of others 0, 1 ..."""
+    buckets = written(buckets, "buckets")
+    held = met(members, buckets, "key", buckets.agg(F.sum("n")).first()[0] or 0)
+    held = held.withColumn("mains", _blocks(F.col("n_main"), F.col("w_main"))).withColumn("rests", _blocks(F.col("n") - F.col("n_main"), F.col("w") - F.col("w_main")))
     is_main = F.col("component") == F.col("main")
     turn = F.xxhash64("node")
     block = F.when(is_main, -1 - F.pmod(turn, F.col("mains"))).otherwise(F.pmod(turn, F.col("rests")))
@@ -208,7 +208,7 @@ def _across(members: DataFrame, buckets: DataFrame) -> DataFrame:
     # a member of the main component meets all blocks of others; another one also all blocks of the main one
     meets = F.when(is_main, rests).otherwise(F.concat(F.transform(F.sequence(F.lit(1).cast("long"), F.col("mains")), lambda x: -x), rests))
     dealt = held.withColumn("block", block).withColumn("other", F.explode(meets))
-    return dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n_shingles", "shared", "keys", "coords")
+    return dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component")
 
 
 def _nodes(docs: DataFrame) -> DataFrame:
@@ -239,16 +239,19 @@ def _nodes(docs: DataFrame) -> DataFrame:
     links = written(_verified(star, sets), "links")
     found = written(components(links), "components")
 
-    known = written(members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "known")
+    sizes = reps.select("node", "n_shingles")
+    known = members.join(found, "node", "left").join(sizes, "node").select("key", "node", F.coalesce("component", "node").alias("component"), "n_shingles")
+    known = written(known, "known")
     parted = written(_per_bucket(known), "parted")
-    open_ = written(met(known, parted, "key", parted.agg(F.sum("n")).first()[0] or 0).select("key", "node", "component"), "open")
+    open_ = written(met(known, parted, "key", parted.agg(F.sum("n")).first()[0] or 0).select("key", "node", "component", "n_shingles"), "open")
     shared = _shared(sets.join(open_.select("node").distinct(), "node", "left_semi"))
     able = shared.join(reps.select("node", "n_shingles", "keys", "coords"), "node").filter(F.col("shared") * 100 >= F.col("n_shingles") * PERCENT)
-    able = written(open_.join(able, "node"), "able")
-    dealt = _across(able, _per_bucket(able))
+    able = written(able.join(sets, "node"), "able")
+    narrow = written(open_.join(able.select("node"), "node"), "narrow")
+    dealt = written(_across(narrow, _per_bucket(narrow)), "dealt")
+    whole = _attached(dealt, dealt, dealt.count(), able, "node", ("key", "i", "j"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = mapped(dealt.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j"), _paired, "a long, b long").distinct()
-    more = _verified(pairs, sets)
+    more = mapped(whole.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j"), _paired, "a long, b long").distinct()
     found = written(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
 
     named = written(reps.select(*same, "id", "copies", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node"), "named")
