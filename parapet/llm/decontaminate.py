@@ -36,7 +36,7 @@ from parapet.llm.words import LOWER, NOT_ALNUM, U64, Words, blocks, inside, per_
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 FILTER_BITS = 20
 #: Blocks that a worker keeps from one task to the next.
 KEPT = 4
