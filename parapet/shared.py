@@ -71,6 +71,11 @@ def flagged(df: DataFrame, key: Column, marks: DataFrame, bits: int, name: str)
     return out.withColumn(name, F.coalesce(is_set, F.lit(False))).drop("__word", "__places", "__at")
 
 
+def rounded(total: int) -> int:
+    """The next power of 2: plans with it have the same compiled code for many totals."""
+    return 1 << int(total).bit_length()
+
+
 def met(big: DataFrame, small: DataFrame, key: str, total: int, count: str = "n") -> DataFrame:
     """The inner join of big with small on key, whatever share of big's rows a key has.
 
@@ -78,6 +83,7 @@ def met(big: DataFrame, small: DataFrame, key: str, total: int, count: str = "n"
     is the sum of these, or more. Keys with over one in HOT of all rows (there are at most HOT) are
     broadcast, so that their rows of big stay where they are; the rows of others are dealt by key.
     """
+    total = rounded(total)
     hot = small.filter(F.col(count) * HOT > total)
     frequent = big.join(F.broadcast(hot), key)
     others = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(small.filter(F.col(count) * HOT <= total), key)
