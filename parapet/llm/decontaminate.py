@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 
 from parapet.llm.fm_index import FMIndex
 from parapet.llm.shared import mapped, new_path, prepared, table
-from parapet.llm.words import LOWER, NOT_ALNUM, U64, Words, blocks, inside, per_document, string_block
+from parapet.llm.words import LOWER, NOT_ALNUM, U64, Words, blocks, give_back, inside, per_document, string_block
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 FILTER_BITS = 20
 #: Blocks that a worker keeps from one task to the next.
 KEPT = 4
@@ -312,6 +312,7 @@ def cut(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for batch in batches:
             for rows, data, offsets in blocks(batch, "text", SHARD_BYTES):
                 yield cleaned(rows, data, offsets)
+                give_back()
 
     def cleaned(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         texts: dict[int, str] = {}

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parapet.llm.components import components
-from parapet.llm.shared import HOT, bitmap, bitmap_bits, flagged, mapped, met, table, written
+from parapet.llm.shared import HOT, bitmap, bitmap_bits, flagged, mapped, met, rounded, table, written
 from parapet.llm.sketch import BANDS, COORDINATES, band_keys, fingerprints, shingle_sets, sketch
 from parapet.llm.words import blocks
 
@@ -93,7 +93,7 @@ def _attached(rows: DataFrame, counted: DataFrame, total: int, payload: DataFram
     counted are the rows, or a narrow table of them. A node with a large share of all rows (there are
     at most HOT) has its payload sent to several tasks, over which its rows are dealt by `spread`.
     """
-    busy = counted.groupBy(side).agg(F.count("*").alias("n")).filter((F.col("n") > DEALT) & (F.col("n") * HOT > total))
+    busy = counted.groupBy(side).agg(F.count("*").alias("n")).filter((F.col("n") > DEALT) & (F.col("n") * HOT > rounded(total)))
     busy = written(busy.select(F.col(side).alias("busy"), F.ceil(F.col("n") / DEALT).alias("parts")), "busy")
     bits = bitmap_bits(total)
     wanted = flagged(payload, F.col("node"), written(bitmap(counted, side, bits), "marks"), bits, "wanted").filter("wanted").drop("wanted")

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parapet import shared
-from parapet.shared import HOT, bitmap, bitmap_bits, flagged, met, new_path, shared_dir  # noqa: F401
+from parapet.shared import HOT, bitmap, bitmap_bits, flagged, met, new_path, rounded, shared_dir  # noqa: F401
 from parapet.ship import mapped, ship  # noqa: F401
 
 #: Bytes of an Arrow batch between the JVM and Python, at most: whole batches are held on both sides.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def prepared(spark: SparkSession) -> None:

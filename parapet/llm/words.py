@@ -13,10 +13,13 @@ import numpy as np
 import pyarrow as pa
 
 #: Most bytes of text in a block (a longer document is a block by itself). Bounds memory.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 512 << 10
 
 U64 = np.uint64
 
+# Arrow's own allocator keeps what is freed; the system's gives it back (give_back), which workers that stages share need
+pa.set_memory_pool(pa.system_memory_pool())
+
 
 def _splitmix(n: int, seed: int) -> np.ndarray:
     with np.errstate(over="ignore"):
