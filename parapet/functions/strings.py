@@ -84,22 +84,43 @@ def deletions(s: Column, depth: int = 2) -> Column:
     return F.array_distinct(out)
 
 
-#: Comments to one space; strings and templates stay as they are (quotes end at a line's end).
-_COMMENTS = (
-    r"\G((?:[^'\"`/]++|'(?:[^'\\\n]++|\\[\s\S])*+\\?'?|\"(?:[^\"\\\n]++|\\[\s\S])*+\\?\"?|`(?:[^`\\]++|\\[\s\S])*+\\?`?|/(?![/*]))*+)"
-    r"(?://[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/)?)"
-)
-_BODIES = r"(['\"`])(?:(?<=')(?:[^'\\\n]++|\\[\s\S])*+\\?'?|(?<=\")(?:[^\"\\\n]++|\\[\s\S])*+\\?\"?|(?<=`)(?:[^`\\]++|\\[\s\S])*+\\?`?)"
+_QUOTED = r"'(?:[^'\\\n]++|\\[\s\S])*+\\?'?|\"(?:[^\"\\\n]++|\\[\s\S])*+\\?\"?|`(?:[^`\\]++|\\[\s\S])*+\\?`?"
+#: Runs without comments, or comments; strings and templates keep theirs (quotes end at a line's end).
+_COMMENTED = rf"(?:[^'\"`/]++|{_QUOTED}|/(?![/*]))++|//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/)?"
+#: Runs without strings, or strings.
+_STRINGS = rf"[^'\"`]++|{_QUOTED}"
+
+
+def _bytewise(s: Column) -> Column:
+    """s with as many ASCII characters for each other one as it has bytes."""
+    for wide, n in ((r"[\x{10000}-\x{10FFFF}]", 4), (r"[\x{800}-\x{FFFF}]", 3), (r"[\x{80}-\x{7FF}]", 2)):
+        s = F.regexp_replace(s, wide, "x" * n)
+    return s
+
+
+def _blank(s: Column) -> Column:
+    """A space for each byte, but line ends as they are."""
+    return F.regexp_replace(_bytewise(s), r"[^\n]", " ")
+
+
+def _spaced_string(s: Column) -> Column:
+    """A string's quotes, and a space for each byte between them; an escape is two, whatever it escapes."""
+    plain = F.regexp_replace(_bytewise(s), r"\\[\s\S]", "  ")
+    quote = F.substring(plain, 1, 1)
+    closed = (F.length(plain) > 1) & plain.endswith(quote)
+    body = F.substring(plain, F.lit(2), F.length(plain) - 1 - closed.cast("int"))
+    return F.concat(quote, F.regexp_replace(body, r"[^\n]", " "), F.when(closed, quote).otherwise(F.lit("")))
 
 
 def strip_comments(source: Column) -> Column:
-    """JavaScript source without comments."""
-    return F.regexp_replace(source, _COMMENTS, "$1 ")
+    """JavaScript source with comments as spaces, one for each byte, so that offsets and lines stay."""
+    of_comment = lambda t: t.startswith("//") | t.startswith("/*")
+    return F.array_join(F.transform(F.regexp_extract_all(source, F.lit(_COMMENTED), F.lit(0)), lambda t: F.when(of_comment(t), _blank(t)).otherwise(t)), "")
 
 
 def blank_strings(stripped: Column) -> Column:
-    """On top of strip_comments, strings without their contents."""
-    return F.regexp_replace(stripped, _BODIES, "$1$1")
+    """On top of strip_comments, strings with spaces, one for each byte, as their contents."""
+    return F.array_join(F.transform(F.regexp_extract_all(stripped, F.lit(_STRINGS), F.lit(0)), lambda t: F.when(t.rlike("^['\"`]"), _spaced_string(t)).otherwise(t)), "")
 
 
 def entropy(s: Column) -> Column:

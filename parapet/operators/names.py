@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parapet.functions.strings import deletions, normalise, osa, osa_within_two, scope_of, strip_scope, unmask, within
 from parapet.schema import fired, signal
+from parapet.shared import bitmap, flagged
 
 
 def reference(lines: DataFrame) -> DataFrame:
@@ -41,33 +42,37 @@ def combosquats(names: DataFrame, popular: DataFrame, least: int = 4) -> DataFra
     return each.join(popular, F.col("part") == F.col("popular")).groupBy("pkg_id", "bare").agg(F.min_by("part", "at").alias("matched"))
 
 
-def neighbours(names: DataFrame, popular: DataFrame, most: int = 2) -> DataFrame:
-    """The nearest popular name within edit distance `most` (at most 2): pkg_id, bare, d, matched.
+#: Places of the bitmap of what is left of popular names.
+BITS = 1 << 24
+
 
-    Two names that far apart share a string that is left when up to `most` characters of each are
-    deleted, so the search is an equi-join of these strings, which partitions by hash whatever the
-    size of either side; the distance is then computed for pairs that meet. Ties go to the first name.
+def _left_alike(probes: DataFrame, known: DataFrame, own: str, most: int) -> DataFrame:
+    """Pairs (own, popular), some more than once, that share a string left when up to `most` characters of each are deleted.
+
+    An equi-join of these strings, which partitions by hash whatever the size of either side. A bitmap
+    of those of popular names, of a fixed size, leaves out most others where they are made.
     """
-    probes = names.select("bare").distinct()
-    left = probes.withColumn("left", F.explode(deletions(F.col("bare"), most)))
-    right = popular.withColumn("left", F.explode(deletions(F.col("popular"), most)))
-    pairs = left.join(right, "left").select("bare", "popular").distinct().filter("bare <> popular")
-    near = pairs.filter(within(F.col("bare"), F.col("popular"), most)).withColumn("d", osa_within_two(F.col("bare"), F.col("popular")))
+    right = known.withColumn("left", F.explode(deletions(F.col("popular"), most)))
+    left = flagged(probes.withColumn("left", F.explode(deletions(F.col(own), most))), F.col("left"), bitmap(right, "left", BITS), BITS, "may").filter("may").drop("may")
+    return left.join(right, "left").select(own, "popular")
+
+
+def neighbours(names: DataFrame, popular: DataFrame, most: int = 2) -> DataFrame:
+    """The nearest popular name within edit distance `most`: pkg_id, bare, d, matched. d is the optimal string alignment distance; ties go to the first name."""
+    pairs = _left_alike(names.select("bare").distinct(), popular.select("popular"), "bare", most)
+    d = osa_within_two(F.col("bare"), F.col("popular")) if most <= 2 else F.expr(osa("bare", "popular"))
+    near = pairs.filter((F.col("bare") != F.col("popular")) & within(F.col("bare"), F.col("popular"), most)).withColumn("d", d)
     best = near.groupBy("bare").agg(F.min(F.struct("d", "popular")).alias("best")).select("bare", F.col("best.d").alias("d"), F.col("best.popular").alias("matched"))
     return names.select("pkg_id", "bare").join(best, "bare").select("pkg_id", "bare", "d", "matched")
 
 
 def near_scopes(names: DataFrame, scopes: DataFrame, most: int = 2) -> DataFrame:
-    """The nearest popular scope by optimal string alignment: pkg_id, scope, d, matched.
-
-    Popular scopes are few, so lengths are compared first in a join; two swaps of neighbours are 4
-    Levenshtein edits, which bounds the pairs whose alignment is computed.
-    """
+    """The nearest popular scope by optimal string alignment: pkg_id, scope, d, matched. A swap of neighbours, too, leaves the same string when one of them is deleted."""
     own = names.withColumn("scope", scope_of(F.col("full"))).filter("length(scope) >= 3")
     probes = own.select("scope").distinct().join(scopes, "scope", "left_anti")
-    known = scopes.withColumnRenamed("scope", "popular")
+    pairs = _left_alike(probes, scopes.select(F.col("scope").alias("popular")), "scope", most)
     band = F.abs(F.octet_length("scope") - F.octet_length("popular")) <= most
-    near = probes.join(known, band & (F.levenshtein("scope", "popular", 2 * most) >= 0)).withColumn("d", F.expr(osa("scope", "popular"))).filter(F.col("d") <= most)
+    near = pairs.filter(band).withColumn("d", F.expr(osa("scope", "popular"))).filter(F.col("d") <= most)
     best = near.groupBy("scope").agg(F.min(F.struct("d", "popular")).alias("best")).select("scope", F.col("best.d").alias("d"), F.col("best.popular").alias("matched"))
     return own.select("pkg_id", "scope").join(best, "scope").select("pkg_id", "scope", "d", "matched")
 

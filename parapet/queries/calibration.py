@@ -94,12 +94,73 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 9) for n in names})
 
 
-_KEYS = [*rules.TUNABLE, *rules.EXACT_KEYS, *(p + "install" for p in rules.PREFIX_KEYS), "osv_known_vulnerability"]
-
-
-@query("b3_weight_key", "SELECT rule, key FROM " + values([(r, rules.EXACT_KEYS.get(r) or next((k for p, k in rules.PREFIX_KEYS.items() if r.startswith(p)), r)) for r in _KEYS], "rule, key"))
+#: The tunable keys in canonical order and their default weights.
+WEIGHTS = [
+    ("typosquat_close", 0.55),
+    ("typosquat_warn", 0.3),
+    ("typosquat_ascii_homoglyph", 0.65),
+    ("typosquat_combosquat", 0.2),
+    ("typosquat_scope_close", 0.55),
+    ("typosquat_scope_warn", 0.25),
+    ("metadata_new_package", 0.2),
+    ("metadata_young_maintainer", 0.25),
+    ("metadata_low_downloads", 0.05),
+    ("metadata_popular_but_stale", 0.15),
+    ("anomaly_release_burst", 0.2),
+    ("license_changed_in_patch", 0.15),
+    ("install_script_present", 0.2),
+    ("install_script_base64", 0.35),
+    ("install_script_child_process", 0.2),
+    ("install_script_eval", 0.15),
+    ("install_script_node_eval", 0.15),
+    ("install_script_dynamic_require", 0.1),
+    ("install_script_external_url", 0.08),
+    ("cap_exec", 0.3),
+    ("cap_dynamic_eval", 0.2),
+    ("cap_env_read", 0.1),
+    ("entropy_obfuscation", 0.3),
+    ("sink_alone", 0.2),
+    ("sink_with_obfuscation", 0.55),
+    ("version_diff_new_script_in_patch", 0.4),
+    ("version_diff_script_changed_in_patch", 0.25),
+    ("version_diff_new_exec_in_patch", 0.35),
+    ("version_diff_new_net_in_patch", 0.25),
+    ("version_diff_new_deps_in_patch", 0.1),
+    ("typosquat_with_install_script", 0.2),
+    ("install_script_with_exec", 0.2),
+    ("install_script_with_network", 0.15),
+    ("install_script_with_obfuscation", 0.2),
+]
+#: Emitted rules and the keys that weigh them.
+RULE_KEYS = [
+    ("anomaly_version_spike", "anomaly_release_burst"),
+    ("license_patch_change", "license_changed_in_patch"),
+    ("capability_exec", "cap_exec"),
+    ("capability_dynamic_eval", "cap_dynamic_eval"),
+    ("capability_env_read", "cap_env_read"),
+    ("obfuscation_high_entropy", "entropy_obfuscation"),
+    ("sink_eval", "sink_alone"),
+    ("sink_new_function", "sink_alone"),
+    ("sink_vm_run_this_context", "sink_alone"),
+    ("sink_vm_run_new_context", "sink_alone"),
+    ("sink_dynamic_require", "sink_alone"),
+    ("version_diff_new_dependency", "version_diff_new_deps_in_patch"),
+    ("install_script_base64_decode_install", "install_script_base64"),
+    ("install_script_child_process_install", "install_script_child_process"),
+    ("install_script_eval_install", "install_script_eval"),
+    ("install_script_node_eval_install", "install_script_node_eval"),
+    ("install_script_dynamic_require_install", "install_script_dynamic_require"),
+    ("install_script_external_url_install", "install_script_external_url"),
+    ("version_diff_new_script_install", "version_diff_new_script_in_patch"),
+    ("version_diff_changed_script_install", "version_diff_script_changed_in_patch"),
+    ("osv_known_vulnerability", "osv_known_vulnerability"),
+]
+
+
+@query("b3_weight_key", "SELECT rule, key FROM " + values([*RULE_KEYS, *((k, k) for k, _ in WEIGHTS)], "rule, key"))
 def b3(spark, sf):
-    return spark.createDataFrame([(r,) for r in _KEYS], "rule string").select("rule", rules.weight_key(F.col("rule")).alias("key"))
+    names = [*(r for r, _ in RULE_KEYS), *(k for k, _ in WEIGHTS)]
+    return spark.createDataFrame([(r,) for r in names], "rule string").select("rule", rules.weight_key(F.col("rule")).alias("key"))
 
 
 @query("b1_b4_replay", f"WITH {_RUNS}, {_JUDGED} SELECT pkg_id, label, score::DOUBLE AS score, verdict, array_to_string(rules, ',') AS rules FROM v")
@@ -145,7 +206,7 @@ def b11(spark, sf):
     return found.select("min_categories", "allow", "block", F.round("worth", 9).alias("worth"))
 
 
-@query("b12_baseline", "SELECT key, weight::DOUBLE AS weight FROM " + values(list(rules.default_weights(load(env={})).items()), "key, weight"))
+@query("b12_baseline", "SELECT key, weight::DOUBLE AS weight FROM " + values(WEIGHTS, "key, weight"))
 def b12(spark, sf):
     return spark.createDataFrame(list(rules.default_weights(config()).items()), "key string, weight double")
 
@@ -210,14 +271,14 @@ def b24(spark, sf):
     return calibrate.distinct_content(d).select("sha256", "position")
 
 
-@query("b25_key_order", "SELECT key, place::BIGINT AS place FROM " + values([*((k, i) for i, k in enumerate(rules.TUNABLE)), ("zzz", 999), ("aaa", 999)], "key, place"))
+@query("b25_key_order", "SELECT key, place::BIGINT AS place FROM " + values([*((k, i) for i, (k, _) in enumerate(WEIGHTS)), ("zzz", 999), ("aaa", 999)], "key, place"))
 def b25(spark, sf):
-    return spark.createDataFrame([(k,) for k in (*rules.TUNABLE, "zzz", "aaa")], "key string").select("key", rules.key_order(F.col("key")).cast("long").alias("place"))
+    return spark.createDataFrame([(k,) for k in (*(k for k, _ in WEIGHTS), "zzz", "aaa")], "key string").select("key", rules.key_order(F.col("key")).cast("long").alias("place"))
 
 
-@query("b26_apply_weights", "SELECT key, weight::DOUBLE AS weight FROM " + values([(k, 0.3 if k == "entropy_obfuscation" else round(i / 100, 2)) for i, k in enumerate(rules.TUNABLE)], "key, weight"))
+@query("b26_apply_weights", "SELECT key, weight::DOUBLE AS weight FROM " + values([(k, 0.3 if k == "entropy_obfuscation" else round(i / 100, 2)) for i, (k, _) in enumerate(WEIGHTS)], "key, weight"))
 def b26(spark, sf):
-    changed = rules.apply_weights(config(), {k: round(i / 100, 2) for i, k in enumerate(rules.TUNABLE)})
+    changed = rules.apply_weights(config(), {k: round(i / 100, 2) for i, (k, _) in enumerate(WEIGHTS)})
     return spark.createDataFrame(list(rules.default_weights(changed).items()), "key string, weight double")
 
 

@@ -110,12 +110,13 @@ def c1(spark, sf):
 
 
 _LEXED = [
-    ("a(); // eval(1)", "a();  ", "a();  "),
-    ("/* x\ny */b", " b", " b"),
-    ("'// no' + `a//b` // c", "'// no' + `a//b`  ", "'' + ``  "),
-    ('"it\'s \\" /* q */" /* r */', '"it\'s \\" /* q */"  ', '""  '),
+    ("a(); // eval(1)", "a();           ", "a();           "),
+    ("/* x\ny */b", "    \n    b", "    \n    b"),
+    ("'// no' + `a//b` // c", "'// no' + `a//b`     ", "'     ' + `    `     "),
+    ('"it\'s \\" /* q */" /* r */', '"it\'s \\" /* q */"        ', '"               "        '),
     ("x = 1 / 2 / 3", "x = 1 / 2 / 3", "x = 1 / 2 / 3"),
-    ("'open // line\nnext", "'open // line\nnext", "''\nnext"),
+    ("'open // line\nnext", "'open // line\nnext", "'            \nnext"),
+    ("`a\n\\\nb` /* é€ */ 'ü\\é'", "`a\n\\\nb`             'ü\\é'", "` \n   `             '     '"),
 ]
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parapet.config import load
 from parapet.functions.strings import normalise, osa, strip_scope
 from parapet.operators import names
+from parapet.plans import scoring
 from parapet.queries.base import SIGNAL_COLUMNS, query, table, values
 
 POPULAR = ("react", "lodash", "express", "axios", "typescript", "@types/node", "@types/react", "@types/express", "react-dom")
@@ -38,9 +39,10 @@ UNICODE_EXPECTED = [
 ]
 OSA_PAIRS = [("react", "raect"), ("kitten", "sitting"), ("", "abc"), ("abc", ""), ("ab", "ba"), ("lodash", "lodahs"), ("same", "same"), ("types", "tpyse")]
 
-_WORDS = "words AS (SELECT w, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM documents) WHERE length(w) BETWEEN 4 AND 12 GROUP BY w)"
-_POPULAR = "popular AS (SELECT w AS popular FROM words WHERE n >= 200)"
-_PROBES = "probes AS (SELECT w AS bare FROM words WHERE n BETWEEN 5 AND 9)"
+_WORDS = "words AS MATERIALIZED (SELECT w, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM documents) WHERE length(w) BETWEEN 4 AND 12 GROUP BY w)"
+_POPULAR = "popular AS MATERIALIZED (SELECT w AS popular FROM words WHERE n >= 200)"
+_EVERY = """words AS MATERIALIZED (SELECT w, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM documents) WHERE w <> '' GROUP BY w),
+popular AS MATERIALIZED (SELECT w AS popular FROM words WHERE n >= 200 AND length(w) >= 4), probes AS MATERIALIZED (SELECT w AS bare FROM words ANTI JOIN popular ON w = popular)"""
 
 
 def words(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,11 +54,6 @@ def popular(spark: SparkSession, sf: str) -> DataFrame:
     return words(spark, sf).filter("n >= 200").select(F.col("w").alias("popular"))
 
 
-def probes(spark: SparkSession, sf: str) -> DataFrame:
-    w = words(spark, sf).filter("n BETWEEN 5 AND 9")
-    return w.select(F.col("w").alias("pkg_id"), F.col("w").alias("full"), F.col("w").alias("bare"))
-
-
 def every_word(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(all words that are not popular, popular words): words of any length and count, of whole texts.
 
@@ -96,7 +93,7 @@ def t3_scopes(spark, sf):
     return names.popular_scopes(scoped_parts(spark, sf))
 
 
-@query("t4_exact_popular", f"WITH {_WORDS}, {_POPULAR} SELECT w AS bare FROM words WHERE w NOT IN (SELECT popular FROM popular)")
+@query("t4_exact_popular", f"WITH {_WORDS}, {_POPULAR} SELECT w AS bare FROM words ANTI JOIN popular ON w = popular")
 def t4(spark, sf):
     every = words(spark, sf).select(F.col("w").alias("pkg_id"), F.col("w").alias("full"), F.col("w").alias("bare"))
     return names.not_popular(every, popular(spark, sf)).select("bare")
@@ -117,29 +114,18 @@ def t6(spark, sf):
     return names.combosquats(part.select(F.col("p_partkey").cast("string").alias("pkg_id"), F.replace("p_name", F.lit(" "), F.lit("-")).alias("bare")), known)
 
 
-@query("t7_edit_distance", f"""WITH {_WORDS}, {_POPULAR}, {_PROBES},
-n AS (SELECT bare, popular, damerau_levenshtein(bare, popular) AS d FROM probes JOIN popular ON abs(length(bare) - length(popular)) <= 2 AND bare <> popular AND levenshtein(bare, popular) <= 2),
+@query("t7_edit_distance", f"""WITH {_EVERY},
+n AS (SELECT bare, popular, damerau_levenshtein(bare, popular) AS d FROM probes JOIN popular ON abs(length(bare) - length(popular)) <= 2 AND levenshtein(bare, popular) <= 2),
 b AS (SELECT bare, min(d) AS d FROM n GROUP BY bare)
 SELECT b.bare, b.d::BIGINT AS d, min(n.popular) AS matched FROM b JOIN n ON n.bare = b.bare AND n.d = b.d GROUP BY 1, 2""")
 def t7(spark, sf):
-    return names.neighbours(probes(spark, sf), popular(spark, sf)).select("bare", F.col("d").cast("long").alias("d"), "matched")
-
-
-@query("t8_neighbour_pairs", f"""WITH {_WORDS}, {_POPULAR}, {_PROBES}
-SELECT count(*) AS n FROM (SELECT DISTINCT bare FROM probes JOIN popular ON bare <> popular AND levenshtein(bare, popular) <= 1)""")
-def t8(spark, sf):
-    return names.neighbours(probes(spark, sf), popular(spark, sf), 1).select("bare").distinct().agg(F.count("*").alias("n"))
-
-
-@query("t7_edit_distance_all_words")
-def t7_all(spark, sf):
-    """t7_edit_distance with every non-popular word as a probe; its SQL compares all pairs, for which these are too many."""
+    """Every word that is not popular is a probe."""
     return names.neighbours(*every_word(spark, sf)).select("bare", F.col("d").cast("long").alias("d"), "matched")
 
 
-@query("t8_neighbour_pairs_all_words")
-def t8_all(spark, sf):
-    """t8_neighbour_pairs with every non-popular word as a probe."""
+@query("t8_neighbour_pairs", f"""WITH {_EVERY}
+SELECT count(*) AS n FROM (SELECT DISTINCT bare FROM probes JOIN popular ON abs(length(bare) - length(popular)) <= 1 AND levenshtein(bare, popular) <= 1)""")
+def t8(spark, sf):
     return names.neighbours(*every_word(spark, sf), 1).select("bare").distinct().agg(F.count("*").alias("n"))
 
 
@@ -181,6 +167,29 @@ def t_rules_unicode(spark, sf):
     return name_rules(spark, UNICODE_PROBES, UNICODE_POPULAR)
 
 
+#: Names three edits away, found where the configured distance is three.
+FAR = [("expressxyz", "typosquat_warn", 0.3, "express"), ("ｌｏｄａｓｈｘｙｚ", "typosquat_warn", 0.3, "lodash"), ("typexcript", "typosquat_close", 0.55, "typescript")]
+
+
+@query("t7_first_layer_far", "SELECT pkg_id, rule, score::DOUBLE AS score, matched FROM " + values(FAR, "pkg_id, rule, score, matched"))
+def t7_far(spark, sf):
+    """The name rules of the scoring plan's first layer with full-width names and a distance of three."""
+    packages = spark.createDataFrame([(x, x, "1.0.0") for x in (*(f[0] for f in FAR), "unlike", "lodash")], "pkg_id string, name string, version string").withColumn("created", F.lit("2020-01-01").cast("timestamp"))
+    none = lambda schema: spark.createDataFrame([], schema)
+    s = scoring.Snapshot(
+        packages,
+        none("pkg_id string, version string, ts timestamp"),
+        none("pkg_id string, maintainer string"),
+        none("pkg_id string, monthly long"),
+        none("maintainer string, created timestamp"),
+        none("name string, version string"),
+        spark.createDataFrame([("lodash",), ("express",), ("typescript",)], "name string"),
+        none("pkg_id string, path string, src string"),
+    )
+    found = scoring.first_layer(s, F.lit("2025-01-01").cast("timestamp"), load(env={}, layer1={"typosquat_warn_distance": 3}))
+    return found.select("pkg_id", "rule", F.col("score").cast("double").alias("score"), "matched")
+
+
 @query("t11_advisory_veto", "SELECT DISTINCT doc_id::VARCHAR AS pkg_id, 'osv_known_vulnerability' AS rule, 0.0::DOUBLE AS score, true AS veto, 'CWE-1035' AS cwe, '' AS matched, '' AS detail FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def t11(spark, sf):
     packages = table(spark, sf, "documents").select(F.col("doc_id").alias("pkg_id"), F.col("doc_id").alias("name"), F.lit("1.0.0").alias("version"))

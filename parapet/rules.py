@@ -69,6 +69,7 @@ PREFIX_KEYS = {
     "version_diff_new_script_": "version_diff_new_script_in_patch",
     "version_diff_changed_script_": "version_diff_script_changed_in_patch",
 }
+#: Rules that combine findings of several layers.
 COMBOS = ("typosquat_with_install_script", "install_script_with_exec", "install_script_with_network", "install_script_with_obfuscation")
 #: Categories by prefix, the first that fits.
 CATEGORY_PREFIXES = (

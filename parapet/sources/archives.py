@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from parapet.ship import mapped
+
 FILES = "pkg_id string, path string, content binary, src string, error string"
 
 
@@ -79,7 +81,7 @@ def files(archives: DataFrame, limits) -> DataFrame:
                         [pa.array([pkg] * len(path), pa.string()), pa.array(path, pa.string()), pa.array(content, pa.binary()), pa.array(src, pa.string()), pa.array(error, pa.string())], ["pkg_id", "path", "content", "src", "error"]
                     )
 
-    return archives.selectExpr("cast(pkg_id as string) pkg_id", "content").mapInArrow(rows, FILES)
+    return mapped(archives.selectExpr("cast(pkg_id as string) pkg_id", "content"), rows, FILES)
 
 
 def archive_files(spark: SparkSession, path: str, glob: str = "*.tgz") -> DataFrame:

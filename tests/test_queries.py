@@ -52,10 +52,10 @@ def test_every_word_is_a_probe(spark, tmp_path):
         near = [(_alignment(w, p), p) for p in often if abs(len(w) - len(p)) <= 2 and _edits(w, p) <= 2]
         if near:
             want[w] = min(near)
-    got = {r.bare: (r.d, r.matched) for r in registry.queries()["t7_edit_distance_all_words"](spark, str(tmp_path)).collect()}
+    got = {r.bare: (r.d, r.matched) for r in registry.queries()["t7_edit_distance"](spark, str(tmp_path)).collect()}
     assert got == want and {"ldoash", "lodas", "lodahss", "expres", "expressoo", "abcdefghijklmnopqr", "react"} <= set(got)
     close = sum(any(_edits(w, p) <= 1 for p in often) for w in counts.keys() - often.keys())
-    assert registry.queries()["t8_neighbour_pairs_all_words"](spark, str(tmp_path)).first().n == close
+    assert registry.queries()["t8_neighbour_pairs"](spark, str(tmp_path)).first().n == close
 
 
 def test_scans_read_whole_texts(spark, tmp_path):
