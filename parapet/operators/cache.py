@@ -50,21 +50,31 @@ def list_verdicts(entries: DataFrame, as_of: Column, verdicts: list[str], most:
     return alive(entries, as_of).filter(F.col("verdict").isin(*verdicts)).orderBy("sha256").limit(most)
 
 
+def due(entries: DataFrame, as_of: Column, verdicts: list[str], most: int, rechecked: DataFrame | None = None) -> DataFrame:
+    """At most `most` live entries with one of the verdicts: those never rechecked first, then those whose last recheck (sha256, rechecked_at) is longest ago, by key within."""
+    if rechecked is None:
+        return list_verdicts(entries, as_of, verdicts, most)
+    last = rechecked.groupBy("sha256").agg(F.max("rechecked_at").alias("last"))
+    wanted = alive(entries, as_of).filter(F.col("verdict").isin(*verdicts)).join(last, "sha256", "left")
+    return wanted.orderBy(F.col("last").asc_nulls_first(), "sha256").limit(most).drop("last")
+
+
 def fresh_advisories(cached: DataFrame, as_of: Column) -> DataFrame:
     """Name, version, known: '1' vulnerable, '0' not; no row where nothing is known any more."""
     key = cached.withColumn("key", F.concat_ws("@", "name", "version"))
     return latest(key, "key", "checked_at").filter(F.col("expires_at") > as_of).select("name", "version", F.col("flag").alias("known"))
 
 
-def recheck(entries: DataFrame, as_of: Column, advisories: DataFrame, name_signals: DataFrame, config) -> DataFrame:
+def recheck(entries: DataFrame, as_of: Column, advisories: DataFrame, name_signals: DataFrame, config, rechecked: DataFrame | None = None) -> DataFrame:
     """Cached warnings decided anew by advisories and names alone; only new blocks come out, with the union of rules.
 
     name_signals are of pkg_id = sha256. One call is one run of the loop; streaming.rechecks() repeats it.
+    With a log of rechecks (to which a run adds what due() gives) every entry gets its turn.
     """
     from parapet.operators.names import advisory_signals
 
     wanted = ["warn"] if config.recheck.warn_only else ["warn", "allow"]
-    batch = list_verdicts(entries, as_of, wanted, config.recheck.batch_size)
+    batch = due(entries, as_of, wanted, config.recheck.batch_size, rechecked)
     packages = batch.select(F.col("sha256").alias("pkg_id"), "name", "version")
     own = name_signals.join(packages.select("pkg_id"), "pkg_id", "left_semi")
     now = policy.decide(packages, advisory_signals(packages, advisories).unionByName(own), config)

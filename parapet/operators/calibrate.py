@@ -13,7 +13,13 @@ from pyspark.sql import functions as F
 from parapet import rules
 from parapet.operators.policy import verdict
 from parapet.schema import SCORE
+from parapet.shared import written
+from parapet.ship import ship
 
+#: Where a search looks for thresholds.
+ALLOW_RANGE, BLOCK_RANGE = (0.10, 0.60), (0.40, 0.95)
+#: Distinct bags of findings that a search takes to each task, at most.
+BAGS = 500_000
 COUNTS = ("benign_allow", "benign_warn", "benign_block", "malicious_allow", "malicious_warn", "malicious_block")
 
 
@@ -178,7 +184,7 @@ def _draws(seed: int, *names) -> np.random.Generator:
     return np.random.default_rng([seed, *(int.from_bytes(str(n).encode(), "big") % (1 << 63) for n in names)])
 
 
-def random_trials(base: dict[str, float], n: int, branch: int, seed: int, sigma: float = 0.25, allow: tuple[float, float] = (0.10, 0.50), block: tuple[float, float] = (0.50, 0.95), step: float = 0.05) -> list[dict]:
+def random_trials(base: dict[str, float], n: int, branch: int, seed: int, sigma: float = 0.25, allow: tuple[float, float] = ALLOW_RANGE, block: tuple[float, float] = BLOCK_RANGE, step: float = 0.05) -> list[dict]:
     """N settings: each weight near its base by a normal cut to 0..1 (uniform after 8 misses), thresholds uniform, block above allow."""
     out = []
     for trial in range(n):
@@ -212,78 +218,121 @@ class Bags:
             self.kinds[i] = len({x["category"] for x in r["bag"]})
             self.runs[i], self.bad[i] = r["runs"], r["label"] == "malicious"
 
-    def worth(self, weights: np.ndarray, allow: np.ndarray, block: np.ndarray, least: int, hard_cap: float, soft_cap: float) -> np.ndarray:
-        """B6 to B8 for settings as rows."""
+    def matrix(self, weights: np.ndarray, allow: np.ndarray, block: np.ndarray, least: int) -> np.ndarray:
+        """B6 for settings as rows: the six COUNTS of each."""
         score = np.round(np.minimum(1, self.counts @ weights.T + self.fixed[:, None]), 9)
         blocked = (self.veto[:, None] > 0) | (score >= block)
         warned = ~blocked & (score >= allow) & ((least <= 1) | (self.kinds[:, None] >= least))
-        good = self.runs * (1 - self.bad)
-        bad = self.runs * self.bad
-        share = lambda x, w: (w @ x) / w.sum() if w.sum() else np.zeros(x.shape[1])
-        hard, soft, caught = share(blocked, good), share(warned, good), share(blocked | warned, bad)
-        out = caught - 0.1 * soft
-        if soft_cap > 0:
-            out = np.where(soft > soft_cap, -0.5 - soft + 0.01 * caught, out)
-        return np.where(hard > hard_cap, -1 - hard + 0.01 * caught, out)
+        out = np.zeros((score.shape[1], 6))
+        for k, label in enumerate((self.runs * (1 - self.bad), self.runs * self.bad)):
+            out[:, 3 * k + 1], out[:, 3 * k + 2] = label @ warned, label @ blocked
+            out[:, 3 * k] = label.sum() - out[:, 3 * k + 1] - out[:, 3 * k + 2]
+        return out
 
 
-def descend(bags: Bags, start: dict, passes: int = 10, step: float = 0.05, hard_cap: float = 0.01, soft_cap: float = 0.10) -> dict:
-    """One coordinate after another over a grid, taking strict improvements, until a pass brings none.
+def worth(matrix: np.ndarray, hard_cap: float, soft_cap: float) -> np.ndarray:
+    """B7 and B8 of rows of COUNTS."""
+    benign, malicious = matrix[:, :3].sum(1), matrix[:, 3:].sum(1)
+    share = lambda x, n: np.divide(x, n, out=np.zeros(len(x)), where=n > 0)
+    hard, soft, caught = share(matrix[:, 2], benign), share(matrix[:, 1], benign), share(matrix[:, 4] + matrix[:, 5], malicious)
+    out = caught - 0.1 * soft
+    if soft_cap > 0:
+        out = np.where(soft > soft_cap, -0.5 - soft + 0.01 * caught, out)
+    return np.where(hard > hard_cap, -1 - hard + 0.01 * caught, out)
 
-    All values of a coordinate are evaluated at once, as only it varies.
+
+class Log:
+    """The settings that a search of one branch has tried, in order, with their matrices on both parts."""
+
+    def __init__(self, train: Bags, val: Bags, least: int, hard_cap: float, soft_cap: float):
+        self.train, self.val, self.least, self.caps = train, val, least, (hard_cap, soft_cap)
+        self.rows: list[tuple] = []
+
+    def tried(self, phase: str, w: np.ndarray, allow: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """What settings (rows of w) are worth on the validation part; they are logged."""
+        val = self.val.matrix(w, allow, block, self.least)
+        value = worth(val, *self.caps)
+        self.rows += zip([phase] * len(w), w, allow, block, value, val, self.train.matrix(w, allow, block, self.least))
+        return value
+
+
+def descend(log: Log, phase: str, w: np.ndarray, allow: float, block: float, top: float, passes: int = 10, step: float = 0.05) -> float:
+    """One coordinate after another over a grid, taking strict improvements, until a pass brings none; what the last is worth.
+
+    All values of a coordinate are evaluated at once, as only it varies; of equal ones the first counts.
     """
-    w = np.array([start["weights"][k] for k in bags.keys])
-    allow, block, least = start["allow"], start["block"], start["min_categories"]
     grid = np.round(np.arange(0, 1 + step / 2, step), 10)
-    top = bags.worth(w[None], np.array([allow]), np.array([block]), least, hard_cap, soft_cap)[0]
     for _ in range(passes):
         before = top
         for k in range(len(w)):
             tries = np.repeat(w[None], len(grid), 0)
             tries[:, k] = grid
-            got = bags.worth(tries, np.full(len(grid), allow), np.full(len(grid), block), least, hard_cap, soft_cap)
-            if got.max() > top + 1e-12:
+            tries = tries[grid != w[k]]
+            got = log.tried(phase, tries, np.full(len(tries), allow), np.full(len(tries), block))
+            if got.max() > top:
                 top, w = got.max(), tries[got.argmax()]
-        for name in ("allow", "block"):
-            tries = np.round(np.arange(0.10, 0.60 + step / 2, step) if name == "allow" else np.arange(0.40, 0.95 + step / 2, step), 10)
+        for name, bounds in (("allow", ALLOW_RANGE), ("block", BLOCK_RANGE)):
+            tries = np.round(np.arange(bounds[0], bounds[1] + step / 2, step), 10)
             tries = tries[tries < block] if name == "allow" else tries[tries > allow]
             if len(tries):
                 a, b = (tries, np.full(len(tries), block)) if name == "allow" else (np.full(len(tries), allow), tries)
-                got = bags.worth(np.repeat(w[None], len(tries), 0), a, b, least, hard_cap, soft_cap)
-                if got.max() > top + 1e-12:
-                    top = got.max()
-                    allow, block = float(a[got.argmax()]), float(b[got.argmax()])
+                got = log.tried(phase, np.repeat(w[None], len(tries), 0), a, b)
+                if got.max() > top:
+                    top, allow, block = got.max(), float(a[got.argmax()]), float(b[got.argmax()])
         if top <= before:
             break
-    return {"min_categories": least, "allow": allow, "block": block, "weights": dict(zip(bags.keys, map(float, w))), "worth": float(top)}
+    return float(top)
+
+
+TRIALS = "min_categories int, nth int, phase string, allow double, block double, worth double, weights map<string,double>, " + ", ".join(f"{p}{c} long" for p in ("", "train_") for c in COUNTS)
 
 
-def search(bags: DataFrame, config, trials: int = 700, branches: tuple[int, ...] = (0, 2, 3), seed: int = 1, passes: int = 10, hard_cap: float = 0.01, soft_cap: float = 0.10) -> DataFrame:
-    """One independent search for each number of categories, each in a task of its own.
+def search(train: DataFrame, val: DataFrame, config, trials: int = 700, branches: tuple[int, ...] = (1, 2, 3), seed: int = 1, passes: int = 10, hard_cap: float = 0.01, soft_cap: float = 0.10) -> DataFrame:
+    """The log of one independent search for each number of categories, each in a task of its own.
 
-    bags: collapsed training runs (label, bag, runs); their number is that of distinct findings, not of runs.
+    train, val: collapsed runs (label, bag, runs) of the parts of split(); their number is that of
+    distinct findings, not of runs, and is checked (BAGS). Trials are ranked by what they are worth on
+    the validation part; COUNTS are its matrix, train_... that of the training part.
     """
-    spark = bags.sparkSession
+    spark = train.sparkSession
     base = rules.default_weights(config)
-    rows = [r.asDict(recursive=True) for r in bags.collect()]
-    held = spark.sparkContext.broadcast(rows)
+    parts = []
+    for bags in (train, val):
+        rows = bags.limit(BAGS + 1).collect()
+        if len(rows) > BAGS:
+            raise ValueError(f"over {BAGS} distinct bags of findings: evaluate() takes any number")
+        parts.append([r.asDict(recursive=True) for r in rows])
+    held = spark.sparkContext.broadcast(parts)
     p = config.policy
 
     def branch(key, frames):
         import pandas as pd
 
-        least = int(key[0])
-        b = Bags(held.value, sorted(base))
-        own = random_trials(base, trials, least, seed)
-        w = np.array([[t["weights"][k] for k in b.keys] for t in own])
-        worth = b.worth(w, np.array([t["allow"] for t in own]), np.array([t["block"] for t in own]), least, hard_cap, soft_cap)
-        baseline = {"min_categories": least, "allow": p.allow_threshold, "block": p.block_threshold, "weights": base}
-        out = [descend(b, s, passes, hard_cap=hard_cap, soft_cap=soft_cap) for s in (own[int(worth.argmax())], baseline)]
-        top = max(out, key=lambda t: t["worth"])
-        return pd.DataFrame([{"trial": 0, "min_categories": least, "allow": top["allow"], "block": top["block"], "worth": top["worth"], "weights": top["weights"]}])
+        least, keys = int(key[0]), list(base)  # canonical order
+        log = Log(*(Bags(x, keys) for x in held.value), least, hard_cap, soft_cap)
+        starts = []
+        if trials:
+            own = random_trials(base, trials, least, seed)
+            w, allow, block = np.array([[t["weights"][k] for k in keys] for t in own]), np.array([t["allow"] for t in own]), np.array([t["block"] for t in own])
+            value = log.tried("random", w, allow, block)
+            top = int(value.argmax())
+            starts.append(("from random", w[top], float(allow[top]), float(block[top]), float(value[top])))
+        w = np.array([base[k] for k in keys])
+        value = log.tried("baseline", w[None], np.array([p.allow_threshold]), np.array([p.block_threshold]))
+        starts.append(("from baseline", w, p.allow_threshold, p.block_threshold, float(value[0])))
+        for phase, w, a, b, top in starts:
+            descend(log, phase, w, a, b, top, passes)
+        out = []
+        for nth, (phase, w, a, b, value, on_val, on_train) in enumerate(log.rows):
+            row = {"min_categories": least, "nth": nth, "phase": phase, "allow": float(a), "block": float(b), "worth": float(value), "weights": dict(zip(keys, map(float, w)))}
+            out.append(row | {c: int(n) for c, n in zip(COUNTS, on_val)} | {f"train_{c}": int(n) for c, n in zip(COUNTS, on_train)})
+        return pd.DataFrame(out)
 
     kinds = spark.createDataFrame([(int(x),) for x in sorted({max(0, x) for x in branches})], "min_categories int")
-    return kinds.groupBy("min_categories").applyInPandas(branch, "trial int, min_categories int, allow double, block double, worth double, weights map<string,double>")
+    ship(spark)
+    log = written(kinds.groupBy("min_categories").applyInPandas(branch, TRIALS), "trials")
+    # a search's trials: at most some ten thousand rows
+    return log.withColumn("trial", F.row_number().over(Window.orderBy("min_categories", "nth")) - 1).drop("nth")
 
 
 def top_names(hits: DataFrame, n: int) -> DataFrame:

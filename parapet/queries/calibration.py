@@ -199,11 +199,18 @@ def b10(spark, sf):
     return out
 
 
+def parted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Collapsed bags of the training and the validation part."""
+    parts = calibrate.split(runs(spark, sf).drop("text"), 0.2, 1)
+    found = signals(spark, sf)
+    return tuple(calibrate.collapsed(parts.filter(F.col("part") == x), found.join(parts.filter(F.col("part") == x).select("pkg_id"), "pkg_id", "left_semi")) for x in ("train", "val"))
+
+
 @query("b11_b15_search")
 def b11(spark, sf):
     """Best setting of each branch after random trials and coordinate descent."""
-    found = calibrate.search(bags(spark, sf), config(), hard_cap=HARD, soft_cap=SOFT)
-    return found.select("min_categories", "allow", "block", F.round("worth", 9).alias("worth"))
+    log = calibrate.search(*parted(spark, sf), config(), hard_cap=HARD, soft_cap=SOFT)
+    return calibrate.best(log, ("min_categories",)).select("min_categories", "trial", "phase", "allow", "block", F.round("worth", 9).alias("worth"), *calibrate.COUNTS)
 
 
 @query("b12_baseline", "SELECT key, weight::DOUBLE AS weight FROM " + values(WEIGHTS, "key, weight"))

@@ -178,10 +178,21 @@ def test_search_separates(spark):
     runs = spark.createDataFrame([(f"{k}{i}", "benign" if k == "b" else "malicious") for k in "bm" for i in range(20)], "pkg_id string, label string")
     bags = calibrate.collapsed(runs, bag(spark, rows))
     assert bags.count() == 2
-    found = calibrate.search(bags, load(env={}), trials=20, branches=(2, 2, -1), passes=3)
-    got = found.collect()
+    log = calibrate.search(bags, bags, load(env={}), trials=20, branches=(2, 2, -1), passes=3).persist()
+    got = calibrate.best(log, ("min_categories",)).collect()
     assert sorted(r.min_categories for r in got) == [0, 2]
     assert all(r.worth >= 0.9 for r in got)
+    # every logged trial, replayed by the declarative evaluation
+    again = calibrate.evaluate(bags, log.select("trial", "min_categories", "allow", "block", "weights"))
+    want = {r.trial: tuple(r[c] for c in calibrate.COUNTS) for r in again.collect()}
+    rows = log.orderBy("trial").collect()
+    assert [r.trial for r in rows] == list(range(len(rows))) and len(rows) > 1500
+    assert {r.phase for r in rows} == {"random", "baseline", "from random", "from baseline"}
+    for r in rows:
+        assert want[r.trial] == tuple(r[c] for c in calibrate.COUNTS) == tuple(r[f"train_{c}"] for c in calibrate.COUNTS)
+    rated = calibrate.rates(log)
+    assert calibrate.feasible(rated).count() > 0 and calibrate.pareto(rated.drop("weights", "phase")).count() > 0
+    assert len(sinks.trial_table(rated).columns) == 18 + 34
 
 
 def _plain_search(bags, config, least, hard_cap, soft_cap):
@@ -210,7 +221,7 @@ def _plain_search(bags, config, least, hard_cap, soft_cap):
     def descended(t):
         for _ in range(10):
             before = worth(t)
-            for k in sorted(base):
+            for k in base:
                 t = better(t, [t | {"weights": t["weights"] | {k: round(i * 0.05, 10)}} for i in range(21)])
             t = better(t, [t | {"allow": a} for a in (round(0.1 + i * 0.05, 10) for i in range(11)) if a < t["block"]])
             t = better(t, [t | {"block": b} for b in (round(0.4 + i * 0.05, 10) for i in range(12)) if b > t["allow"]])
@@ -232,11 +243,11 @@ def test_search_query_is_the_whole_search(spark, monkeypatch):
         labels.append((f"p{i}", "malicious" if i % 3 == 0 else "benign"))
         rows += [(f"p{i}", r, 0.1, False) for j, r in enumerate(kinds) if (i * 7 + j * j * 3 + (i % 3 == 0) * j) % 5 < 2]
     bags = calibrate.collapsed(spark.createDataFrame(labels, "pkg_id string, label string"), bag(spark, rows)).persist()
-    monkeypatch.setattr(calibration, "bags", lambda spark, sf: bags)
+    monkeypatch.setattr(calibration, "parted", lambda spark, sf: (bags, bags))
     got = sorted((r.min_categories, r.allow, r.block, r.worth) for r in calibration.b11(spark, "").collect())
     plain = [r.asDict(recursive=True) for r in bags.collect()]
-    want = [_plain_search(plain, calibration.config(), m, calibration.HARD, calibration.SOFT) for m in (0, 2, 3)]
-    assert [x[0] for x in got] == [0, 2, 3]
+    want = [_plain_search(plain, calibration.config(), m, calibration.HARD, calibration.SOFT) for m in (1, 2, 3)]
+    assert [x[0] for x in got] == [1, 2, 3]
     for g, w in zip(got, want):
         assert g == pytest.approx(w)
 
@@ -289,3 +300,49 @@ def test_tar_links_are_skipped():
         link.type, link.linkname = tarfile.SYMTYPE, "/etc/passwd"
         tar.addfile(link)
     assert archives.unpack(out.getvalue(), 1, 1, 1) == {}
+
+
+def test_due_entries(spark):
+    from parapet.operators import cache
+
+    at = F.lit("2025-01-02").cast("timestamp")
+    rows = [(f"s{i}", "warn" if i % 2 else "allow") for i in range(10)]
+    entries = cache.put(spark.createDataFrame(rows, "sha256 string, verdict string").withColumn("analyzed_at", F.lit("2025-01-01 12:00:00").cast("timestamp")), 24)
+    seen = spark.createDataFrame([("s1", 5), ("s3", 1), ("s3", 9), ("s5", 7)], "sha256 string, t int").select("sha256", F.timestamp_seconds("t").alias("rechecked_at"))
+    assert [r.sha256 for r in cache.due(entries, at, ["warn"], 3).collect()] == ["s1", "s3", "s5"]
+    assert [r.sha256 for r in cache.due(entries, at, ["warn"], 4, seen).collect()] == ["s7", "s9", "s1", "s5"]
+
+
+def test_capabilities_of_the_version_before(spark):
+    """Exec and network that a patch release with a changed script adds, by scans of both archives."""
+    config = load(env={})
+    run = "const c = require('child_process'); c.exec('ls')"
+    manifest = '{"scripts": {"install": "node x"}}'
+    files = lambda rows: spark.createDataFrame(rows, "pkg_id string, path string, src string")
+    now = files([(p, "package/package.json", manifest) for p in "abcd"] + [(p, "package/index.js", run) for p in "abcd"])
+    was = files([("a", "package/index.js", "1"), ("b", "package/index.js", run), ("c", "package/index.js", "1")])
+    maps = "map<string,string>"
+    pairs = spark.createDataFrame([("a", "1.0.1", "1.0.0"), ("b", "1.0.1", "1.0.0"), ("c", "2.0.0", "1.0.0"), ("d", "1.0.1", "1.0.0")], "pkg_id string, version string, previous string")
+    pairs = pairs.withColumn("scripts", F.create_map(F.lit("install"), F.lit("node x"))).withColumns({c: F.create_map().cast(maps) for c in ("previous_scripts", "deps", "previous_deps", "dev_deps", "previous_dev_deps")})
+    found = scoring.later_layers(now, config, pairs, was).filter("rule LIKE '%exec_in_patch'").collect()
+    assert [(r.pkg_id, r.rule) for r in found] == [("a", "version_diff_new_exec_in_patch")]
+
+
+def test_calibration_runs_with_layer_one(spark):
+    config = load(env={})
+    files = spark.createDataFrame([("lodahs", "package/package.json", "{}", None), ("fine", "package/package.json", "{}", None)], "pkg_id string, path string, src string, error string")
+    corpus = spark.createDataFrame([("lodahs", "malicious", False), ("fine", "benign", False)], "pkg_id string, label string, osv_vulnerable boolean")
+    none = lambda schema: spark.createDataFrame([], schema)
+    day = F.lit("2025-01-10").cast("timestamp")
+    known = scoring.Snapshot(
+        corpus.select("pkg_id", F.col("pkg_id").alias("name"), F.lit("1.0.0").alias("version"), F.lit("2025-01-09").cast("timestamp").alias("created")),
+        spark.createDataFrame([("lodahs", f"1.0.{i}") for i in range(9)], "pkg_id string, version string").withColumn("ts", F.lit("2025-01-09 20:00:00").cast("timestamp")),
+        spark.createDataFrame([("fine", "ann"), ("lodahs", "x"), ("lodahs", "y")], "pkg_id string, maintainer string"),
+        none("pkg_id string, monthly long"),
+        none("maintainer string, created timestamp"),
+        none("name string, version string"),
+        spark.createDataFrame([("lodash",)], "name string"),
+        files,
+    )
+    got = {(r.pkg_id, r.rule) for r in scoring.calibration_runs(corpus, files, config, known=known, as_of=day).collect()}
+    assert got == {("lodahs", "typosquat_close"), ("lodahs", "metadata_new_package"), ("fine", "metadata_new_package"), ("lodahs", "anomaly_version_spike"), ("fine", "metadata_single_maintainer")}
