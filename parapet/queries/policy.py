@@ -214,6 +214,14 @@ def r8_json(spark, sf):
     return o.select("o_orderkey", event_json(o).alias("line"))
 
 
+@query("k2_syslog", "SELECT '<28>{\"event_type\":\"package_verdict\",\"package_name\":\"p' || o_custkey || '\"' || CASE WHEN o_orderstatus = 'F' THEN ',\"response_code\":403' ELSE '' END || '}' AS value FROM orders")
+def k2(spark, sf):
+    from parapet.sinks import syslog_lines
+
+    events = table(spark, sf, "orders").select(F.lit("package_verdict").alias("event_type"), F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("package_name"), F.when(F.col("o_orderstatus") == "F", F.lit(403)).otherwise(F.lit(0)).alias("response_code"))
+    return syslog_lines(events)
+
+
 @query("name_rules_on_cache", None)
 def recheck_names(spark, sf):
     """R6 with name rules as well: keys of cached packages whose names look like popular ones."""

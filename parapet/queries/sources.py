@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from parapet.config import load
 from parapet.plans import scoring
 from parapet.queries.base import query, table, values
+from parapet.shared import new_path
 from parapet.sources import archives, lists, registry
 
 DOCUMENT = {
@@ -101,6 +102,17 @@ def s11(spark, sf):
     return lists.package_list(lines, 100).select("name", "position")
 
 
+@query("s12_k10_corpus", "SELECT doc_id::VARCHAR AS name, '1.0.' || (doc_id % 9) AS version, CASE WHEN toxic = 1 THEN 'malicious' ELSE 'benign' END AS label, toxic = 1 AS osv_vulnerable FROM labels WHERE toxic IS NOT NULL")
+def s12(spark, sf):
+    """Label rows appended split by split, in two steps each, and read back as a corpus."""
+    root = new_path(spark, "corpus")
+    rows = table(spark, sf, "labels").filter("toxic IS NOT NULL").selectExpr("cast(doc_id as string) name", "concat('1.0.', doc_id % 9) version", "'x.tgz' tarball", "toxic = 1 osv_vulnerable")
+    for split, there in (("malicious", "osv_vulnerable"), ("benign", "NOT osv_vulnerable")):
+        for half in ("length(name) % 2 = 0", "length(name) % 2 = 1"):
+            lists.append_labels(rows.filter(there).filter(half), f"{root}/{split}/labels.jsonl")
+    return lists.corpus(spark, root).select("name", "version", "label", "osv_vulnerable")
+
+
 @query("s13_publishes", "SELECT * FROM " + values([("1.0.0",), ("1.0.1",), ("created",), ("modified",)], "version"))
 def s13(spark, sf):
     return registry.publishes(docs(spark)).select("version")
