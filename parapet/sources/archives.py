@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import posixpath
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,11 +34,30 @@ def sanitize(raw: str) -> str:
     return path
 
 
+class _Gunzip:
+    """What a gzip stream holds up to its first fault, which is remembered."""
+
+    def __init__(self, data: bytes) -> None:
+        self.file = gzip.GzipFile(fileobj=io.BytesIO(data))
+        self.fault: Exception | None = None
+
+    def read(self, n: int) -> bytes:
+        try:
+            return self.file.read1(n)
+        except (EOFError, OSError, zlib.error) as e:
+            self.fault = e
+            return b""
+
+
 def unpack(data: bytes, max_files: int, max_file_bytes: int, max_total_bytes: int) -> dict[str, bytes]:
-    """The regular files of a .tgz; of one path the last counts. Limits refuse the archive as a whole."""
+    """The regular files of a .tgz; of one path the last counts. Limits refuse the archive as a whole.
+
+    So does an archive that breaks off before its end mark: what it lost is not known.
+    """
     out: dict[str, bytes] = {}
     total = seen = 0
-    with tarfile.open(fileobj=io.BytesIO(data), mode="r|gz") as tar:
+    stream = _Gunzip(data)
+    with tarfile.open(fileobj=stream, mode="r|") as tar:
         for member in tar:
             if not member.isreg():
                 continue
@@ -51,6 +72,10 @@ def unpack(data: bytes, max_files: int, max_file_bytes: int, max_total_bytes: in
             if total > max_total_bytes:
                 raise Refused("archive too large")
             out[path] = content
+        # an end mark is a block of its own; the stream may also end cleanly between blocks
+        left = tar.fileobj.tell() - tar.offset
+        if left < tarfile.BLOCKSIZE and (stream.fault or left):
+            raise Refused(f"archive breaks off: {stream.fault or 'part of a header'}")
     return out
 
 
@@ -114,3 +139,19 @@ def from_zip(data: bytes, password: bytes | None = None) -> bytes:
                     info.size = len(content)
                     tar.addfile(info, io.BytesIO(content))
         return out.getvalue()
+
+
+def from_zips(zips: DataFrame, password: bytes | None = None) -> DataFrame:
+    """S17 as a relation: zips (pkg_id, content) to archives (pkg_id, content, error), one opened at a time; content is null where it cannot be."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                content = error = None
+                try:
+                    content = from_zip(batch.column(1)[k].as_py(), password)
+                except (zipfile.BadZipFile, RuntimeError, EOFError, OSError, TypeError, ValueError, zlib.error) as e:
+                    error = str(e) or type(e).__name__
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([content], pa.binary()), pa.array([error], pa.string())], ["pkg_id", "content", "error"])
+
+    return mapped(zips.selectExpr("cast(pkg_id as string) pkg_id", "content"), rows, "pkg_id string, content binary, error string")
