@@ -133,7 +133,7 @@ def calibration_runs(corpus: DataFrame, files: DataFrame, config, strip_advisori
     signals, _ = score_files(sound, config, known.pairs if known is not None else None, first, known.previous if known is not None else None)
     if strip_advisories:
         return signals
-    hit = corpus.filter("osv_vulnerable").selectExpr("pkg_id", "pkg_id as name", "'' as version")
+    hit = corpus.filter("osv_vulnerable").join(sound.select("pkg_id").distinct(), "pkg_id", "left_semi").selectExpr("pkg_id", "pkg_id as name", "'' as version")
     return signals.unionByName(names.advisory_signals(hit, hit.select("name", "version")))
 
 

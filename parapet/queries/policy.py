@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parapet import rules
+from parapet import rules, sinks
 from parapet.config import load
 from parapet.functions import hashes
 from parapet.operators import cache, names, policy
 from parapet.queries.base import query, table, values
 from parapet.schema import SCORE
+from parapet.shared import new_path
+from parapet.streaming import requests
 
 #: Rules by line number (1 to 7) and returnflag: rule, score, CWE.
 BY_LINE = (
@@ -222,6 +224,64 @@ def k2(spark, sf):
     return syslog_lines(events)
 
 
+@query("k1_fan_out", "SELECT n AS emitter, o_orderkey::VARCHAR AS sha256, CASE WHEN o_orderstatus = 'F' THEN 403 ELSE 200 END::BIGINT AS response_code FROM orders, (VALUES ('first'), ('second')) AS v(n)")
+def k1(spark, sf):
+    """Events to two emitters, and what came to each."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("sha256"), F.when(F.col("o_orderstatus") == "F", F.lit(403)).otherwise(F.lit(200)).cast("long").alias("response_code"))
+    paths = {n: new_path(spark, f"events-{n}") for n in ("first", "second")}
+    sinks.fan_out(o, [lambda df, path=path: sinks.log_lines(df).write.text(path) for path in paths.values()])
+    schema = "sha256 string, response_code long"
+    first, second = (spark.read.schema(schema).json(path).withColumn("emitter", F.lit(n)) for n, path in paths.items())
+    return first.unionByName(second)
+
+
+@query("k4_log_lines", "SELECT '{\"event_type\":\"upstream_down\",\"package_name\":\"p' || c_custkey || '\",\"sha256\":\"x\"}' AS value FROM customer")
+def k4(spark, sf):
+    c = table(spark, sf, "customer").select(F.lit("upstream_down").alias("event_type"), F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("package_name"), F.lit("x").alias("sha256"), F.lit(0).alias("response_code"), F.lit("").alias("verdict"))
+    return sinks.log_lines(c)
+
+
+def _stored(spark: SparkSession, sf: str) -> str:
+    """The path of a verdict table with all entries."""
+    path = new_path(spark, "verdicts")
+    entries(spark, sf).write.parquet(path)
+    return path
+
+
+@query("r2_served_stream", f"""WITH {_ENTRIES}, a AS (SELECT c_custkey, sha256(c_custkey::VARCHAR) AS sha256 FROM customer),
+r AS (SELECT a.*, coalesce(live.verdict, CASE c_custkey % 3 WHEN 0 THEN 'block' WHEN 1 THEN 'allow' END) AS verdict, live.sha256 IS NOT NULL AS hit FROM a LEFT JOIN live USING (sha256))
+SELECT sha256, verdict, CASE WHEN hit OR verdict = 'allow' THEN 200 ELSE 403 END::BIGINT AS response_code FROM r""")
+def r2_stream(spark, sf):
+    """Requests of all customers as a stream: cached ones answered, others scored, stored and answered; what a scorer leaves out is refused."""
+    requested, out, store = new_path(spark, "requests"), new_path(spark, "answers"), _stored(spark, sf)
+    c = table(spark, sf, "customer").withColumn("name", F.concat(F.lit("p"), F.col("c_custkey").cast("string")))
+    asked = c.select(F.lit("GET").alias("method"), F.format_string("/%s/-/%s-1.0.0.tgz", "name", "name").alias("path"), F.sha2(F.col("c_custkey").cast("string"), 256).alias("sha256"), F.lit("192.0.2.1").alias("source_ip"), live_at().alias("at"))
+    passed = asked.limit(1).withColumn("method", F.lit("POST"))
+    asked.unionByName(passed).write.json(requested)
+
+    def scorer(missed: DataFrame) -> DataFrame:
+        k = F.substring("package_name", 2, 20).cast("long") % 3
+        return missed.filter(k < 2).select("sha256", F.when(k == 0, F.lit("block")).otherwise(F.lit("allow")).alias("verdict"), F.lit(0.5).alias("score"), F.lit("").alias("rules"))
+
+    emit = lambda df: df.select("sha256", "verdict", F.col("response_code").cast("long").alias("response_code")).write.mode("append").parquet(out)
+    stream = requests.serve(requests.requests(spark, requested), lambda s: s.read.parquet(store), emit, new_path(spark, "serve"), 2400, scorer, store)
+    stream.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query("r5_recheck_loop", f"""WITH {_ENTRIES}, w AS (SELECT * FROM live WHERE verdict = 'warn' ORDER BY sha256 LIMIT 500)
+SELECT sha256, name, 'block' AS verdict, 1.0::DOUBLE AS score, rules || ',osv_known_vulnerability' AS rules FROM w WHERE substr(name, 2)::INT % 3 = 0""")
+def r5(spark, sf):
+    """A run of the recheck loop at a tick; its blocks are appended to a table."""
+    ticks, store, held = new_path(spark, "ticks"), new_path(spark, "rechecked"), _stored(spark, sf)
+    spark.createDataFrame([("2001-07-01T00:00:00Z",)], "at string").write.json(ticks)
+    known = table(spark, sf, "customer").filter("c_custkey % 3 = 0").select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("name"), F.lit("1.0.0").alias("version"))
+    none = line_signals(spark, sf).limit(0)
+    again = lambda s: cache.recheck(cache.put(s.read.parquet(held), 2400), live_at(), known, none, config())
+    requests.rechecks(spark.readStream.schema("at timestamp").json(ticks), again, store, new_path(spark, "loop")).awaitTermination()
+    return spark.read.parquet(store).select("sha256", "name", "verdict", F.col("score").cast("double").alias("score"), "rules")
+
+
 @query("name_rules_on_cache", None)
 def recheck_names(spark, sf):
     """R6 with name rules as well: keys of cached packages whose names look like popular ones."""

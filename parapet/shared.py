@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
+from itertools import batched
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,33 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _file_system(spark, path)
+    return files.exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder with what is in it, where it is there."""
+    files, place = _file_system(spark, path)
+    files.delete(place, True)
+
+
+def write_lines(spark: SparkSession, path: str, lines: Iterable[str]) -> None:
+    """One text file, by the driver, in any file system that the session knows."""
+    files, place = _file_system(spark, path)
+    out = files.create(place, True)
+    try:
+        for part in batched(lines, 1000):
+            out.write(bytearray("".join(f"{x}\n" for x in part).encode()))
+    finally:
+        out.close()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, lineage cut, safe if executors go."""
     spark = df.sparkSession

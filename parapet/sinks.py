@@ -73,7 +73,11 @@ def log(events: DataFrame) -> None:
         for r in rows:
             print(r["value"], flush=True)
 
-    events.select(event_json(events).alias("value")).foreachPartition(write)
+    log_lines(events).foreachPartition(write)
+
+
+def log_lines(events: DataFrame) -> DataFrame:
+    return events.select(event_json(events).alias("value"))
 
 
 def trial_table(rated: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import os
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parapet.shared import exists, write_lines
+
 LABELS = "name string, version string, prev_version string, tarball string, meta string, osv_vulnerable boolean, source string, category string"
 SPLITS = ("benign", "malicious")
 
@@ -34,7 +36,7 @@ def corpus(spark: SparkSession, root: str, splits: tuple[str, ...] = SPLITS) ->
     parts = []
     for split in splits:
         path = f"{root.rstrip('/')}/{split}/labels.jsonl"
-        if _exists(spark, path):
+        if exists(spark, path):
             parts.append(spark.read.schema(LABELS).option("mode", "FAILFAST").json(path).withColumn("label", F.lit(split)))
     if not parts:
         raise ValueError(f"no split in {root}")
@@ -50,20 +52,11 @@ def corpus(spark: SparkSession, root: str, splits: tuple[str, ...] = SPLITS) ->
     return out
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def append_labels(rows: DataFrame, path: str) -> None:
     """K10."""
     rows.write.mode("append").json(path)
 
 
 def write_names(names: DataFrame, path: str, header: list[str]) -> None:
-    """K9: a list of names below comment lines, in one file on the driver: a list is for people to read."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.writelines(f"# {h}\n" for h in header)
-        f.writelines(f"{r['name']}\n" for r in names.select("name").toLocalIterator())
+    """K9: a list of names below comment lines, in one file: a list is for people to read."""
+    write_lines(names.sparkSession, path, chain((f"# {h}" for h in header), (r["name"] for r in names.select("name").toLocalIterator())))

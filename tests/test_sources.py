@@ -1,4 +1,5 @@
 import json
+import tarfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,3 +57,26 @@ def test_calibration_unpacks_large_samples(spark):
 def test_history_of_verdicts(spark):
     e = spark.createDataFrame([("x", 1, "warn"), ("x", 2, "block"), ("y", 1, "allow")], "sha256 string, t int, verdict string").withColumn("analyzed_at", F.timestamp_seconds("t"))
     assert {(r.sha256, r.verdict, r.before) for r in cache.history(e).collect()} == {("x", "warn", None), ("x", "block", "warn"), ("y", "allow", None)}
+
+
+def test_cut_archives_are_refused():
+    """An archive cut anywhere is refused unless its end mark is there; what follows the mark does not count."""
+    whole = queries.tgz([("package/package.json", b"{}"), ("package/a.js", b"x" * 5000), ("package/b.js", b"1" * 30)])
+    for n in range(len(whole)):
+        try:
+            assert len(archives.unpack(whole[:n], 10, 10**6, 10**7)) == 3
+        except (archives.Refused, tarfile.TarError):
+            assert n < len(whole) - 1
+    assert len(archives.unpack(whole + b"garbage", 10, 10**6, 10**7)) == 3
+
+
+def test_zip_relation(spark):
+    zips = [("a", bytearray(queries.zipped([("p/x.js", b"1")]))), ("b", None), ("c", bytearray(b"PK"))]
+    got = {r.pkg_id: (r.content is None, r.error is None) for r in archives.from_zips(spark.createDataFrame(zips, "pkg_id string, content binary")).collect()}
+    assert got == {"a": (False, True), "b": (True, False), "c": (True, False)}
+
+
+def test_dropped_entries_have_no_advisory(spark):
+    rows = [("noise", bytearray(b"x"))]
+    corpus = spark.createDataFrame([("noise", "malicious", True)], "pkg_id string, label string, osv_vulnerable boolean")
+    assert scoring.calibration_runs(corpus, spark.createDataFrame(rows, "pkg_id string, content binary"), load(env={})).count() == 0

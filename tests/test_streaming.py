@@ -2,6 +2,8 @@ import json
 
 from pyspark.sql import functions as F
 
+from parapet.config import load
+from parapet.queries import sources as queries
 from parapet.streaming import requests
 
 
@@ -38,3 +40,41 @@ def test_rechecks(spark, tmp_path):
     q = requests.rechecks(ticks, up, str(tmp_path / "store"), str(tmp_path / "cp"))
     assert q.awaitTermination(90)
     assert spark.read.parquet(str(tmp_path / "store")).count() == 1
+
+
+def _asked(folder, rows):
+    folder.mkdir(exist_ok=True)
+    (folder / f"{len(list(folder.iterdir()))}.json").write_text("\n".join(json.dumps({"method": "GET", "path": f"/{n}/-/{n}-1.tgz", "sha256": sha, "source_ip": "1", "at": at}) for n, sha, at in rows))
+
+
+def test_serve_scores_what_is_not_known(spark, tmp_path):
+    """Misses are analysed once each, stored and answered; later requests find them; broken archives are refused."""
+    store, out = str(tmp_path / "cache"), []
+    spark.createDataFrame([("k", "2024-01-01 09:00:00", "block", 1.0, "r")], "sha256 string, t string, verdict string, score double, rules string").select("sha256", F.to_timestamp("t").alias("analyzed_at"), "verdict", "score", "rules").write.parquet(store)
+    held = {"clean": queries.PACKAGES["clean"], "piped": queries.PACKAGES["piped"]}
+    rows = [(n, bytearray(queries.tgz(f))) for n, f in held.items()] + [("broken", bytearray(b"no archive"))]
+    known = spark.createDataFrame(rows, "package_name string, content binary")
+    fetch = lambda missed: missed.join(known, "package_name").select(F.col("sha256").alias("pkg_id"), "content")
+    scorer = requests.archive_scorer(fetch, load(env={}))
+
+    def run():
+        q = requests.serve(requests.requests(spark, str(tmp_path / "in")), lambda s: s.read.parquet(store), lambda df: out.extend(map(tuple, df.select("sha256", "verdict", "response_code").collect())), str(tmp_path / "cp"), 24, scorer, store)
+        assert q.awaitTermination(180)
+        found = sorted(out, key=repr)
+        out.clear()
+        return found
+
+    day = "2024-01-01T1{}:00:00Z".format
+    _asked(tmp_path / "in", [("known", "k", day(0)), ("clean", "c", day(0)), ("clean", "c", day(1)), ("piped", "p", day(0)), ("broken", "b", day(0))])
+    assert run() == [("b", None, 403), ("c", "allow", 200), ("c", "allow", 200), ("k", "block", 200), ("p", "block", 403)]
+    assert spark.read.parquet(store).groupBy("sha256").count().filter("count > 1").count() == 0
+    _asked(tmp_path / "in", [("piped", "p", day(2)), ("known", "k", "2024-01-02T10:00:00Z")])
+    assert run() == [("k", None, 403), ("p", "block", 200)]
+
+
+def test_lookup_is_of_each_request(spark):
+    """An entry that ended before one request still answers an earlier one."""
+    entries = spark.createDataFrame([("x", 0, "warn"), ("x", 3600, "block")], "sha256 string, t long, verdict string").select("sha256", F.timestamp_seconds("t").alias("analyzed_at"), "verdict")
+    asked = spark.createDataFrame([("x", 7000), ("x", 7200), ("y", 1)], "sha256 string, t long").select("sha256", F.timestamp_seconds("t").alias("at"))
+    got = requests.looked_up(asked, entries, 1).select("sha256", F.unix_timestamp("at").alias("t"), "verdict").collect()
+    assert sorted(map(tuple, got), key=repr) == [("x", 7000, "block"), ("x", 7200, None), ("y", 1, None)]
