@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import urllib.request
 from collections.abc import Callable, Iterator
 
@@ -105,7 +104,3 @@ def write_config(config, weights: dict[str, float], path: str) -> None:
     from parapet.rules import apply_weights
 
     dump(apply_weights(config, weights), path)
-
-
-def parse_event(line: str) -> dict:
-    return json.loads(line.removeprefix("<28>"))

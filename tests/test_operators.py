@@ -277,7 +277,7 @@ def test_trials_written(spark, sf, tmp_path):
 def test_sinks(spark):
     events = spark.createDataFrame([("package_verdict", "p", "1", 0.5, ["r"], 0)], "event_type string, package_name string, package_version string, risk_score double, triggered_rules array<string>, response_code int")
     line = sinks.syslog_lines(events).first().value
-    assert sinks.parse_event(line) == {"event_type": "package_verdict", "package_name": "p", "package_version": "1", "risk_score": 0.5, "triggered_rules": ["r"]}
+    assert json.loads(line.removeprefix("<28>")) == {"event_type": "package_verdict", "package_name": "p", "package_version": "1", "risk_score": 0.5, "triggered_rules": ["r"]}
     got = []
     sinks.fan_out(events, [lambda df: got.append(df.count()), lambda df: got.append(sinks.signed_posts(df, "k").first().signature)])
     assert got[0] == 1 and len(got[1]) == 64

@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from parapet.config import load
-from parapet.operators import cache
 from parapet.plans import scoring
 from parapet.queries import sources as queries
 from parapet.sources import archives, registry
@@ -54,11 +53,6 @@ def test_calibration_unpacks_large_samples(spark):
     assert (limits.max_files, limits.max_file_bytes, limits.max_total_bytes) == (100000, 100 << 20, 2 << 30)
 
 
-def test_history_of_verdicts(spark):
-    e = spark.createDataFrame([("x", 1, "warn"), ("x", 2, "block"), ("y", 1, "allow")], "sha256 string, t int, verdict string").withColumn("analyzed_at", F.timestamp_seconds("t"))
-    assert {(r.sha256, r.verdict, r.before) for r in cache.history(e).collect()} == {("x", "warn", None), ("x", "block", "warn"), ("y", "allow", None)}
-
-
 def test_cut_archives_are_refused():
     """An archive cut anywhere is refused unless its end mark is there; what follows the mark does not count."""
     whole = queries.tgz([("package/package.json", b"{}"), ("package/a.js", b"x" * 5000), ("package/b.js", b"1" * 30)])
