@@ -44,6 +44,8 @@ PERCENT = 75
 AGREE = 100
 #: Members of a bucket that are compared with one another at once, about, and the bytes of their sets.
 BLOCK, BLOCK_BYTES = 512, 8 << 20
+#: No key is above it.
+LAST = np.iinfo(np.int64).max
 #: Pairs of one node that are verified by a task, about, if the node has a large share of all.
 DEALT = 256
 
@@ -132,7 +134,7 @@ def _shared(open_nodes: DataFrame) -> DataFrame:
 
 
 def _links(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The links between members of a group that were in no earlier band together.
+    """The links between members of a group that are in no bucket of a lesser key together.
 
     A group is a block of the bucket's main component with one of other members (i < 0: only pairs
     across count), or one or two blocks of other members (of two, only pairs across count).
@@ -154,7 +156,7 @@ def _links(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         y = y[may]
         y = y[np.count_nonzero(coords[y] == coords[x], axis=1) >= AGREE]
         if len(y):
-            y = y[keys[x][(keys[y] == keys[x]).argmax(1)] == key]  # in the first band that both have in common
+            y = y[np.where(keys[y] == keys[x], keys[x], LAST).min(1) == key]  # in the bucket of the least key that both have in common
             out += [(nodes[x], nodes[k]) for k in y if similar(sets[x], sets[k])]
     return np.array([a for a, _ in out], np.int64), np.array([b for _, b in out], np.int64)
 
@@ -184,11 +186,16 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _per_bucket(members: DataFrame) -> DataFrame:
-    """Of the buckets (key, component, n_shingles) whose members are in several components: key, main (the largest, the least of equals), n and n_main members, w and w_main shingles."""
-    each = members.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("w"))
+    """Of the buckets (key, component, n_shingles) whose members are in several components: key, main (the largest, the least of equals), n and n_main members, w and w_main shingles.
+
+    Of buckets with the same members (by 128 bits) only that of the least key is in it, which is the
+    one in which _links() looks at their pairs.
+    """
+    who = [F.xxhash64("node"), F.xxhash64("node", F.lit(1))]
+    each = members.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("w"), F.bit_xor(who[0]).alias("h1"), F.bit_xor(who[1]).alias("h2"))
     turn = F.struct("c", -F.col("component"))
-    per = each.groupBy("key").agg(F.max_by("component", turn).alias("main"), F.sum("c").alias("n"), F.max("c").alias("n_main"), F.sum("w").alias("w"), F.max_by("w", turn).alias("w_main"), F.count("*").alias("kinds"))
-    return per.filter("kinds > 1").drop("kinds")
+    per = each.groupBy("key").agg(F.max_by("component", turn).alias("main"), F.sum("c").alias("n"), F.max("c").alias("n_main"), F.sum("w").alias("w"), F.max_by("w", turn).alias("w_main"), F.count("*").alias("kinds"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"))
+    return per.filter("kinds > 1").groupBy("h1", "h2", "n").agg(F.min(F.struct("key", "main", "n_main", "w", "w_main")).alias("first")).select("first.*", "n")
 
 
 def _blocks(members, shingles):
@@ -211,6 +218,12 @@ def _across(members: DataFrame, buckets: DataFrame) -> DataFrame:
     return dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component")
 
 
+def _among(rows: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
+    """The rows whose node is one of at most total nodes, and a few others: a bitmap tells, so that nothing is shuffled."""
+    bits = bitmap_bits(total)
+    return flagged(rows, F.col("node"), written(bitmap(nodes, "node", bits), "marks"), bits, "among").filter("among").drop("among")
+
+
 def _nodes(docs: DataFrame) -> DataFrame:
     """doc_id, of (a hash of the text), n_shingles, component (a node of it; null without set or id), component_id, kept for each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("of"))
@@ -232,7 +245,9 @@ def _nodes(docs: DataFrame) -> DataFrame:
     bits = bitmap_bits(involved.count())
     wanted = flagged(docs.filter("doc_id IS NOT NULL"), F.col("doc_id"), written(bitmap(involved, "id", bits), "marks"), bits, "wanted").filter("wanted")
     key = ["id", "f1", "f2"]
-    sets = mapped(wanted.select("doc_id", "text"), _sets, "id long, f1 long, f2 long, set binary").dropDuplicates(key)
+    sets = mapped(wanted.select("doc_id", "text"), _sets, "id long, f1 long, f2 long, set binary")
+    # a second bitmap, of fingerprints, keeps what the first let through from being shuffled
+    sets = flagged(sets, F.col("f1"), written(bitmap(involved, "f1", bits), "marks"), bits, "wanted").filter("wanted").drop("wanted").dropDuplicates(key)
     sets = written(sets.join(involved, key).select("node", "set"), "sets")
 
     star = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
@@ -243,10 +258,13 @@ def _nodes(docs: DataFrame) -> DataFrame:
     known = members.join(found, "node", "left").join(sizes, "node").select("key", "node", F.coalesce("component", "node").alias("component"), "n_shingles")
     known = written(known, "known")
     parted = written(_per_bucket(known), "parted")
-    open_ = written(met(known, parted, "key", parted.agg(F.sum("n")).first()[0] or 0).select("key", "node", "component", "n_shingles"), "open")
-    shared = _shared(sets.join(open_.select("node").distinct(), "node", "left_semi"))
-    able = shared.join(reps.select("node", "n_shingles", "keys", "coords"), "node").filter(F.col("shared") * 100 >= F.col("n_shingles") * PERCENT)
-    able = written(able.join(sets, "node"), "able")
+    total = parted.agg(F.sum("n")).first()[0] or 0
+    open_ = written(met(known, parted, "key", total).select("key", "node", "component", "n_shingles"), "open")
+    # nodes that are not open only raise the number of shared shingles, which is a bound from above
+    shared = _shared(_among(sets, open_, total)).join(sizes, "node").filter(F.col("shared") * 100 >= F.col("n_shingles") * PERCENT)
+    shared = written(shared.join(open_.select("node").distinct(), "node", "left_semi"), "shared")
+    able = shared.join(_among(reps.select("node", "keys", "coords"), shared, total), "node")
+    able = written(able.join(_among(sets, shared, total), "node"), "able")
     narrow = written(open_.join(able.select("node"), "node"), "narrow")
     dealt = written(_across(narrow, _per_bucket(narrow)), "dealt")
     whole = _attached(dealt, dealt, dealt.count(), able, "node", ("key", "i", "j"))

@@ -48,6 +48,15 @@ def test_frequent_keys(spark, monkeypatch):
         assert found(near_dup.classes(docs)) == want
 
 
+def test_buckets_of_the_same_members_are_dealt_once(spark):
+    """Keys 7, 8 and -2 have the members 1, 2; key 5 has one more; key 6 has one component only."""
+    rows = [(k, n, n, 50) for k in (7, 8, -2, 5) for n in (1, 2)] + [(5, 3, 3, 50), (6, 1, 1, 50), (6, 4, 1, 50)]
+    members = spark.createDataFrame(rows, "key long, node long, component long, n_shingles long")
+    buckets = near_dup._per_bucket(members)
+    assert {(r.key, r.n, r.main) for r in buckets.collect()} == {(-2, 2, 1), (5, 3, 1)}
+    assert Counter((r.key, r.node) for r in near_dup._across(members, buckets).filter("key = -2").collect()).keys() == {(-2, 1), (-2, 2)}
+
+
 def exact_components(texts):
     """Least id of each id's component, by a join of the rarest shingles of each set."""
     sets, first = {}, {}
